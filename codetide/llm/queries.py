@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import licenses, media, mixing, packing, sharding, simhash, tokencount, toxicity, vecdedup, warc
-from .common import read_table
+from .common import read_table, stage
 
 CAPACITY = 2048
 SHARDS = 24
@@ -52,8 +52,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    rated = mixing.quality_weights(docs, read_table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(rated, F.col("mix_weight"), F.col("size"))
+    sized = stage(docs, "sizes")
+    rated = mixing.quality_weights(sized, read_table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(rated, F.col("mix_weight"), F.col("size"), rows=sized.count())
     return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("size")).alias("taken"))
 
 
