@@ -202,4 +202,4 @@ def media_columns(docs: DataFrame, root: str | None = None, id_col: str = "doc_i
     read = feature_columns(places, root).join(heads, "digest")
     read = stage(read, "media-read")
     out = rows.select("id", "n_bytes", "digest").join(read, "digest")
-    return out.withColumnRenamed("id", id_col)
+    return out.select(F.col("id").alias(id_col), *(c for c in out.columns if c != "id"))

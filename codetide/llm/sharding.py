@@ -24,7 +24,8 @@ def interleave(docs: DataFrame, shards: int, ties: list[str], seed: int = 29, so
 
     ``ties`` are the columns that make up the shuffle key and break ties; rows
     equal in them get their slots in any order.  Null sources are one source.
-    With fewer rows than shards some shards stay empty.  Reruns agree.
+    With fewer rows than shards some shards stay empty.  Columns of ``docs`` that
+    are named like the added ones are replaced.  Reruns agree.
     """
     total = docs.count() if rows is None else rows
     buckets = buckets_for(total)
@@ -46,4 +47,4 @@ def interleave(docs: DataFrame, shards: int, ties: list[str], seed: int = 29, so
     at = (F.col("__first") + F.col("__order") - 1).cast("long")
     placed = placed.withColumn("__at", at).withColumn("__shard", F.expr(f"__at * {shards} div {max(1, total)}"))
     start = F.expr(f"(__shard * {total} + {shards - 1}) div {shards}")
-    return placed.select(*docs.columns, F.col("__shard").cast("int").alias("shard"), (F.col("__at") - start).cast("long").alias("slot"))
+    return placed.select(*(c for c in docs.columns if c not in ("shard", "slot")), F.col("__shard").cast("int").alias("shard"), (F.col("__at") - start).cast("long").alias("slot"))
