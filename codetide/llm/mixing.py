@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD_PATTERN, buckets_for
+from .common import WORD_PATTERN, buckets_for, stage
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -62,7 +62,8 @@ def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = Non
     quality weight, 1 by default; null and weights below 1e-6 count as 1e-6.
     ``size`` is the size of a document, its words by default.
     Documents without words are never taken.  Equal rows get equal keys, and one
-    of them may be taken once more than the other.  Reruns agree.  ``rows`` (the
+    of them may be taken once more than the other.  Reruns agree.  Columns of
+    ``docs`` with the names of added ones are replaced.  ``rows`` (the
     count of ``docs``, else counted) only sets the number of buckets.
     """
     w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(1e-6)), F.lit(1e-6))
@@ -78,14 +79,15 @@ def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = Non
     upto = W.partitionBy("source").orderBy("__mix_bucket").rowsBetween(W.unboundedPreceding, 0)
     plan = sums.withColumn("before", F.sum("bucket_size").over(upto) - F.col("bucket_size"))
     plan = plan.join(targets.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named")))
-    plan = plan.select(F.struct(F.col("source").alias("name")).alias("__mix_source"), "__mix_bucket", "before", "source_size", "target")
+    plan = plan.select(F.struct(F.col("source").alias("name")).alias("__mix_source"), "__mix_bucket", *(F.col(c).alias(f"__mix_{c}") for c in ("before", "source_size", "target")))
     within = W.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_key", F.col(id_col), "mix_size").rowsBetween(W.unboundedPreceding, 0)
     placed = frame.withColumn("__mix_upto", F.sum("mix_size").over(within)).join(plan, ["__mix_source", "__mix_bucket"])
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - epochs * F.col("source_size")
-    middle = F.col("before") + F.col("__mix_upto") - F.col("mix_size") / 2
-    copies = F.when(F.col("mix_size") > 0, epochs + F.when(middle <= rest, 1).otherwise(0)).otherwise(0).cast("long")
-    return placed.select(*docs.columns, "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.alias("mix_copies"))
+    source_size, target, own = F.col("__mix_source_size"), F.col("__mix_target"), F.col("mix_size")
+    epochs = F.when(source_size > 0, F.floor(target / source_size)).otherwise(F.lit(0)).cast("long")
+    middle = F.col("__mix_before") + F.col("__mix_upto") - own / 2
+    copies = F.when(own > 0, epochs + F.when(middle <= target - epochs * source_size, 1).otherwise(0)).otherwise(0).cast("long")
+    added = {"mix_size": own, "mix_source_size": source_size, "mix_target": target, "mix_copies": copies}
+    return placed.select(*(c for c in docs.columns if c not in added), *(c.alias(n) for n, c in added.items()))
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
@@ -96,7 +98,23 @@ def quality_weights(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor:
     return rated.select(*docs.columns, value.alias("mix_weight"))
 
 
-def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each taken document as many times as it is taken, with its own columns alone."""
-    mixed = mix(docs, **options)
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))).alias("__mix_copy")).select(*docs.columns)
+def mix_rows(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each taken document as many times as it is taken, with its own columns alone.
+
+    Decisions are made on ids, sizes and sources; texts move once, to meet them.
+    Rows equal in id, source and text are taken in turn: together as often as the
+    mix takes them, dealt to them as evenly as can be.  ``labels`` give the
+    quality weights, all 1 without them.
+    """
+    row_id = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(source_col)), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    small = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), row_id.alias("row"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    rated = small.withColumn("mix_weight", F.lit(1.0)) if labels is None else quality_weights(small, labels)
+    mixed = mix(rated, F.col("mix_weight"), F.col("size"), rows=small.count(), **options)
+    taken = mixed.groupBy("row").agg(F.sum("mix_copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    # The remainder goes to rows by an arbitrary number: equal rows are alike.
+    taken = stage(taken, "mix-taken")
+    keyed = docs.withColumn("__mix_row", row_id).join(taken.select(F.col("row").alias("__mix_row"), "copies", "rows").withColumnsRenamed({"copies": "__mix_copies", "rows": "__mix_rows"}).hint("merge"), "__mix_row")
+    turn = F.row_number().over(W.partitionBy("__mix_row").orderBy("__mix_row"))
+    dealt = F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + F.when(turn <= F.col("__mix_copies") % F.col("__mix_rows"), 1).otherwise(0)
+    spread = keyed.withColumn("__mix_dealt", dealt)
+    return spread.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__mix_dealt").cast("int"))).alias("__mix_copy")).select(*docs.columns)
