@@ -9,8 +9,8 @@ a frame from being stored raw, so even a saving of one byte shows.
 Most words of a toxic text are ordinary, so the toxic dictionary is trained on
 what sets toxic text apart: windows that no ordinary training text holds and
 that a given share of the toxic training texts have in common.  The share, the
-weights of the document score and its threshold are calibrated on training rows
-that the dictionaries have not seen.
+training's segment length, the weights of the document score and its threshold
+are calibrated on training rows that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -46,7 +46,9 @@ class ToxicitySettings:
     ordinary_rows: int = 4000
     longest_text: int = 20_000
     #: Shares of the toxic training texts that must have a window; calibration picks one.
-    shares: tuple[float, ...] = (0.02, 0.03, 0.05, 0.1)
+    shares: tuple[float, ...] = (0.01, 0.02, 0.03)
+    #: Segment and substring lengths that the dictionary training tries; calibration picks one pair.
+    segments: tuple[tuple[int, int], ...] = ((16, 8), (24, 6), (32, 8), (50, 8))
     #: Windows in fewer toxic texts than this are chance.
     least_texts: int = 3
     toxic_dict_bytes: int = 4096
@@ -148,28 +150,27 @@ def fit(toxic: list[str], ordinary: list[str], settings: ToxicitySettings) -> To
     spread = Counter(w for s in special for w in set(s))
     common = [CARRIER + w for t in seen[1][:1500] for w in windows(t, n)]
     common = random.Random(7).sample(common, min(len(common), 150_000))
-    ordinary_dict = _train(common, settings.ordinary_dict_bytes, settings.level)
     best: tuple[float, ToxicityModel] | None = None
-    for share in settings.shares:
-        need = max(settings.least_texts, share * len(seen[0]))
-        samples = [CARRIER + w for s in special for w in s if spread[w] >= need]
-        if not samples or ordinary_dict is None:
-            continue
-        toxic_dict = _train((samples * (1 + 3000 // len(samples)))[:100_000], settings.toxic_dict_bytes, settings.level)
-        if toxic_dict is None:
-            continue
-        model = ToxicityModel(ordinary_dict, toxic_dict, [0.0] * 5, n, settings.level)
-        loss, model.weights = _calibrate(model, held, settings.cut)
-        if best is None or loss < best[0]:
-            best = loss, model
+    for k, d in settings.segments:
+        ordinary_dict = _train(common, settings.ordinary_dict_bytes, settings.level, k, d)
+        for share in settings.shares if ordinary_dict else ():
+            need = max(settings.least_texts, share * len(seen[0]))
+            samples = [CARRIER + w for s in special for w in s if spread[w] >= need]
+            toxic_dict = _train((samples * (1 + 3000 // len(samples)))[:100_000], settings.toxic_dict_bytes, settings.level, k, d) if samples else None
+            if toxic_dict is None:
+                continue
+            model = ToxicityModel(ordinary_dict, toxic_dict, [0.0] * 5, n, settings.level)
+            loss, model.weights = _calibrate(model, held, settings.cut)
+            if best is None or loss < best[0]:
+                best = loss, model
     return best and best[1]
 
 
-def _train(samples: list[bytes], size: int, level: int) -> bytes | None:
+def _train(samples: list[bytes], size: int, level: int, k: int, d: int) -> bytes | None:
     if sum(map(len, samples)) < 2 * size:
         samples = samples * (1 + 2 * size // max(1, sum(map(len, samples))))
     try:
-        return zstd.train_dictionary(size, samples, level=level, k=24, d=6).as_bytes()
+        return zstd.train_dictionary(size, samples, level=level, k=k, d=d).as_bytes()
     except zstd.ZstdError:  # too little text to train on
         return None
 
