@@ -103,6 +103,16 @@ def _segments(fp: Column) -> list[Column]:
     return [F.shiftrightunsigned(fp, 32), fp.bitwiseAND(low).bitwiseOR(F.lit(1 << 32))]
 
 
+def _raised(segment: Column) -> Column:
+    """The segment with each of its 0 bits set in turn.
+
+    Of two segments that differ in one bit, the one with a 0 there raises it to
+    the other, so balls of radius 1 need only go upwards to meet each pair once.
+    """
+    bits = F.array(*(F.lit(1 << i) for i in range(32)))
+    return F.transform(F.filter(bits, lambda b: segment.bitwiseAND(b) == 0), lambda b: segment.bitwiseOR(b))
+
+
 def near_links(prints: DataFrame, distance: int = 2, hot: int = 64, name: str = "simhash") -> DataFrame:
     """``(u, v)`` such that the components of the links are those of all pairs within ``distance``.
 
@@ -114,22 +124,17 @@ def near_links(prints: DataFrame, distance: int = 2, hot: int = 64, name: str =
         raise ValueError("two segments and balls of radius 1 reach distances up to 3")
     fp = F.col("fp")
     table = prints.select("fp", F.explode(F.array(*_segments(fp))).alias("key"))
-    table = table.withColumn("n", F.count("*").over(W.partitionBy("key")))
-    # Of two segments that differ in one bit, the one with a 0 there sets it: each pair is met once.
-    bits = F.array(*(F.lit(1 << i) for i in range(32)))
-    up = [F.transform(F.filter(bits, lambda b, s=s: s.bitwiseAND(b) == 0), lambda b, s=s: s.bitwiseOR(b)) for s in _segments(fp)]
-    probes = prints.select("fp", F.explode(F.concat(F.array(*_segments(fp)), *up)).alias("key"))
-    if distance > 2:
-        found = probes.join(table.select("key", F.col("fp").alias("other")), "key")
-        return found.filter((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance)).select(F.col("fp").alias("u"), F.col("other").alias("v"))
-    found = probes.join(table.filter(F.col("n") <= hot).select("key", F.col("fp").alias("other")), "key")
+    probes = prints.select("fp", F.explode(F.concat(F.array(*_segments(fp)), *map(_raised, _segments(fp)))).alias("key"))
+    members = None
+    if distance <= 2:
+        crowded = stage(table.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"), f"{name}-hot")
+        if not crowded.isEmpty():
+            members = probes.join(crowded, "key", "left_semi").select("fp").distinct()
+            table, probes = (side.join(crowded, "key", "left_anti") for side in (table, probes))
+    found = probes.join(table.select("key", F.col("fp").alias("other")), "key")
     found = found.filter((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance))
     links = found.select(F.col("fp").alias("u"), F.col("other").alias("v"))
-    crowded = stage(table.filter(F.col("n") > hot).select("key").distinct(), f"{name}-hot")
-    if crowded.isEmpty():
-        return links
-    members = probes.join(crowded, "key", "left_semi").select("fp").distinct()
-    return links.unionByName(_clique_links(members, distance))
+    return links if members is None else links.unionByName(_clique_links(members, distance))
 
 
 def _clique_links(members: DataFrame, distance: int) -> DataFrame:
