@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +18,14 @@ def session(master: str | None = None, app: str = "codetide", **settings: str) -
     } | {k.replace("__", "."): v for k, v in settings.items()}
     builder = SparkSession.builder.appName(app).config(map=conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def checkpointing(spark: SparkSession) -> None:
+    """Make ``DataFrame.checkpoint`` usable: by spark.checkpoint.dir, or in a local session by a temporary folder."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codetide-"))
