@@ -204,18 +204,17 @@ def similar_pairs(prints: DataFrame, width: int, ball: int, max_share: float) ->
     Each node publishes its segment values and those with one uncertain bit
     flipped.  Two nodes meet where a segment differs in no bit, in one uncertain
     bit, or in two of which each side is uncertain of one.  All that publish the
-    same word are compared with the smallest node among them and with the node
-    before them, so pairs grow in proportion to the words, not with the square of
-    a group.  Pairs with more than ``max_share`` of all bits apart are left out.
+    same word are compared with the smallest node among them, so pairs grow in
+    proportion to the words, not with the square of a group.  Pairs with more than
+    ``max_share`` of all bits apart are left out.
     """
     spot = F.posexplode(F.concat("parts", "flips"))
     words = prints.select("node", "parts", F.size("parts").alias("n"), spot.alias("at", "value"))
     segment = F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.floor((F.col("at") - F.col("n")) / ball))
     value = F.when(F.col("at") < F.col("n"), F.col("value")).otherwise(F.get("parts", segment.cast("int")).bitwiseXOR(F.col("value")))
     keyed = words.select("node", (F.shiftleft(segment.cast("long"), width)).bitwiseOR(value).alias("word"))
-    by_word = W.partitionBy("word").orderBy("node")
-    met = keyed.select("node", F.first("node").over(by_word).alias("first"), F.lag("node").over(by_word).alias("before")).filter("first < node")
-    pairs = met.select("node", F.explode(F.array_distinct(F.array("first", "before"))).alias("other")).filter("other < node").distinct()
+    met = keyed.select("node", F.min("node").over(W.partitionBy("word")).alias("other"))
+    pairs = met.filter("other < node").distinct()
     side = prints.select("node", "parts")
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     both = stage(pairs, "pairs").join(side.withColumnRenamed("parts", "a"), "node").join(side.select(F.col("node").alias("other"), F.col("parts").alias("b")), "other")
@@ -246,7 +245,8 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     pairs = stage(similar_pairs(stage(chosen.dropDuplicates(["node"]), "chosen"), width, ball, max_share), "candidates")
     wanted = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
     rows = stage(nodes.join(wanted, "node", "left_semi").select("node", F.col("first.row").alias("row")), "wanted")
-    texts = docs.select(row_id.alias("row"), F.col(text_col).alias("text")).join(rows, "row").select("node", "text")
+    # Both joins with texts are merge joins at every size: what they join to grows with the corpus.
+    texts = docs.select(row_id.alias("row"), F.col(text_col).alias("text")).join(rows.hint("merge"), "row").select("node", "text")
     texts = stage(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
     both = pairs.join(texts.withColumnRenamed("text", "a"), "node").join(texts.select(F.col("node").alias("other"), F.col("text").alias("b")), "other")
 
@@ -258,4 +258,4 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     roots = components(links, "similar")
     labelled = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = stage(labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "kept")
-    return docs.withColumn("__row", row_id).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    return docs.withColumn("__row", row_id).join(kept.hint("merge"), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
