@@ -152,6 +152,7 @@ class GitSource(DataSource):
 
 
 def read(spark: SparkSession, root: str, kind: str, **options: str) -> DataFrame:
+    git(root, "rev-parse", "--git-dir")  # a folder without history fails here, not in a task
     ship(spark)
     spark.dataSource.register(GitSource)
     return spark.read.format("git").options(path=root, kind=kind, **options).load()
