@@ -100,4 +100,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
 
     due.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stage(counts, "counts")  # as a stored table it leaves adaptive execution free to split the digest of many copies
     return keys.join(counts, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
