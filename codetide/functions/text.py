@@ -19,10 +19,10 @@ TODO = r"\b(?:TODO|FIXME|HACK|XXX|BUG)\b"
 OPERATORS = r"(?:[+\-*/%]=?|==|!=|<=?|>=?|&&|\|\||!|~|\^|&|\||<<|>>|\.|\->|::|=>|\?|:|\bas\b|\bin\b|\bnot\b|\band\b|\bor\b)"
 OPERANDS = r"\b(?:[a-zA-Z_]\w*|\d+(?:\.\d+)?)\b"
 
-#: What ends a line besides LF, CR and CRLF.
-_LINE_ENDS = "\x0b\x0c\x1c\x1d\x1e\x85  "
+#: What ends a line besides LF and CRLF.
+_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 #: White space as text stripping knows it.
-_SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0]"
+_SPACE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def _count(text: Column, pattern: str, flags: str = "U") -> Column:
@@ -31,23 +31,30 @@ def _count(text: Column, pattern: str, flags: str = "U") -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text; a final line end starts no further line, an empty text has none."""
-    unified = F.regexp_replace(text, f"\r\n|[\r{_LINE_ENDS}]", "\n")
-    parts = F.split(unified, "\n")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    unified = F.regexp_replace(text, f"\r\n|[{_LINE_ENDS}]", "\n")
+    parts = F.split(F.regexp_replace(unified, r"\n\z", ""), "\n")
+    return F.slice(parts, 1, F.when(text == "", 0).otherwise((1 << 31) - 1))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
-def loc_counts(text: Column, prefixes: tuple[str, ...]) -> dict[str, Column]:
-    """Total, blank, comment and code lines; a comment line starts with one of the prefixes."""
-    stripped = F.transform(lines(text), strip)
-    is_comment = (lambda x: reduce(Column.__or__, (x.startswith(p) for p in prefixes))) if prefixes else (lambda x: F.lit(False))
-    total = F.size(stripped).cast("long")
-    blank = F.size(F.filter(stripped, lambda x: x == "")).cast("long")
-    comment = F.size(F.filter(stripped, lambda x: (x != "") & is_comment(x))).cast("long")
-    return {"total_lines": total, "blank_lines": blank, "comment_lines": comment, "code_lines": total - blank - comment}
+def loc_counts(text: Column, prefixes: tuple[str, ...]) -> Column:
+    """A struct of total, blank, comment and code lines; a comment line starts with one of the prefixes.
+
+    Select the struct first and its fields from it after, or it is computed for each field.
+    """
+    zero = F.lit(0).cast("long")
+    one = lambda condition: F.when(condition, 1).otherwise(0)
+
+    def step(acc: Column, line: Column) -> Column:
+        comment = reduce(Column.__or__, (line.startswith(p) for p in prefixes)) if prefixes else F.lit(False)
+        return F.struct((acc["total_lines"] + 1).alias("total_lines"), (acc["blank_lines"] + one(line == "")).alias("blank_lines"), (acc["comment_lines"] + one((line != "") & comment)).alias("comment_lines"))
+
+    start = F.struct(zero.alias("total_lines"), zero.alias("blank_lines"), zero.alias("comment_lines"))
+    done = lambda acc: F.struct(acc["total_lines"].alias("total_lines"), acc["blank_lines"].alias("blank_lines"), acc["comment_lines"].alias("comment_lines"), (acc["total_lines"] - acc["blank_lines"] - acc["comment_lines"]).alias("code_lines"))
+    return F.aggregate(F.transform(lines(text), strip), start, step, done)
 
 
 def comment_ratio(comment: Column, total: Column) -> Column:
@@ -106,7 +113,10 @@ def normalised_lines(text: Column) -> Column:
 
 
 def shingles(items: Column, n: int) -> Column:
-    """Every run of ``n`` items, joined by line ends; fewer items give none."""
+    """Every run of ``n`` items, joined by line ends; fewer items give none.
+
+    ``items`` should be a plain column: it is read anew for each run.
+    """
     starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), "\n"))
 

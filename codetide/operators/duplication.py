@@ -9,8 +9,8 @@ from ..functions import text as X
 
 def windows(sources: DataFrame, n: int = 6) -> DataFrame:
     """``(path, line, block)`` for every window of ``n`` normalised lines; lines count from 1."""
-    blocks = X.shingles(X.normalised_lines(F.col("text")), n)
-    return sources.select("path", F.posexplode(blocks).alias("at", "block")).select("path", (F.col("at") + 1).cast("long").alias("line"), "block")
+    lines = sources.select("path", X.normalised_lines(F.col("text")).alias("lines"))
+    return lines.select("path", F.posexplode(X.shingles(F.col("lines"), n)).alias("at", "block")).select("path", (F.col("at") + 1).cast("long").alias("line"), "block")
 
 
 def duplicate_blocks(sources: DataFrame, n: int = 6) -> DataFrame:

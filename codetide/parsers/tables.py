@@ -69,18 +69,13 @@ def _prefix_groups() -> dict[tuple[str, ...], list[str]]:
 def file_rows(parsed: DataFrame) -> DataFrame:
     """A row of counts for each parsed file."""
     suffix = X.suffix(F.col("path"))
-    default = X.loc_counts(F.col("text"), ("#",))
-    out = {}
-    for name in ("total_lines", "blank_lines", "comment_lines", "code_lines"):
-        column = None
-        for prefixes, suffixes in _prefix_groups().items():
-            if prefixes == ("#",):
-                continue
-            value = X.loc_counts(F.col("text"), prefixes)[name]
-            column = F.when(suffix.isin(*suffixes), value) if column is None else column.when(suffix.isin(*suffixes), value)
-        out[name] = column.otherwise(default[name])
-    counts = {"classes": F.size("classes"), "functions": F.size("functions"), "imports": F.size("imports")}
-    return parsed.select("path", "language", "size_bytes", *(c.alias(n) for n, c in out.items()), *(c.cast("long").alias(f"num_{n}") for n, c in counts.items()), "error")
+    counts = F.when(F.lit(False), X.loc_counts(F.col("text"), ("#",)))
+    for prefixes, suffixes in _prefix_groups().items():
+        if prefixes != ("#",):
+            counts = counts.when(suffix.isin(*suffixes), X.loc_counts(F.col("text"), prefixes))
+    counted = parsed.withColumn("n", counts.otherwise(X.loc_counts(F.col("text"), ("#",))))
+    found = {"classes": F.size("classes"), "functions": F.size("functions"), "imports": F.size("imports")}
+    return counted.select("path", "language", "size_bytes", "n.*", *(c.cast("long").alias(f"num_{n}") for n, c in found.items()), "error")
 
 
 def class_rows(parsed: DataFrame) -> DataFrame:

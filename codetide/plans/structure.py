@@ -13,7 +13,8 @@ PREFIXES = ("The", "To ")
 
 
 def files(spark, sf_dir):
-    return B.sources(spark, sf_dir).select("path", "language", "size_bytes", "ordinal", *(c.alias(k) for k, c in X.loc_counts(F.col("text"), PREFIXES).items()))
+    counted = B.sources(spark, sf_dir).select("path", "language", "size_bytes", "ordinal", X.loc_counts(F.col("text"), PREFIXES).alias("n"))
+    return counted.select("path", "language", "size_bytes", "ordinal", "n.*")
 
 
 @query("loc_counts", "SELECT path, total_lines, blank_lines, comment_lines, code_lines, CASE WHEN total_lines > 0 THEN comment_lines / total_lines::DOUBLE ELSE 0 END AS comment_ratio FROM v_files")
