@@ -42,7 +42,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode_png(payload: bytes, level: int = 6) -> bytes:
+def encode_png(payload: bytes, level: int = 9) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)  # each line begins with filter 0
     lines[:, 1:] = rows
@@ -123,24 +123,24 @@ def store_texts(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        places: dict[str, tuple[str, int, int]] = {}
+        places: dict[bytes, tuple[str, int, int]] = {}
         with closing(ShardWriter(root, name)) as shards:
             for batch in batches:
                 out: list[tuple] = []
                 for text in batch.column(1):
                     data = (text.as_py() or "").encode()
                     payload = payload_of(data)
-                    digest = hashlib.sha256(payload).hexdigest()
+                    digest = hashlib.sha256(payload).digest()
                     if digest not in places:
-                        places[digest] = shards.put(f"{digest}.png", encode_png(payload))
+                        places[digest] = shards.put(f"{digest.hex()}.png", encode_png(payload))
                     out.append((len(data), digest, *places[digest]))
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
                 columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_bytes", "digest", "shard", "offset", "length"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return stage(rows.mapInArrow(run, f"id {kind}, n_bytes long, digest string, shard string, offset long, length long"), "media-rows")
+    return stage(rows.mapInArrow(run, f"id {kind}, n_bytes long, digest binary, shard string, offset long, length long"), "media-rows")
 
 
 def _reads(places: DataFrame, root: str, kinds: list[tuple[str, pa.DataType, str]], read) -> DataFrame:
@@ -162,7 +162,7 @@ def _reads(places: DataFrame, root: str, kinds: list[tuple[str, pa.DataType, str
         if file is not None:
             file.close()
 
-    schema = "digest string, shard string, offset long, length long, " + ", ".join(f"{n} {t}" for n, _, t in kinds)
+    schema = "digest binary, shard string, offset long, length long, " + ", ".join(f"{n} {t}" for n, _, t in kinds)
     return ordered.mapInArrow(run, schema)
 
 
@@ -180,9 +180,9 @@ def feature_columns(places: DataFrame, root: str) -> DataFrame:
         payload = decode_png(data)
         samples = np.frombuffer(payload, np.uint8)
         stats = f"sum={int(samples.sum(dtype=np.int64))};min={samples.min()};max={samples.max()};zeros={int((samples == 0).sum())}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(data).hexdigest(), stats
+        return len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(data).digest(), stats
 
-    kinds = [("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("samples", pa.string(), "string")]
+    kinds = [("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.binary(), "binary"), ("tail_crc32", pa.int64(), "long"), ("media_sha256", pa.binary(), "binary"), ("samples", pa.string(), "string")]
     return _reads(places, root, kinds, read)
 
 
@@ -202,4 +202,5 @@ def media_columns(docs: DataFrame, root: str | None = None, id_col: str = "doc_i
     read = feature_columns(places, root).join(heads, "digest")
     read = stage(read, "media-read")
     out = rows.select("id", "n_bytes", "digest").join(read, "digest")
-    return out.select(F.col("id").alias(id_col), *(c for c in out.columns if c != "id"))
+    hexed = {c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")}
+    return out.select(F.col("id").alias(id_col), *(hexed.get(c, F.col(c)).alias(c) for c in out.columns if c != "id"))
