@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 
@@ -34,9 +34,8 @@ def duplication_ratio(sources: DataFrame, n: int = 6) -> DataFrame:
     many copies costs no more than its windows.
     """
     found = windows(sources, n)
-    each = found.groupBy("block", "path").agg(F.count("*").alias("k"), F.collect_list("line").alias("at"))
-    near = F.aggregate("at", F.lit(0).cast("long"), lambda s, x: s + F.size(F.filter("at", lambda y: (y > x) & (y < x + n))))
-    blocks = each.select("block", "k", near.alias("near")).groupBy("block").agg(F.sum("k").alias("k"), F.sum("near").alias("near"))
+    near = F.count("*").over(W.partitionBy("block", "path").orderBy("line").rangeBetween(1, n - 1))
+    blocks = found.withColumn("near", near).groupBy("block").agg(F.count("*").alias("k"), F.sum("near").alias("near"))
     pairs = blocks.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2 - F.col("near")), F.lit(0)).cast("long").alias("pairs"))
     lines = sources.agg(F.coalesce(F.sum(F.size(X.normalised_lines(F.col("text")))), F.lit(0)).cast("long").alias("lines"))
     total = F.col("pairs") * n

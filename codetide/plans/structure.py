@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formats as M, languages as L, text as X
-from ..operators import duplication as D, history as H, rules as R, structure as S
+from ..operators import duplication as D, history as H, ordering, rules as R, structure as S
 from . import bridge as B
 from .registry import query
 
@@ -181,10 +181,13 @@ def typed_sort(spark, sf_dir):
     return S.typed_order(raw.select("o_orderkey", "text"), "text", "float", True).limit(50).select("o_orderkey", F.coalesce(F.col("text").try_cast("double"), F.lit(0.0)).alias("key"))
 
 
-@query("sort_schema")
-def sort_schema(spark, sf_dir):
-    from ..operators import ordering
+def _catalogue_sql() -> str:
+    rows = (f"('{a.key}', '{a.label}', '{a.sort_type}', '{a.entity}', {a.default_descending})" for a in ordering.attributes())
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(key, label, sort_type, entity, default_descending)"
+
 
+@query("sort_schema", _catalogue_sql())
+def sort_schema(spark, sf_dir):
     return ordering.catalogue(spark)
 
 

@@ -11,6 +11,7 @@ import base64
 import csv
 import html
 import json
+import mimetypes
 import shlex
 import zlib
 from collections.abc import Callable
@@ -221,6 +222,12 @@ for (const n of names) {{ const b = document.createElement('button'); b.textCont
 """
 
 
+def data_uri(file: str | Path) -> str:
+    """A file as a data URI, for pages that embed their own assets."""
+    kind = mimetypes.guess_type(str(file))[0] or "application/octet-stream"
+    return f"data:{kind};base64,{base64.b64encode(Path(file).read_bytes()).decode()}"
+
+
 def write_dashboard(report: Report, folder: str | Path) -> list[Path]:
     target = Path(folder)
     target.mkdir(parents=True, exist_ok=True)

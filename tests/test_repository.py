@@ -103,6 +103,7 @@ def test_analysis_and_exports(spark, repo, tmp_path):
     assert "lib/core.py" in exports.terminal_text(report) and "lib/core.py" in exports.terminal_text(report, sort="complexity")
     script = exports.cleanup_script(report["branches"])
     assert "git branch -d -- 'old/it'\"'\"'s-done'" in script and "open" not in script
+    assert exports.data_uri(repo / "app.js").startswith("data:text/javascript;base64,")
     report.register_views("t_")
     assert spark.sql("select count(*) from t_files").first()[0] == 3
     found = analysis.violations(report, config.build(settings, {"thresholds": {"max_file_lines": 2}}))
