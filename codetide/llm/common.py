@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,6 +16,9 @@ from ..shipping import ship
 #: Bytes that separate words in the operators that count or shingle words.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: A space that stands alone between two characters that are no white space.
+_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -81,6 +86,21 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def parts(text: str, size: int, drop: bool) -> Iterator[str]:
+    """Cut a text before lone spaces, into parts of about ``size`` characters; ``drop`` leaves those spaces out.
+
+    Together the parts are the whole text.  A stretch without lone spaces stays in one part.
+    """
+    at = 0
+    while len(text) - at > size:
+        cut = _LONE_SPACE.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.end() if drop else cut.start()
+    yield text[at:]
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

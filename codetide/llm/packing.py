@@ -24,11 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .common import buckets_for, stage
+from .common import buckets_for, parts, stage
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 #: Runs of letters or of white space from this length on go to the library whose cost stays n log n.
 LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
+#: Characters of a text that are encoded at once.  Byte-level BPE files that split words before a
+#: single space, as their pre-tokenizer does, give the same ids part by part.
+PART = 1 << 20
 
 
 # --- the plan -----------------------------------------------------------------
@@ -156,11 +159,17 @@ class ByteBpe:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
-    def ids(self, text: str) -> list[int]:
+    def _part(self, text: str) -> list[int]:
         if self.fast is None or LONG_RUN.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode(text, allowed_special="all")
 
+    def ids(self, text: str) -> np.ndarray:
+        """Token ids of the whole text, part by part where it is long, so that lists of ids stay short."""
+        if self.fast is None or len(text) <= PART:
+            return np.array(self._part(text), "<u4")
+        return np.concatenate([np.array(self._part(p), "<u4") for p in parts(text, PART, drop=False)])
+
 
 def encoder(path: str, fast_path: str | None, special: dict[str, int], pattern: str | None) -> ByteBpe:
     if path not in _encoders:
@@ -182,10 +191,8 @@ def tokenize_pieces(docs: DataFrame, capacity: int, tokenizer: dict, end_id: int
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for i, text in enumerate(batch.column(1)):
-                ids = enc.ids(text.as_py() or "")
-                ids.append(end_id)
-                raw = np.array(ids, dtype="<u4").tobytes()
-                for k, (start, length) in enumerate(cut(len(ids), capacity)):
+                raw = np.append(enc.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4").tobytes()
+                for k, (start, length) in enumerate(cut(len(raw) // 4, capacity)):
                     for column, value in zip(out, (i, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])), strict=True):
                         column.append(value)
             keys = batch.column(0).take(pa.array(out[0], pa.int64()))

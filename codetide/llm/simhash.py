@@ -38,19 +38,41 @@ CHUNK = 1 << 16
 # --- fingerprints -------------------------------------------------------------
 
 
-def shingles(text: str, n: int) -> list[bytes]:
-    """Word n-grams, repeats included, of the text with A-Z in lower case.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def shingle_bounds(text: str, n: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a text, one space between them, and where each word n-gram starts and ends in that.
 
-    Words are split at the ASCII white space bytes 0x20 and 0x09-0x0D.  Fewer
-    words than ``n`` give the whole sequence, none give no shingle.
+    A-Z are in lower case; words are split at the ASCII white space bytes 0x20 and
+    0x09-0x0D.  Fewer words than ``n`` give the whole sequence, none give no
+    shingle.  Memory is a small multiple of the text, whatever its words.
     """
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(found) <= n:
-        return [b" ".join(found)] if found else []
-    flat = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    return [flat[a:b] for a, b in zip(starts[: len(found) - n + 1].tolist(), (ends[n - 1 :] - 1).tolist(), strict=True)]
+    flat = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    space = _SPACE[flat]
+    # Of each gap its last space stays, unless it begins or ends the text.
+    keep = ~space
+    keep[:-1] |= space[:-1] & ~space[1:]
+    if len(flat) and (lead := int(np.argmin(space))) and not space[lead]:
+        keep[:lead] = False
+    flat, space = flat[keep], space[keep]
+    if not len(flat):
+        return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gaps = np.flatnonzero(space)
+    if len(gaps):
+        flat = flat.copy()
+        flat[gaps] = 0x20
+    starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(flat))
+    if len(starts) <= n:
+        return flat.tobytes(), starts[:1], ends[-1:]
+    return flat.tobytes(), starts[: len(starts) - n + 1], ends[n - 1 :]
+
+
+def shingles(text: str, n: int) -> list[bytes]:
+    """Word n-grams, repeats included; see :func:`shingle_bounds`."""
+    flat, starts, ends = shingle_bounds(text, n)
+    return [flat[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -65,15 +87,16 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def bit_margins(text: str, words: int, blocks: int = 1) -> np.ndarray:
     """For each bit, highest first: twice the hashes that set it, less all; no shingles give zeros."""
-    grams = shingles(text, words)
-    h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))
+    flat, starts, ends = shingle_bounds(text, words)
+    digest = xxhash.xxh64_intdigest
     sums = np.zeros(64 * blocks, np.int64)
-    for i in range(0, len(h), CHUNK):
-        part = h[i : i + CHUNK]
+    for i in range(0, len(starts), CHUNK):
+        spans = zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist(), strict=True)
+        part = np.array([digest(flat[a:b], SEED) for a, b in spans], np.uint64)
         for k in range(blocks):
             bits = np.unpackbits(_mixed(part, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             sums[64 * k : 64 * k + 64] += bits.sum(0, dtype=np.uint32)
-    return 2 * sums - len(h)
+    return 2 * sums - len(starts)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -82,7 +82,16 @@ def test_fast_path_gives_the_library_s_ids():
     points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
     texts = [f"a{c}b 1{c} {c}  {c}.{c}\n{c}x" for c in points[::7]] + [t or "" for t in TEXTS]
     for text, expected in zip(texts, slow.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-        assert enc.ids(text) == expected.ids
+        assert enc.ids(text).tolist() == expected.ids
+
+
+def test_parts_give_the_whole_ids(monkeypatch):
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = packing.encoder(**byte_bpe())
+    text = " ".join(["word", " 's", "two  gaps", "\n", "<|endoftext|>", "don't", "漢字", "12 34", "...", "end ", "\t"] * 40)
+    for size in (1, 7, 64, 300):
+        monkeypatch.setattr(packing, "PART", size)
+        assert enc.ids(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
 def test_documents_round_trip(spark):

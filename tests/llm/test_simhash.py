@@ -45,6 +45,16 @@ def test_fingerprints_by_hand(spark):
     assert found[0] == found[1] == found[2] == 0
 
 
+def test_shingles_by_hand():
+    rng = random.Random(8)
+    for _ in range(400):
+        text = "".join(rng.choice("aB \t\né\x0b\xa0\u2003") for _ in range(rng.randint(0, 30)))
+        words = text.encode().lower().split()
+        for n in (1, 3, 5):
+            expected = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+            assert simhash.shingles(text, n) == expected, (text, n)
+
+
 def prints_of(seed, centres, members, flips):
     rng = random.Random(seed)
     out = set()

@@ -48,5 +48,14 @@ def test_only_misses_are_encoded_and_appended(spark, tmp_path):
     assert 77 not in {r["n_tokens"] for r in other}
 
 
+def test_parts_give_the_whole_count(monkeypatch):
+    own = tokencount.SentencePieceCounter(MODEL)
+    assert own.by_parts
+    text = " ".join(["word", "  two", "\n", "\u2581", "a\u2581b", "naïve", "漢字", "x" * 50, "end ", "\t"] * 60)
+    for size in (1, 7, 64, 300):
+        monkeypatch.setattr(tokencount, "PART", size)
+        assert own.count(text) == len(own.library.encode(text))
+
+
 def test_empty(spark):
     assert tokencount.count_tokens(docs_of(spark).limit(0), MODEL).count() == 0
