@@ -25,6 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
+#: The share of a template's different words that a matching block holds.
+THRESHOLD = 0.85
+
 #: Phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -146,7 +149,7 @@ def corpus_frequency(docs: DataFrame, vocabulary: set[bytes], text_col: str = "t
     return {bytes(r["word"]): r["n"] for r in rows.collect()}
 
 
-def scan_licenses(docs: DataFrame, notices=NOTICES, phrases: dict[str, str] = BASE_PHRASES, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, notices=NOTICES, phrases: dict[str, str] = BASE_PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: phrase places, labels, best containment and the matching blocks.
 
     ``first_word`` and ``last_word`` are null where no phrase stands, and

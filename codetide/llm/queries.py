@@ -101,11 +101,45 @@ def op6_vecdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+#: All pairs, which is quick on the small tables that SQL is run on.
+OP6_SQL = """
+WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (SELECT * FROM vectors WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM vectors UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+component AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.x = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM vectors v JOIN component c ON v.vec_id = c.x
+"""
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's license phrases and notices."""
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("blocks")
 
 
+def _license_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+    scanner = licenses.Scanner(licenses.NOTICES, licenses.BASE_PHRASES, licenses.THRESHOLD, {})
+    templates = ", ".join(f"('{t.label}', {t.length}, {quoted(t.order)}, {t.need})" for t in scanner.templates)
+    phrases = ", ".join(f"('{label}', {quoted(licenses.license_words(phrase))})" for phrase, label in licenses.BASE_PHRASES.items())
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), templates AS (SELECT * FROM (VALUES {templates}) AS t(label, length, words, need)),
+phrases AS (SELECT * FROM (VALUES {phrases}) AS t(label, words)),
+starts AS (SELECT r, label, w, words, unnest(range(len(w) - len(words) + 1)) AS s FROM texts, phrases WHERE len(w) >= len(words)),
+places AS (SELECT r, label, s FROM starts WHERE list_slice(w, s + 1, s + len(words)) = words),
+windows AS (SELECT r, label, length, words, need, w, unnest(range(0, len(w), length)) AS s FROM texts, templates),
+counted AS (SELECT r, label, need, len(words) AS m, len(list_intersect(words, list_slice(w, s + 1, s + 2 * length))) AS common FROM windows),
+blocks AS (SELECT r, label, common / m::DOUBLE AS share FROM counted WHERE common >= need),
+base AS (SELECT r, count(*) AS n, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, label FROM blocks) GROUP BY r),
+best AS (SELECT r, max(share) AS score FROM blocks GROUP BY r)
+SELECT t.doc_id, len(t.w) AS n_words, coalesce(b.n, 0) AS n_base, b.first_word, b.last_word, coalesce(b.labels, '') AS base_labels, coalesce(n.labels, '') AS labels, coalesce(s.score, 0.0::DOUBLE) AS score
+FROM texts t LEFT JOIN base b ON t.r = b.r LEFT JOIN named n ON t.r = n.r LEFT JOIN best s ON t.r = s.r
+"""
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an image and read back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,9 +163,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP10_SQL = f"""
+WITH table_rows AS (
+  SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM table_rows),
+texts AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, source, len(h) // 2 AS n, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM texts),
+rows AS (
+  SELECT doc_id, source, n + 8 AS size, xor(4294967295, list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS text_crc32 FROM bytes, crc_table
+), keyed AS (
+  SELECT *, (CAST('0x' || substr(md5('29|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(text_crc32 AS VARCHAR) || '|' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS key FROM rows
+), ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32, size) - 1) / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS share FROM keyed
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY share, source NULLS FIRST, key, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS total FROM ranked
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(pos * {SHARDS} // total AS INTEGER) AS shard,
+       CAST(pos - ((pos * {SHARDS} // total) * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op4_mixing, op5_tokencount, op6_vecdedup, op7_licenses, op8_media, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL}
+    return {"op4_mixing": OP4_SQL, "op6_vecdedup": OP6_SQL, "op7_licenses": _license_sql(), "op10_sharding": OP10_SQL}
