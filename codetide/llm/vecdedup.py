@@ -1,7 +1,8 @@
 """Embedding near-dedup: spherical k-means cells and blocked cosine products.
 
 A vector's home is the cell of its nearest centroid; it also visits the next
-nearest cells, so that pairs across a border meet.  Within a cell, vectors are
+nearest cells, so that pairs across a border meet.  Cells that stay large are
+split by a second level of centroids, a million cells in all.  Within a cell, vectors are
 split into blocks, and each pair of blocks is one small matrix product.  A block
 pair returns a count for each vector and the links of a spanning forest, so
 what leaves it grows with its vectors, not with its pairs.
@@ -21,6 +22,8 @@ from .components import components
 
 #: Bounds of the fit: vectors sampled, centroids, and rounds.
 SAMPLE, MOST_CELLS, ROUNDS = 16_384, 1024, 8
+#: Cells with more vectors than this are split by centroids of their own, fitted on about SPLIT_SAMPLE of them.
+SPLIT_ABOVE, SPLIT_SAMPLE = 8192, 4096
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.ndarray:
@@ -84,12 +87,53 @@ def assign(classes: DataFrame, centres: dict[int, np.ndarray], visits: int) -> D
                 at = [i for i, r in enumerate(rows) if len(r) == dim]
                 x = _unit([rows[i] for i in at])
                 c = shared.value.get(dim)
-                near = np.zeros((len(at), 1), np.int32) if c is None else np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :visits].astype(np.int32)
+                near = np.zeros((len(at), 1), np.int64) if c is None else np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :visits]
                 for i, u, n in zip(at, x.tolist(), near.tolist(), strict=True):
                     units[i], cells[i] = u, n
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.list_(pa.float64())), pa.array([len(r) for r in rows], pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=["node", "copies", "v", "dim", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.list_(pa.float64())), pa.array([len(r) for r in rows], pa.int32()), pa.array(cells, pa.list_(pa.int64()))], names=["node", "copies", "v", "dim", "cells"])
 
-    return classes.select("node", "copies", "v").mapInArrow(run, "node long, copies long, v array<double>, dim int, cells array<int>")
+    return classes.select("node", "copies", "v").mapInArrow(run, "node long, copies long, v array<double>, dim int, cells array<long>")
+
+
+def split_cells(placed: DataFrame, above: int, cell_size: int, visits: int) -> DataFrame:
+    """``placed`` with cells of a second level where a cell has more than ``above`` vectors.
+
+    Each such cell gets centroids of its own.  They reach its vectors in groups of
+    about ``SPLIT_SAMPLE``, so neither a hot cell nor the number of cells has to fit
+    in one place.  Where nothing is that large, ``placed`` comes back as it is.
+    """
+    spread = placed.select("node", "v", "dim", F.posexplode("cells").alias("pos", "cell"))
+    large = spread.groupBy("dim", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > above)
+    large = stage(large.withColumn("groups", F.ceil(F.col("n") / SPLIT_SAMPLE).cast("int")), "large-cells")
+    if large.isEmpty():
+        return placed
+    tagged = spread.join(large, ["dim", "cell"], "left")
+    inside = tagged.filter("n is not null").withColumn("group", F.pmod(F.xxhash64("node"), "groups").cast("int"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist())
+        k = max(1, min(MOST_CELLS, -(-int(pdf["n"].iloc[0]) // cell_size), len(x)))
+        return pd.DataFrame({"dim": pdf["dim"].iloc[0], "cell": pdf["cell"].iloc[0], "centre": list(spherical_kmeans(x, k))})
+
+    fitted = inside.filter("group = 0").groupBy("dim", "cell").applyInPandas(fit, "dim int, cell long, centre array<double>")
+    fitted = stage(fitted, "second-centres").join(large.select("dim", "cell", "groups"), ["dim", "cell"])
+    fitted = fitted.select("dim", "cell", "centre", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+
+    def near(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({"node": [], "pos": [], "ids": []})
+        if centres.empty:  # the sample met no vector of this cell
+            order = np.zeros((len(rows), 1), np.int64)
+        else:
+            c = np.array(sorted(map(tuple, centres["centre"])))  # the same order in every group
+            order = np.argsort(-(np.array(rows["v"].tolist()) @ c.T), axis=1, kind="stable")[:, :visits]
+        return pd.DataFrame({"node": rows["node"], "pos": rows["pos"], "ids": list(rows["cell"].to_numpy()[:, None] * MOST_CELLS + order)})
+
+    keys = ["dim", "cell", "group"]
+    second = inside.select("node", "pos", "v", *keys).groupBy(*keys).cogroup(fitted.groupBy(*keys)).applyInPandas(near, "node long, pos int, ids array<long>")
+    first = tagged.filter("n is null").select("node", "pos", F.array(F.col("cell") * MOST_CELLS).alias("ids"))
+    cells = first.unionByName(second).groupBy("node").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("cells"))
+    return stage(placed.drop("cells").join(cells, "node"), "second-cells")
 
 
 def compare(key: tuple, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -107,10 +151,10 @@ def compare(key: tuple, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         i, j = np.nonzero(x @ y.T >= threshold)
         if left == right:
             i, j = i[i < j], j[i < j]
-        cells_a, cells_b = np.array(a["cells"].tolist()), np.array(b["cells"].tolist())
+        cells_a, cells_b = _padded(a["cells"]), _padded(b["cells"])
         home_a, home_b = cells_a[i, 0], cells_b[j, 0]
         a_sees, b_sees = (cells_a[i] == home_b[:, None]).any(1), (cells_b[j] == home_a[:, None]).any(1)
-        never = np.iinfo(np.int32).max
+        never = np.iinfo(np.int64).max
         where = np.minimum(np.where(b_sees, home_a, never), np.where(a_sees, home_b, never))
         i, j = i[where == cell], j[where == cell]
         ids_a, ids_b = a["node"].to_numpy(), b["node"].to_numpy()
@@ -139,7 +183,15 @@ def compare(key: tuple, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(out).astype("int64")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 256, block: int = 512, visits: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _padded(cells: pd.Series) -> np.ndarray:
+    """Cell lists of any lengths as a matrix; -1 is no cell."""
+    out = np.full((len(cells), cells.map(len).max()), -1, np.int64)
+    for i, c in enumerate(cells):
+        out[i, : len(c)] = c
+    return out
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 256, block: int = 512, visits: int = 3, split_above: int = SPLIT_ABOVE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row, by cosine in double precision.
 
     No pair below ``threshold`` is linked.  Pairs at or above it are missed only
@@ -150,7 +202,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 2
     and link with each other.  An empty table gives no rows.
     """
     rows, classes = vector_classes(vectors, id_col, vec_col)
-    placed = stage(assign(classes, fit_cells(classes, cell_size), visits), "cells")
+    placed = split_cells(stage(assign(classes, fit_cells(classes, cell_size), visits), "cells"), split_above, cell_size, visits)
     sized = placed.select("dim", F.explode("cells").alias("cell")).groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
     members = placed.select("node", "copies", "v", "cells", "dim", F.explode("cells").alias("cell")).join(sized, ["dim", "cell"])
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -60,6 +60,16 @@ def test_recall_across_cell_borders(spark):
     print("recall", found / there)
 
 
+def test_second_level_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(vecdedup, "SPLIT_SAMPLE", 90)
+    rows = cloud(3, 120, 6, 16, 0.12) + [(5000 + i, v) for i, v in cloud(4, 1, 300, 16, 0.01)]
+    got, expected = run(spark, rows, cell_size=200, block=64, split_above=120), brute(rows)
+    found, there = sum(r[1] for r in got), sum(r[1] for r in expected)
+    assert all(g[1] <= e[1] for g, e in zip(sorted(got), sorted(expected), strict=True))
+    assert found >= 0.9 * there > 0
+    assert sorted(r for r in got if r[0] >= 5000) == sorted(r for r in expected if r[0] >= 5000)
+
+
 def test_one_large_group(spark):
     rows = cloud(5, 1, 700, 8, 0.02)
     got = run(spark, rows, block=64)
