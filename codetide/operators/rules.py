@@ -39,6 +39,7 @@ def _share(least_commits: int, low: float, high: float = 1.0) -> Callable[[Colum
 
 _any = lambda hits, n, ratio: hits > 0
 
+# Names, severities and bounds of the rules, in their order.
 RULES = [
     Rule("wip_in_main", "medium", "wip", _any),
     Rule("large_commits", "low", "large", _any),
@@ -102,6 +103,7 @@ def hotspot_files(commits: DataFrame, changes: DataFrame, share: float = 0.3, n:
 # --- quality gates ------------------------------------------------------------
 
 
+# Default limits and severities of the gates.
 @dataclass(frozen=True)
 class Thresholds:
     """Limits of the gates.  The last four can be set but no gate reads them."""
