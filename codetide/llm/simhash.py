@@ -141,7 +141,8 @@ def near_links(prints: DataFrame, distance: int = 2, hot: int = 64, name: str =
 
     ``prints`` has one row for each different ``fp`` and should be a stored
     table.  ``distance`` is at most 3, which is what balls of radius 1 in two
-    segments reach; the hot path needs at most 2.
+    segments reach.  At the usual distance, 2, values with over ``hot`` members
+    have the linear path; at others all pairs of a value are compared.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments and balls of radius 1 reach distances up to 3")
@@ -149,7 +150,7 @@ def near_links(prints: DataFrame, distance: int = 2, hot: int = 64, name: str =
     table = prints.select("fp", F.explode(F.array(*_segments(fp))).alias("key"))
     probes = prints.select("fp", F.explode(F.concat(F.array(*_segments(fp)), *map(_raised, _segments(fp)))).alias("key"))
     members = None
-    if distance <= 2:
+    if distance == 2:
         crowded = stage(table.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"), f"{name}-hot")
         if not crowded.isEmpty():
             members = probes.join(crowded, "key", "left_semi").select("fp").distinct()
@@ -157,19 +158,14 @@ def near_links(prints: DataFrame, distance: int = 2, hot: int = 64, name: str =
     found = probes.join(table.select("key", F.col("fp").alias("other")), "key")
     found = found.filter((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance))
     links = found.select(F.col("fp").alias("u"), F.col("other").alias("v"))
-    return links if members is None else links.unionByName(_clique_links(members, distance))
+    return links if members is None else links.unionByName(_clique_links(members))
 
 
-def _clique_links(members: DataFrame, distance: int) -> DataFrame:
-    """Links among ``members`` by the one-bit balls of whole fingerprints (distance 2), or their words (0)."""
+def _clique_links(members: DataFrame) -> DataFrame:
+    """Links among ``members`` at distance 2: all whose one-bit balls share a word are that close to each other."""
     fp = F.col("fp")
     bits = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)))
-    ball = F.concat(F.array(fp), F.transform(bits, lambda b: fp.bitwiseXOR(b))) if distance == 2 else F.concat(F.array(fp), F.transform(F.filter(bits, lambda b: fp.bitwiseAND(b) == 0), lambda b: fp.bitwiseOR(b)))
-    published = members.select("fp", F.explode(ball).alias("word"))
-    if distance < 2:
-        # distance 1: the owner of the word and those one bit below it; distance 0 has no links between different fingerprints
-        own = members.select(F.col("fp").alias("other"), F.col("fp").alias("word"))
-        return published.join(own, "word").filter((F.col("fp") != F.col("other")) & F.lit(distance == 1)).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    published = members.select("fp", F.explode(F.concat(F.array(fp), F.transform(bits, lambda b: fp.bitwiseXOR(b)))).alias("word"))
     least = published.groupBy("word").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most").select("word", "least")
     return published.join(least, "word").filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
