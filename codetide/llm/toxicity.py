@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -140,6 +141,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: ToxicitySettin
 
 def fit(toxic: list[str], ordinary: list[str], settings: ToxicitySettings) -> ToxicityModel | None:
     """A calibrated model, or None where the labelled texts don't suffice to train dictionaries."""
+    return _best(fit_segment(toxic, ordinary, settings, k, d) for k, d in settings.segments)
+
+
+def _best(found: Iterable[tuple[float, ToxicityModel] | None]) -> ToxicityModel | None:
+    """Of the trained models the one with the least loss; the first of several."""
+    return min(filter(None, found), key=lambda x: x[0], default=(0.0, None))[1]
+
+
+def fit_segment(toxic: list[str], ordinary: list[str], settings: ToxicitySettings, k: int, d: int) -> tuple[float, ToxicityModel] | None:
+    """Loss and model of the best share for one pair of segment lengths."""
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     seen, held = (toxic[::3] + toxic[1::3], ordinary[::3] + ordinary[1::3]), (toxic[2::3], ordinary[2::3])
     if not all(map(len, (*seen, *held))):
@@ -150,20 +161,19 @@ def fit(toxic: list[str], ordinary: list[str], settings: ToxicitySettings) -> To
     spread = Counter(w for s in special for w in set(s))
     common = [CARRIER + w for t in seen[1][:1500] for w in windows(t, n)]
     common = random.Random(7).sample(common, min(len(common), 150_000))
+    ordinary_dict = _train(common, settings.ordinary_dict_bytes, settings.level, k, d)
     best: tuple[float, ToxicityModel] | None = None
-    for k, d in settings.segments:
-        ordinary_dict = _train(common, settings.ordinary_dict_bytes, settings.level, k, d)
-        for share in settings.shares if ordinary_dict else ():
-            need = max(settings.least_texts, share * len(seen[0]))
-            samples = [CARRIER + w for s in special for w in s if spread[w] >= need]
-            toxic_dict = _train((samples * (1 + 3000 // len(samples)))[:100_000], settings.toxic_dict_bytes, settings.level, k, d) if samples else None
-            if toxic_dict is None:
-                continue
-            model = ToxicityModel(ordinary_dict, toxic_dict, [0.0] * 5, n, settings.level)
-            loss, model.weights = _calibrate(model, held, settings.cut)
-            if best is None or loss < best[0]:
-                best = loss, model
-    return best and best[1]
+    for share in settings.shares if ordinary_dict else ():
+        need = max(settings.least_texts, share * len(seen[0]))
+        samples = [CARRIER + w for s in special for w in s if spread[w] >= need]
+        toxic_dict = _train((samples * (1 + 3000 // len(samples)))[:100_000], settings.toxic_dict_bytes, settings.level, k, d) if samples else None
+        if toxic_dict is None:
+            continue
+        model = ToxicityModel(ordinary_dict, toxic_dict, [0.0] * 5, n, settings.level)
+        loss, model.weights = _calibrate(model, held, settings.cut)
+        if best is None or loss < best[0]:
+            best = loss, model
+    return best
 
 
 def _train(samples: list[bytes], size: int, level: int, k: int, d: int) -> bytes | None:
@@ -206,8 +216,21 @@ def _calibrate(model: ToxicityModel, held: tuple[list[str], list[str]], cut: flo
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> ToxicityModel | None:
-    """Fit on labelled rows of ``labels(doc_id, toxic)`` and their texts in ``docs(doc_id, text)``."""
-    return fit(*labelled_sample(docs, labels, settings), settings)
+    """Fit on labelled rows of ``labels(doc_id, toxic)`` and their texts in ``docs(doc_id, text)``.
+
+    Each pair of segment lengths is one task; what they get is the bounded sample.
+    """
+    spark = docs.sparkSession
+    sample = spark.sparkContext.broadcast(labelled_sample(docs, labels, settings))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pickle.dumps(fit_segment(*sample.value, settings, *settings.segments[i])) for i in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "found"])
+
+    tasks = len(settings.segments)
+    rows = spark.range(0, tasks, 1, tasks).mapInArrow(run, "id long, found binary").collect()  # one for each pair
+    return _best(pickle.loads(r["found"]) for r in sorted(rows, key=lambda r: r["id"]))
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", out: str = "score") -> DataFrame:
