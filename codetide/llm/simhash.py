@@ -217,26 +217,47 @@ def wide_prints(docs: DataFrame, words: int, segments: int, width: int, ball: in
     return docs.mapInArrow(run, f"id {kind}, row string, node long, parts array<long>, flips array<long>")
 
 
-def similar_pairs(prints: DataFrame, width: int, ball: int, max_share: float) -> DataFrame:
-    """Candidate pairs ``(node, other)`` of ``prints(node, parts, flips)``, whose nodes are different.
+def shared_words(prints: DataFrame, width: int, ball: int) -> DataFrame:
+    """``(word, node, least)`` of the words that several nodes of ``prints(node, parts, flips)`` publish; ``least`` is the smallest of them.
 
     Each node publishes its segment values and those with one uncertain bit
     flipped.  Two nodes meet where a segment differs in no bit, in one uncertain
-    bit, or in two of which each side is uncertain of one.  All that publish the
-    same word are compared with the smallest node among them, so pairs grow in
-    proportion to the words, not with the square of a group.  Pairs with more than
-    ``max_share`` of all bits apart are left out.
+    bit, or in two of which each side is uncertain of one.
     """
     spot = F.posexplode(F.concat("parts", "flips"))
     words = prints.select("node", "parts", F.size("parts").alias("n"), spot.alias("at", "value"))
     segment = F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.floor((F.col("at") - F.col("n")) / ball))
     value = F.when(F.col("at") < F.col("n"), F.col("value")).otherwise(F.get("parts", segment.cast("int")).bitwiseXOR(F.col("value")))
     keyed = words.select("node", (F.shiftleft(segment.cast("long"), width)).bitwiseOR(value).alias("word"))
-    met = keyed.select("node", F.min("node").over(W.partitionBy("word")).alias("other"))
-    pairs = met.filter("other < node").distinct()
+    within = W.partitionBy("word")
+    met = keyed.select("word", "node", F.min("node").over(within).alias("least"), F.max("node").over(within).alias("most"))
+    return met.filter("least <> most").drop("most")
+
+
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs ``(node, other)`` of each node and the smallest node of a word.
+
+    They join large groups at little cost, but leave pairs of a word out:
+    :func:`rest_pairs` has those.
+    """
+    return shared.filter("least < node").select("node", F.col("least").alias("other")).distinct()
+
+
+def rest_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs ``(node, other)`` that share a word and that ``roots(node, root)`` has in different components."""
+    within = W.partitionBy("word")
+    rooted = shared.join(roots, "node", "left").select("word", "node", F.coalesce("root", "node").alias("root"))
+    rooted = rooted.select("*", F.min("root").over(within).alias("low"), F.max("root").over(within).alias("high"))
+    mixed = stage(rooted.filter("low <> high").select("word", "node", "root"), "mixed")
+    both = mixed.join(mixed.select("word", F.col("node").alias("other"), F.col("root").alias("other_root")), "word")
+    return both.filter("other < node and root <> other_root").select("node", "other").distinct()
+
+
+def close_pairs(pairs: DataFrame, prints: DataFrame, width: int, max_share: float) -> DataFrame:
+    """The ``pairs(node, other)`` with at most ``max_share`` of all bits apart."""
     side = prints.select("node", "parts")
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = stage(pairs, "pairs").join(side.withColumnRenamed("parts", "a"), "node").join(side.select(F.col("node").alias("other"), F.col("parts").alias("b")), "other")
+    both = pairs.join(side.withColumnRenamed("parts", "a"), "node").join(side.select(F.col("node").alias("other"), F.col("parts").alias("b")), "other")
     return both.filter(apart <= max_share * width * F.size("a")).select("node", "other")
 
 
@@ -250,8 +271,8 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
     Groups are components of texts whose ``words``-shingle sets have at least the
-    given Jaccard similarity; candidates come from :func:`similar_pairs`, and each
-    is verified on the texts themselves.  Texts that differ only in case or white
+    given Jaccard similarity; candidates come from :func:`star_pairs` and :func:`rest_pairs`,
+    and each is verified on the texts themselves.  Texts that differ only in case or white
     space are one node.  Rows equal in id and text count as one, of which one
     stays; null ids come last.  A null text counts as empty, and texts without
     words form one group.  All columns of ``docs`` stay as they are.
@@ -261,20 +282,28 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     nodes = stage(prints.groupBy("node").agg(first.alias("first")), "nodes")
     chosen = prints.join(nodes.select("node", F.col("first.row").alias("row")), ["node", "row"]).select("node", "parts", "flips")
-    pairs = stage(similar_pairs(stage(chosen.dropDuplicates(["node"]), "chosen"), width, ball, max_share), "candidates")
-    wanted = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
-    rows = stage(nodes.join(wanted, "node", "left_semi").select("node", F.col("first.row").alias("row")), "wanted")
-    # Both joins with texts are merge joins at every size: what they join to grows with the corpus.
-    texts = docs.select(row_id.alias("row"), F.col(text_col).alias("text")).join(rows.hint("merge"), "row").select("node", "text")
-    texts = stage(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
-    both = pairs.join(texts.withColumnRenamed("text", "a"), "node").join(texts.select(F.col("node").alias("other"), F.col("text").alias("b")), "other")
+    chosen = stage(chosen.dropDuplicates(["node"]), "chosen")
 
     @F.arrow_udf("boolean")
     def alike(left: pa.Array, right: pa.Array) -> pa.Array:
         return pa.array([jaccard(a.as_py(), b.as_py(), words) >= similarity for a, b in zip(left, right, strict=True)], pa.bool_())
 
-    links = both.filter(alike("a", "b")).select(F.col("node").alias("u"), F.col("other").alias("v"))
+    def links_of(found: DataFrame, name: str) -> DataFrame:
+        pairs = stage(close_pairs(stage(found, f"{name}-pairs"), chosen, width, max_share), f"{name}-candidates")
+        wanted = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
+        rows = stage(nodes.join(wanted, "node", "left_semi").select("node", F.col("first.row").alias("row")), f"{name}-wanted")
+        # Both joins with texts are merge joins at every size: what they join to grows with the corpus.
+        texts = docs.select(row_id.alias("row"), F.col(text_col).alias("text")).join(rows.hint("merge"), "row").select("node", "text")
+        texts = stage(texts.groupBy("node").agg(F.min("text").alias("text")), f"{name}-texts")
+        both = pairs.join(texts.withColumnRenamed("text", "a"), "node").join(texts.select(F.col("node").alias("other"), F.col("text").alias("b")), "other")
+        return stage(both.filter(alike("a", "b")).select(F.col("node").alias("u"), F.col("other").alias("v")), f"{name}-links")
+
+    shared = stage(shared_words(chosen, width, ball), "shared")
+    links = links_of(star_pairs(shared), "star")
     roots = components(links, "similar")
+    more = links_of(rest_pairs(shared, roots), "rest")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more), "similar")
     labelled = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = stage(labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "kept")
     return docs.withColumn("__row", row_id).join(kept.hint("merge"), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)

@@ -143,3 +143,25 @@ def test_wide_recall(spark):
     assert all(simhash.jaccard(rows[2 * p][1], rows[2 * p + 1][1], 5) >= 0.8 for p in range(pairs))
     kept = simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).count()
     assert kept <= pairs + pairs // 5
+
+
+def test_pairs_without_the_smallest_node(spark):
+    """Of a word's members all that are not linked yet are compared, not the smallest with the rest alone."""
+    shared = spark.createDataFrame([(7, n, 1) for n in (1, 2, 3, 4)] + [(8, n, 2) for n in (2, 3)], "word long, node long, least long")
+    assert sorted(map(tuple, simhash.star_pairs(shared).collect())) == [(2, 1), (3, 1), (3, 2), (4, 1)]
+    roots = spark.createDataFrame([(2, 2), (3, 2)], "node long, root long")
+    assert sorted(map(tuple, simhash.rest_pairs(shared, roots).collect())) == [(2, 1), (3, 1), (4, 1), (4, 2), (4, 3)]
+    one = spark.createDataFrame([(n, 1) for n in (1, 2, 3, 4)], "node long, root long")
+    assert simhash.rest_pairs(shared, one).count() == 0
+
+
+def test_near_copies_in_crowded_words(spark):
+    """With four bits in all every word is crowded, and most copies are not next to the smallest node."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(30):
+        text = [f"w{x}" for x in rng.integers(0, 10**6, 100)]
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join([*text, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one_per_group(docs, segments=1, width=4, ball=4, max_share=1.0).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 60, 2))
