@@ -4,7 +4,7 @@ Fingerprints are cut into segments.  For each segment the small Hamming balls
 around its values are enumerated, table matches on them are fetched, and the
 complete distance of each match is verified.
 
-Two searches share the fingerprints:
+Two searches are here:
 
 * :func:`near_links` is exact for small distances.  64 bits in two segments and
   distance 2 mean that one segment differs in at most one bit, so balls of radius
@@ -12,15 +12,15 @@ Two searches share the fingerprints:
   ``hot`` says, their pairs are not listed: each such fingerprint publishes the
   one-bit ball of its whole fingerprint, and all that publish the same word are
   within two bits of each other, so a link to the smallest of them loses nothing.
-* :func:`similar_links` serves similarity thresholds, for which distances are far
-  larger.  It uses wider fingerprints, balls over the least certain bits of each
-  segment on both sides, and verifies the complete distance and then the Jaccard
-  similarity of the shingle sets themselves.
+* :func:`keep_one_per_group` serves similarity thresholds, for which distances are
+  far larger than balls can reach.  It uses no fingerprints but prefixes of the
+  shingle sets, which is exact: see :func:`prefixes`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -75,28 +75,22 @@ def shingles(text: str, n: int) -> list[bytes]:
     return [flat[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th of several independent 64-bit hashes from one; the first is the hash itself."""
-    if not k:
-        return h
-    z = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def bit_margins(text: str, words: int, blocks: int = 1) -> np.ndarray:
-    """For each bit, highest first: twice the hashes that set it, less all; no shingles give zeros."""
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, repeats included, in pieces of at most ``CHUNK``."""
     flat, starts, ends = shingle_bounds(text, words)
     digest = xxhash.xxh64_intdigest
-    sums = np.zeros(64 * blocks, np.int64)
     for i in range(0, len(starts), CHUNK):
         spans = zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist(), strict=True)
-        part = np.array([digest(flat[a:b], SEED) for a, b in spans], np.uint64)
-        for k in range(blocks):
-            bits = np.unpackbits(_mixed(part, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            sums[64 * k : 64 * k + 64] += bits.sum(0, dtype=np.uint32)
-    return 2 * sums - len(starts)
+        yield np.array([digest(flat[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def bit_margins(text: str, words: int) -> np.ndarray:
+    """For each bit, highest first: twice the hashes that set it, less all; no shingles give zeros."""
+    sums, n = np.zeros(64, np.int64), 0
+    for part in shingle_hashes(text, words):
+        sums += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
+        n += len(part)
+    return 2 * sums - n
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,76 +183,121 @@ def group_near(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str =
 
 # --- similarity thresholds ----------------------------------------------------
 
+#: Texts whose shingles are counted, about, and how many of the most common ones are kept.
+COUNTED_TEXTS = 20_000
+COMMON = 1 << 16
+#: Shingles in fewer counted texts than this are not common.
+LEAST_COMMON = 3
+#: Rows whose hashes are sent to all executors at most.
+FEW_ROWS = 1 << 20
+
 
-def wide_prints(docs: DataFrame, words: int, segments: int, width: int, ball: int) -> DataFrame:
-    """``docs(id, row, text)`` -> ``(id, row, node, parts, flips)``: a wide fingerprint for every row.
+def hash_set(text: str, words: int) -> np.ndarray:
+    """The different hashes of a text's shingles, smallest first."""
+    parts = [np.unique(p) for p in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most common shingles of ``docs(text)``, smallest first, and in how many of the counted texts each is.
+
+    They only settle the order of shingles in :func:`prefixes`.  Any order gives the
+    same result; with common shingles last, fewer pairs have to be compared.
+    """
+    share = min(1.0, COUNTED_TEXTS / max(1, docs.count()))
+    counted = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * share).select("text").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.uint64), *(hash_set(text.as_py() or "", words) for text in batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+
+    counts = counted.mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= LEAST_COMMON)
+    rows = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()  # at most COMMON
+    found = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r["count"] for r in rows], np.int64)[order]
+
+
+def _ceil(x: float) -> int:
+    """Round up, with room for what floats lose."""
+    return ceil(x - 1e-9)
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``docs(id, row, text)`` -> ``(id, row, node, size, prefix)``: the first shingles of every row's set in one fixed order.
 
     ``node`` is a hash of the words in lower case: rows that differ only in case
     or white space share it.  (Two of n texts share it by chance with odds of
-    n * n / 2 ** 65.)  ``parts`` are the values of the segments, ``flips`` the
-    masks of the ``ball`` least certain bits of each, segment by segment.
+    n * n / 2 ** 65.)  Shingles stand for their hashes.  ``size`` is how many
+    different ones there are.  Sets with at least the ``similarity`` have
+    ``similarity * size`` in common, so both have one of those among their first
+    ``size - similarity * size + 1``, which is the ``prefix``.
     """
-    blocks = -(-segments * width // 64)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = np.int64(1) << np.arange(width, dtype=np.int64)[::-1]
+        known, often = common.value
         for batch in batches:
-            nodes, parts, flips = [], [], []
+            nodes, sizes, firsts = [], [], []
             for text in batch.column(2):
                 text = text.as_py() or ""
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(text.encode().lower().split())) - (1 << 63))
-                margins = bit_margins(text, words, blocks)[: segments * width].reshape(segments, width)
-                parts.append((margins > 0) @ powers)
-                flips.append(powers[np.argsort(np.abs(margins), axis=1, kind="stable")[:, :ball]].ravel())
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(parts, longs), pa.array(flips, longs)], names=["id", "row", "node", "parts", "flips"])
+                found = hash_set(text, words)
+                sizes.append(len(found))
+                if len(known) and len(found):
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    found = found[np.lexsort((found, np.where(known[at] == found, often[at], 0)))]
+                firsts.append(found[: len(found) - _ceil(similarity * len(found)) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "row", "node", "size", "prefix"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, row string, node long, parts array<long>, flips array<long>")
+    return docs.mapInArrow(run, f"id {kind}, row string, node long, size long, prefix array<long>")
 
 
-def shared_words(prints: DataFrame, width: int, ball: int) -> DataFrame:
-    """``(word, node, least)`` of the words that several nodes of ``prints(node, parts, flips)`` publish; ``least`` is the smallest of them.
+def shared_words(prints: DataFrame) -> DataFrame:
+    """``(word, node, size, at, least)`` of the prefix shingles that several nodes of ``prints(node, size, prefix)`` have.
 
-    Each node publishes its segment values and those with one uncertain bit
-    flipped.  Two nodes meet where a segment differs in no bit, in one uncertain
-    bit, or in two of which each side is uncertain of one.
+    ``at`` is the shingle's place in the node's prefix, and ``least(node, size, at)``
+    the node with the smallest id that has it.
     """
-    spot = F.posexplode(F.concat("parts", "flips"))
-    words = prints.select("node", "parts", F.size("parts").alias("n"), spot.alias("at", "value"))
-    segment = F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.floor((F.col("at") - F.col("n")) / ball))
-    value = F.when(F.col("at") < F.col("n"), F.col("value")).otherwise(F.get("parts", segment.cast("int")).bitwiseXOR(F.col("value")))
-    keyed = words.select("node", (F.shiftleft(segment.cast("long"), width)).bitwiseOR(value).alias("word"))
+    words = prints.select("node", "size", F.posexplode("prefix").alias("at", "word"))
     within = W.partitionBy("word")
-    met = keyed.select("word", "node", F.min("node").over(within).alias("least"), F.max("node").over(within).alias("most"))
-    return met.filter("least <> most").drop("most")
+    met = words.select("*", F.min(F.struct("node", "size", "at")).over(within).alias("least"), F.max("node").over(within).alias("most"))
+    return met.filter("least.node <> most").drop("most")
 
 
-def star_pairs(shared: DataFrame) -> DataFrame:
+def _may_reach(similarity: float, size: Column, at: Column, other_size: Column, other_at: Column) -> Column:
+    """Whether two sets can have the similarity, if no shingle before these places is in both.
+
+    Then what they have in common is at most what follows in either; and the sizes
+    alone set a bound.  Of a pair's shared shingles the first one meets the premise.
+    """
+    least = F.lit(similarity / (1 + similarity)) * (size + other_size) - 1e-6
+    left = F.least(size - at, other_size - other_at)
+    return (left >= least) & (F.least(size, other_size) >= F.lit(similarity) * F.greatest(size, other_size) - 1e-6)
+
+
+def star_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``(node, other)`` of each node and the smallest node of a word.
 
     They join large groups at little cost, but leave pairs of a word out:
     :func:`rest_pairs` has those.
     """
-    return shared.filter("least < node").select("node", F.col("least").alias("other")).distinct()
+    able = _may_reach(similarity, F.col("size"), F.col("at"), F.col("least.size"), F.col("least.at"))
+    return shared.filter((F.col("least.node") < F.col("node")) & able).select("node", F.col("least.node").alias("other")).distinct()
 
 
-def rest_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs ``(node, other)`` that share a word and that ``roots(node, root)`` has in different components."""
+def rest_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``(node, other)`` that may be similar and that ``roots(node, root)`` has in different components."""
     within = W.partitionBy("word")
-    rooted = shared.join(roots, "node", "left").select("word", "node", F.coalesce("root", "node").alias("root"))
+    rooted = shared.join(roots, "node", "left").select("word", "node", "size", "at", F.coalesce("root", "node").alias("root"))
     rooted = rooted.select("*", F.min("root").over(within).alias("low"), F.max("root").over(within).alias("high"))
-    mixed = stage(rooted.filter("low <> high").select("word", "node", "root"), "mixed")
-    both = mixed.join(mixed.select("word", F.col("node").alias("other"), F.col("root").alias("other_root")), "word")
-    return both.filter("other < node and root <> other_root").select("node", "other").distinct()
-
-
-def close_pairs(pairs: DataFrame, prints: DataFrame, width: int, max_share: float) -> DataFrame:
-    """The ``pairs(node, other)`` with at most ``max_share`` of all bits apart."""
-    side = prints.select("node", "parts")
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = pairs.join(side.withColumnRenamed("parts", "a"), "node").join(side.select(F.col("node").alias("other"), F.col("parts").alias("b")), "other")
-    return both.filter(apart <= max_share * width * F.size("a")).select("node", "other")
+    mixed = stage(rooted.filter("low <> high").select("word", "node", "size", "at", "root"), "mixed")
+    a, b = mixed.alias("a"), mixed.alias("b")
+    able = _may_reach(similarity, F.col("a.size"), F.col("a.at"), F.col("b.size"), F.col("b.at"))
+    both = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("b.node") < F.col("a.node")) & (F.col("a.root") != F.col("b.root")) & able)
+    return both.select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
 
 
 def jaccard(a: str | None, b: str | None, words: int) -> float:
@@ -267,41 +306,46 @@ def jaccard(a: str | None, b: str | None, words: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", segments: int = 10, width: int = 28, ball: int = 7, max_share: float = 0.25) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
     Groups are components of texts whose ``words``-shingle sets have at least the
-    given Jaccard similarity; candidates come from :func:`star_pairs` and :func:`rest_pairs`,
-    and each is verified on the texts themselves.  Texts that differ only in case or white
-    space are one node.  Rows equal in id and text count as one, of which one
-    stays; null ids come last.  A null text counts as empty, and texts without
-    words form one group.  All columns of ``docs`` stay as they are.
+    given Jaccard similarity, above 0; candidates come from :func:`star_pairs` and
+    :func:`rest_pairs`, which lose none, and each is verified on the texts
+    themselves.  Texts that differ only in case or white space are one node.  Rows
+    equal in id and text count as one, of which one stays; null ids come last.  A
+    null text counts as empty, and texts without words form one group.  All columns
+    of ``docs`` stay as they are.
     """
     row_id = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    prints = stage(wide_prints(docs.select(F.col(id_col).alias("id"), row_id.alias("row"), F.col(text_col).alias("text")), words, segments, width, ball), "wide")
+    prints = stage(prefixes(docs.select(F.col(id_col).alias("id"), row_id.alias("row"), F.col(text_col).alias("text")), words, similarity), "prefixes")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     nodes = stage(prints.groupBy("node").agg(first.alias("first")), "nodes")
-    chosen = prints.join(nodes.select("node", F.col("first.row").alias("row")), ["node", "row"]).select("node", "parts", "flips")
-    chosen = stage(chosen.dropDuplicates(["node"]), "chosen")
+    chosen = prints.select("node", "size", "prefix").dropDuplicates(["node"])
 
     @F.arrow_udf("boolean")
     def alike(left: pa.Array, right: pa.Array) -> pa.Array:
         return pa.array([jaccard(a.as_py(), b.as_py(), words) >= similarity for a, b in zip(left, right, strict=True)], pa.bool_())
 
     def links_of(found: DataFrame, name: str) -> DataFrame:
-        pairs = stage(close_pairs(stage(found, f"{name}-pairs"), chosen, width, max_share), f"{name}-candidates")
+        pairs = stage(found, f"{name}-pairs")
         wanted = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
         rows = stage(nodes.join(wanted, "node", "left_semi").select("node", F.col("first.row").alias("row")), f"{name}-wanted")
+        texts = docs.select(row_id.alias("row"), F.col(text_col).alias("text"))
+        if rows.count() <= FEW_ROWS:
+            # Most texts are not wanted: leave them out by a hash, before the join moves them.
+            hashes = rows.select(F.xxhash64("row").alias("hash")).distinct()
+            texts = texts.join(F.broadcast(hashes), F.xxhash64("row") == F.col("hash"), "left_semi")
         # Both joins with texts are merge joins at every size: what they join to grows with the corpus.
-        texts = docs.select(row_id.alias("row"), F.col(text_col).alias("text")).join(rows.hint("merge"), "row").select("node", "text")
+        texts = texts.join(rows.hint("merge"), "row").select("node", "text")
         texts = stage(texts.groupBy("node").agg(F.min("text").alias("text")), f"{name}-texts")
         both = pairs.join(texts.withColumnRenamed("text", "a"), "node").join(texts.select(F.col("node").alias("other"), F.col("text").alias("b")), "other")
         return stage(both.filter(alike("a", "b")).select(F.col("node").alias("u"), F.col("other").alias("v")), f"{name}-links")
 
-    shared = stage(shared_words(chosen, width, ball), "shared")
-    links = links_of(star_pairs(shared), "star")
+    shared = stage(shared_words(chosen), "shared")
+    links = links_of(star_pairs(shared, similarity), "star")
     roots = components(links, "similar")
-    more = links_of(rest_pairs(shared, roots), "rest")
+    more = links_of(rest_pairs(shared, roots, similarity), "rest")
     if not more.isEmpty():
         roots = components(links.unionByName(more), "similar")
     labelled = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))

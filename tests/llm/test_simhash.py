@@ -145,23 +145,53 @@ def test_wide_recall(spark):
     assert kept <= pairs + pairs // 5
 
 
+def brute_groups(texts: list[str], least: float = 0.8) -> list[int]:
+    """The smallest index of each component of all pairs at or above the similarity."""
+    sets, root = [set(simhash.shingles(t, 5)) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) / len(x | y) >= least:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return sorted(set(root))
+
+
 def test_pairs_without_the_smallest_node(spark):
     """Of a word's members all that are not linked yet are compared, not the smallest with the rest alone."""
-    shared = spark.createDataFrame([(7, n, 1) for n in (1, 2, 3, 4)] + [(8, n, 2) for n in (2, 3)], "word long, node long, least long")
-    assert sorted(map(tuple, simhash.star_pairs(shared).collect())) == [(2, 1), (3, 1), (3, 2), (4, 1)]
+    rows = [(7, n, 10, 0, (1, 10, 0)) for n in (1, 2, 3, 4)] + [(8, n, 10, 1, (2, 10, 1)) for n in (2, 3)]
+    shared = spark.createDataFrame(rows, "word long, node long, size long, at int, least struct<node: long, size: long, at: int>")
+    assert sorted(map(tuple, simhash.star_pairs(shared, 0.8).collect())) == [(2, 1), (3, 1), (3, 2), (4, 1)]
     roots = spark.createDataFrame([(2, 2), (3, 2)], "node long, root long")
-    assert sorted(map(tuple, simhash.rest_pairs(shared, roots).collect())) == [(2, 1), (3, 1), (4, 1), (4, 2), (4, 3)]
+    assert sorted(map(tuple, simhash.rest_pairs(shared, roots, 0.8).collect())) == [(2, 1), (3, 1), (4, 1), (4, 2), (4, 3)]
     one = spark.createDataFrame([(n, 1) for n in (1, 2, 3, 4)], "node long, root long")
-    assert simhash.rest_pairs(shared, one).count() == 0
+    assert simhash.rest_pairs(shared, one, 0.8).count() == 0
 
 
 def test_near_copies_in_crowded_words(spark):
-    """With four bits in all every word is crowded, and most copies are not next to the smallest node."""
+    """Long texts hold the prefixes of shorter near copies, which only match each other."""
     rng = np.random.default_rng(5)
-    rows = []
+    texts = []
     for _ in range(30):
         text = [f"w{x}" for x in rng.integers(0, 10**6, 100)]
-        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join([*text, "more"]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = simhash.keep_one_per_group(docs, segments=1, width=4, ball=4, max_share=1.0).collect()
-    assert sorted(r["doc_id"] for r in kept) == list(range(0, 60, 2))
+        texts += [" ".join([*text, *(f"v{x}" for x in rng.integers(0, 10**6, 40))]) for _ in range(3)]
+        texts += [" ".join(text), " ".join([*text, "more"])]
+    kept = simhash.keep_one_per_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == brute_groups(texts) and len(kept) == 120
+
+
+def test_every_pair_at_the_threshold(spark):
+    """Random edits around similarity 0.8, shared passages, repeated lines and short texts, against all pairs."""
+    rng = np.random.default_rng(3)
+    passage, line, texts = [f"p{i}" for i in range(80)], "the same line again and again".split(), ["one", "one two", "ONE  two", "a b c d e f", "a b c d e f g", ""]
+    for k in range(110):
+        text = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(20, 200))]
+        text = text + (passage if k % 4 == 0 else line * 12 if k % 4 == 1 else [])
+        other = list(text)
+        for at in rng.choice(len(text), max(1, round(len(text) * rng.uniform(0.018, 0.028))), replace=False):
+            other[at] = f"e{rng.integers(0, 10**6)}"
+        texts += [" ".join(text), " ".join(other + line * (5 * (k % 4 == 1)))]
+    close = [simhash.jaccard(texts[i], texts[i + 1], 5) for i in range(6, len(texts), 2)]
+    assert sum(0.8 <= x < 0.85 for x in close) >= 20 and sum(0.75 <= x < 0.8 for x in close) >= 15
+    kept = simhash.keep_one_per_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    # "one two" and "ONE  two" are one node.
+    assert sorted(r["doc_id"] for r in kept) == [i for i in brute_groups(texts) if i != 2]
