@@ -1,16 +1,22 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
-A text is scored by how much shorter its windows get under the toxic dictionary
-than under the ordinary one.  A window is a run of ``window_words`` words.  It is
-compressed after a carrier phrase that both dictionaries hold: the carrier keeps
-a frame from being stored raw, so even a saving of one byte shows.
-
-Most words of a toxic text are ordinary, so the toxic dictionary is trained on
-what sets toxic text apart: windows that no ordinary training text holds and
-that a given share of the toxic training texts have in common.  The share, the
-training's segment length, the weights of the document score and its threshold
-are calibrated on training rows that the dictionaries have not seen.
+A text is cut into windows of ``window_words`` words, and each window is
+compressed twice: behind the ordinary dictionary, and behind both.  What the
+toxic dictionary saves, in bytes, is the window's *gain*.  With the ordinary
+dictionary on both sides, ordinary text costs the same on both, so few of its
+windows gain anything.  The toxic dictionary stands in front, where matches cost
+most, so it is used only for what the ordinary one lacks.
+
+Most of a toxic text is ordinary, so its dictionary is trained in rounds, as in
+learning from bags of examples: the toxic texts are dealt to two halves, a
+dictionary of one half measures the windows of the other, and windows that gain
+more than nearly all ordinary ones (the ``quantile``) train the next round's.
+The last round does the same for pieces of these windows.
+
+The weights of the document score and its threshold are calibrated on training
+rows that no dictionary has seen.  Dictionaries are used for their content,
+without entropy tables, so lengths of short windows compare.
 """
 
 from __future__ import annotations
@@ -20,8 +26,9 @@ import math
 import pickle
 import random
 import re
+import warnings
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,32 +36,45 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame, functions as F
 
+from ..shipping import ship
+from .common import parts
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-CARRIER = b" =carrier:0123456789:begin= "
 #: Longer words are cut, so that no window grows with the text.
 MAX_WORD = 64
-#: A worker forgets its window savings beyond this many.
-MAX_CACHED = 400_000
+#: Characters of a text that are cut into windows at once; bounds a worker's memory.
+PART = 1 << 20
 
 
 @dataclass(frozen=True)
 class ToxicitySettings:
     """Bounds and choices of the training; scoring has none and reads whole texts."""
 
-    window_words: int = 1
-    #: Labelled rows to fit on, at most, and their longest text in characters.
+    window_words: int = 8
+    #: Words of the pieces that the last round narrows windows to.
+    piece_words: int = 2
+    #: Labelled rows to fit on, at most: those with the smallest hash of all whose text has at most ``longest_text`` characters.
     toxic_rows: int = 1500
     ordinary_rows: int = 4000
     longest_text: int = 20_000
-    #: Shares of the toxic training texts that must have a window; calibration picks one.
-    shares: tuple[float, ...] = (0.01, 0.02, 0.03)
-    #: Segment and substring lengths that the dictionary training tries; calibration picks one pair.
-    segments: tuple[tuple[int, int], ...] = ((16, 8), (24, 6), (32, 8), (50, 8))
-    #: Windows in fewer toxic texts than this are chance.
-    least_texts: int = 3
-    toxic_dict_bytes: int = 4096
-    ordinary_dict_bytes: int = 16384
-    level: int = 19
+    #: Windows of training text that hold a run of so many words that another training text has too are copies, and train nothing.
+    copy_words: int = 5
+    #: Random windows at most that train a dictionary, and ordinary ones that set the bar for gains.
+    train_windows: int = 400_000
+    bar_windows: int = 30_000
+    quantile: float = 0.995
+    rounds: int = 3
+    #: Bytes of the ordinary dictionary, of the first round's toxic one and of later ones.
+    ordinary_dict_bytes: int = 1 << 19
+    first_dict_bytes: int = 1 << 14
+    toxic_dict_bytes: int = 1 << 13
+    #: Segment and substring length of the dictionary training.
+    ordinary_segments: tuple[int, int] = (64, 8)
+    toxic_segments: tuple[int, int] = (16, 6)
+    level: int = 13
+    min_match: int = 6
+    search_log: int = 9
+    hash_log: int = 20
     #: The score at and above which a text is called toxic.
     cut: float = 0.7
 
@@ -64,41 +84,39 @@ class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     weights: list[float]
-    window_words: int
-    level: int
-    _state: tuple | None = field(default=None, repr=False, compare=False)
+    settings: ToxicitySettings
+    _pair: tuple | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_state": None}
-
-    def _compressors(self) -> tuple:
-        if self._state is None:
-            made = [_compressor(zstd.ZstdCompressionDict(d), self.level) for d in (self.ordinary, self.toxic)]
-            self._state = (*made, *(len(c.compress(CARRIER)) for c in made), {})
-        return self._state
-
-    def saving(self, window: bytes) -> int:
-        """Bytes by which the toxic dictionary beats the ordinary one on a window."""
-        ordinary, toxic, zero_o, zero_t, cache = self._compressors()
-        value = cache.get(window)
-        if value is None:
-            if len(cache) >= MAX_CACHED:
-                cache.clear()
-            framed = CARRIER + window
-            value = cache[window] = len(ordinary.compress(framed)) - zero_o - len(toxic.compress(framed)) + zero_t
-        return value
-
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        """The three largest window savings and the logarithm of the number of windows."""
-        found = list(map(self.saving, windows(text, self.window_words)))
-        top = heapq.nlargest(3, found)
-        return (*(float(x) for x in top), *[0.0] * (3 - len(top)), math.log1p(len(found)))
+        return self.__dict__ | {"_pair": None}
+
+    def gains(self, found: Sequence[bytes]) -> list[int]:
+        """Bytes by which the toxic dictionary shortens each window."""
+        if self._pair is None:
+            self._pair = compressor(self.ordinary, self.settings), compressor(self.toxic + self.ordinary, self.settings)
+        ordinary, both = (c.compress for c in self._pair)
+        return [len(ordinary(w)) - len(both(w)) for w in found]
 
     def score(self, text: str | None) -> float:
-        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text or ""), strict=True))
+        """0 to 1; a text without words has 0."""
+        gains = self.gains(windows(text or "", self.settings.window_words))
+        if not gains:
+            return 0.0
+        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], features(gains), strict=True))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
+def features(gains: list[int]) -> list[float]:
+    """The three largest gains; how many windows, and what share, gain a byte and two; and how many windows there are."""
+    n = max(1, len(gains))
+    out = [float(x) for x in heapq.nlargest(3, gains)]
+    out += [0.0] * (3 - len(out))
+    for least in (1, 2):
+        hits = sum(g >= least for g in gains)
+        out += [math.log1p(hits), hits / n]
+    return [*out, math.log1p(len(gains))]
+
+
 def words(text: str) -> list[bytes]:
     found = WORD.findall(text.encode("utf-8", "replace").lower())
     if any(len(w) > MAX_WORD for w in found):
@@ -106,88 +124,138 @@ def words(text: str) -> list[bytes]:
     return found
 
 
+def joined(found: Sequence[bytes]) -> bytes:
+    return b" %b " % b" ".join(found)
+
+
 def windows(text: str, n: int) -> list[bytes]:
-    found = words(text)
-    if n == 1:
-        return [b" %b " % w for w in found]
-    return [b" %b " % b" ".join(found[i : i + n]) for i in range(0, len(found), n)]
+    """Runs of ``n`` words, one after the other; the last may be shorter, also at the end of each ``PART``."""
+    out = []
+    for part in parts(text, PART, drop=True):
+        found = words(part)
+        out += [joined(found[i : i + n]) for i in range(0, len(found), n)]
+    return out
 
 
-def _compressor(dictionary: zstd.ZstdCompressionDict, level: int) -> zstd.ZstdCompressor:
-    params = zstd.ZstdCompressionParameters.from_level(level, source_size=256, dict_size=len(dictionary), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
-    return zstd.ZstdCompressor(dict_data=dictionary, compression_params=params)
+def compressor(content: bytes, settings: ToxicitySettings) -> zstd.ZstdCompressor:
+    """A compressor behind a dictionary's content, all of which lies in its window."""
+    params = zstd.ZstdCompressionParameters.from_level(
+        settings.level, source_size=256, dict_size=len(content), window_log=max(10, (len(content) + 8192).bit_length()),
+        min_match=settings.min_match, search_log=settings.search_log, hash_log=settings.hash_log, write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+    return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params)
 
 
 # --- training -----------------------------------------------------------------
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings) -> tuple[list[str], list[str]]:
-    """Texts of at most ``toxic_rows`` toxic and ``ordinary_rows`` ordinary labelled documents.
+def labelled_sample(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings) -> tuple[list[str], list[str], float]:
+    """Texts of at most ``toxic_rows`` toxic and ``ordinary_rows`` ordinary labelled documents, and how many ordinary there are in all for a toxic one.
 
-    The rows with the smallest hash are taken, so reruns agree.  A document with
+    Of the labelled documents that have a text of 1 to ``longest_text`` characters,
+    those with the smallest hash are taken, so reruns agree.  A document with
     several labels counts as toxic if one says so.
     """
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # A third more ids than texts, since some labelled documents are too long or missing.
-    picked = [marked.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n * 4 // 3) for y, n in ((1, settings.toxic_rows), (0, settings.ordinary_rows))]
-    ids = picked[0].unionByName(picked[1])  # its size is bounded by the settings
     usable = docs.select("doc_id", "text").filter(F.length("text").between(1, settings.longest_text))
+    able = marked.join(usable.select("doc_id"), "doc_id", "left_semi")
+    there = {r["toxic"]: r["count"] for r in able.groupBy(F.col("toxic") == 1).count().toDF("toxic", "count").collect()}
+    picked = [able.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, settings.toxic_rows), (0, settings.ordinary_rows))]
+    ids = picked[0].unionByName(picked[1])  # its size is bounded by the settings
     rows = usable.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     rows = random.Random(7).sample(rows, len(rows))
-    by = ([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
-    return by[0][: settings.toxic_rows], by[1][: settings.ordinary_rows]
+    return [r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], there.get(False, 0) / max(1, there.get(True, 0))
 
 
-def fit(toxic: list[str], ordinary: list[str], settings: ToxicitySettings) -> ToxicityModel | None:
-    """A calibrated model, or None where the labelled texts don't suffice to train dictionaries."""
-    return _best(fit_segment(toxic, ordinary, settings, k, d) for k, d in settings.segments)
+def own_windows(texts: list[str], settings: ToxicitySettings) -> list[list[bytes]]:
+    """The windows of each text without those that hold a run of words that stands elsewhere in ``texts`` too."""
+    n, run = settings.window_words, settings.copy_words
+    found = [words(t) for t in texts]
+    runs = [[hash(tuple(w[i : i + run])) for i in range(max(1, len(w) - run + 1))] for w in found]
+    places = Counter(h for r in runs for h in r)
+    out = []
+    for w, r in zip(found, runs, strict=True):
+        starts = range(0, len(w), n)
+        out.append([joined(w[i : i + n]) for i in starts if all(places[h] == 1 for h in r[i : max(i + 1, i + n - run + 1)])])
+    return out
 
 
-def _best(found: Iterable[tuple[float, ToxicityModel] | None]) -> ToxicityModel | None:
-    """Of the trained models the one with the least loss; the first of several."""
-    return min(filter(None, found), key=lambda x: x[0], default=(0.0, None))[1]
+def fit(toxic: list[str], ordinary: list[str], odds: float | None = None, settings: ToxicitySettings = ToxicitySettings()) -> ToxicityModel | None:
+    """A calibrated model, or None (with a warning) where the labelled texts don't suffice to train dictionaries.
 
-
-def fit_segment(toxic: list[str], ordinary: list[str], settings: ToxicitySettings, k: int, d: int) -> tuple[float, ToxicityModel] | None:
-    """Loss and model of the best share for one pair of segment lengths."""
+    Two thirds of the texts train the dictionaries, the others calibrate.  ``odds``
+    says how many ordinary documents there are for a toxic one, as in the sample by default.
+    """
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     seen, held = (toxic[::3] + toxic[1::3], ordinary[::3] + ordinary[1::3]), (toxic[2::3], ordinary[2::3])
     if not all(map(len, (*seen, *held))):
-        return None
-    n = settings.window_words
-    usual = Counter(w for t in seen[1] for w in set(windows(t, n)))
-    special = [[w for w in windows(t, n) if w not in usual] for t in seen[0]]
-    spread = Counter(w for s in special for w in set(s))
-    common = [CARRIER + w for t in seen[1][:1500] for w in windows(t, n)]
-    common = random.Random(7).sample(common, min(len(common), 150_000))
-    ordinary_dict = _train(common, settings.ordinary_dict_bytes, settings.level, k, d)
-    best: tuple[float, ToxicityModel] | None = None
-    for share in settings.shares if ordinary_dict else ():
-        need = max(settings.least_texts, share * len(seen[0]))
-        samples = [CARRIER + w for s in special for w in s if spread[w] >= need]
-        toxic_dict = _train((samples * (1 + 3000 // len(samples)))[:100_000], settings.toxic_dict_bytes, settings.level, k, d) if samples else None
-        if toxic_dict is None:
-            continue
-        model = ToxicityModel(ordinary_dict, toxic_dict, [0.0] * 5, n, settings.level)
-        loss, model.weights = _calibrate(model, held, settings.cut)
-        if best is None or loss < best[0]:
-            best = loss, model
-    return best
-
-
-def _train(samples: list[bytes], size: int, level: int, k: int, d: int) -> bytes | None:
-    if sum(map(len, samples)) < 2 * size:
-        samples = samples * (1 + 2 * size // max(1, sum(map(len, samples))))
+        return _none(toxic, ordinary)
+    rng = random.Random(7)
+    plain = own_windows(seen[1], settings)
+    bar = _some(rng, sum(plain[1::2], []), settings.bar_windows)
+    ordinary_dict = _train(_some(rng, sum(plain[::2], []), settings.train_windows), settings.ordinary_dict_bytes, settings.ordinary_segments, settings.level)
+    marked = own_windows(seen[0], settings)
+    halves = [sum(marked[::2], []), sum(marked[1::2], [])]
+    if ordinary_dict is None or not bar or not all(halves):
+        return _none(toxic, ordinary)
+    picked = mine(rng, halves, halves, bar, ordinary_dict, settings.first_dict_bytes, settings)
+    for _ in range(settings.rounds - 1):
+        picked = mine(rng, picked, halves, bar, ordinary_dict, settings.toxic_dict_bytes, settings)
+    pieces = [pieces_of(p, settings.piece_words) for p in picked]
+    picked = mine(rng, picked, pieces, pieces_of(bar, settings.piece_words), ordinary_dict, settings.toxic_dict_bytes, settings)
+    toxic_dict = _train(sum(picked, []), settings.toxic_dict_bytes, settings.toxic_segments, settings.level)
+    if toxic_dict is None:
+        return _none(toxic, ordinary)
+    model = ToxicityModel(ordinary_dict, toxic_dict, [], settings)
+    model.weights = calibrate(model, held, odds)
+    return model
+
+
+def mine(rng: random.Random, train: list[list[bytes]], test: list[list[bytes]], bar: list[bytes], ordinary: bytes, size: int, settings: ToxicitySettings) -> list[list[bytes]]:
+    """Of each half's ``test`` windows those that gain more, by the dictionary of the other half's ``train``, than the quantile of the bar.
+
+    A half that nothing is left of keeps what it has.
+    """
+    out = list(test)
+    for a, b in ((0, 1), (1, 0)):
+        trained = _train(_some(rng, train[a], settings.train_windows), size, settings.toxic_segments, settings.level)
+        if trained is not None and test[b]:
+            model = ToxicityModel(ordinary, trained, [], settings)
+            most = max(1.0, float(np.quantile(model.gains(bar), settings.quantile)))
+            out[b] = [w for w, g in zip(test[b], model.gains(test[b]), strict=True) if g > most] or test[b]
+    return out
+
+
+def pieces_of(found: list[bytes], n: int) -> list[bytes]:
+    return [joined(own[i : i + n]) for own in (w.split() for w in found) for i in range(0, len(own), n)]
+
+
+def _some(rng: random.Random, found: list[bytes], most: int) -> list[bytes]:
+    return rng.sample(found, min(len(found), most))
+
+
+def _none(toxic: list[str], ordinary: list[str]) -> None:
+    if toxic or ordinary:
+        warnings.warn(f"{len(toxic)} toxic and {len(ordinary)} ordinary texts are too few to train on: every score will be 0", stacklevel=3)
+
+
+def _train(samples: list[bytes], size: int, segments: tuple[int, int], level: int) -> bytes | None:
+    """A dictionary of at most ``size`` bytes, or of the samples' bytes if they are fewer."""
+    total = sum(map(len, samples))
+    if total < 2 * size:
+        size = max(1024, min(size, total))
+        samples = samples * (1 + 3 * size // max(1, total))
     try:
-        return zstd.train_dictionary(size, samples, level=level, k=k, d=d).as_bytes()
+        return zstd.train_dictionary(size, samples, level=level, k=segments[0], d=segments[1]).as_bytes()
     except zstd.ZstdError:  # too little text to train on
         return None
 
 
-def _calibrate(model: ToxicityModel, held: tuple[list[str], list[str]], cut: float) -> tuple[float, list[float]]:
-    """Logistic weights over the features, moved so that the best F1 lies at ``cut``; and the mean loss."""
-    x = np.array([model.features(t) for part in held for t in part])
+def calibrate(model: ToxicityModel, held: tuple[list[str], list[str]], odds: float | None = None) -> list[float]:
+    """Logistic weights over the features of unseen texts, moved so that the best F1 under ``odds`` lies at the cut."""
+    n = model.settings.window_words
+    x = np.array([features(model.gains(windows(t, n))) for part in held for t in part])
     y = np.repeat([1.0, 0.0], [len(held[0]), len(held[1])])
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
@@ -198,18 +266,17 @@ def _calibrate(model: ToxicityModel, held: tuple[list[str], list[str]], cut: flo
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-    loss = -np.mean(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))
     logits = z @ w
     order = np.argsort(-logits, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    each = 1.0 if odds is None else odds * len(held[0]) / len(held[1])  # what an ordinary text of the sample stands for
+    f1 = 2 * hits / (hits + each * np.cumsum(1 - y[order]) + y.sum())
     last = np.append(np.diff(logits[order]) != 0, True)  # ties are called alike
     k = int(np.argmax(np.where(last, f1, -1)))
     threshold = (logits[order][k] + logits[order][min(k + 1, len(y) - 1)]) / 2
-    raw = w[1:] / scale
+    raw, cut = w[1:] / scale, model.settings.cut
     bias = w[0] - (raw * mean).sum() - threshold + math.log(cut / (1 - cut))
-    return float(loss), [float(bias), *map(float, raw)]
+    return [float(bias), *map(float, raw)]
 
 
 # --- scoring ------------------------------------------------------------------
@@ -218,29 +285,33 @@ def _calibrate(model: ToxicityModel, held: tuple[list[str], list[str]], cut: flo
 def train_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> ToxicityModel | None:
     """Fit on labelled rows of ``labels(doc_id, toxic)`` and their texts in ``docs(doc_id, text)``.
 
-    Each pair of segment lengths is one task; what they get is the bounded sample.
+    The fit is one task, which gets the bounded sample.  Null ids, labels and texts
+    are left out, repeated rows count once, and other columns are ignored.  None,
+    with a warning if there are labelled texts, says that they don't suffice.
     """
     spark = docs.sparkSession
+    ship(spark)
     sample = spark.sparkContext.broadcast(labelled_sample(docs, labels, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pickle.dumps(fit_segment(*sample.value, settings, *settings.segments[i])) for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "found"])
+            found = [pickle.dumps(fit(*sample.value, settings=settings)) for _ in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["found"])
 
-    tasks = len(settings.segments)
-    rows = spark.range(0, tasks, 1, tasks).mapInArrow(run, "id long, found binary").collect()  # one for each pair
-    return _best(pickle.loads(r["found"]) for r in sorted(rows, key=lambda r: r["id"]))
+    model = pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "found binary").first()["found"])
+    return _none(*sample.value[:2]) if model is None else model
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Add the score, 0 to 1, of every whole text; null texts count as empty.
+    """Add the score, 0 to 1, of every whole text; null texts, and texts without words, have 0.
 
-    Without a model (no usable labels) every score is 0.  Rows, their order and
-    all other columns stay; an empty table stays empty.
+    Without a model (no usable labels) every score is 0.  Rows, repeated ones too,
+    their order and all other columns stay, but one that is named like ``out`` is
+    replaced; an empty table stays empty.
     """
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
