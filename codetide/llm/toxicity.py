@@ -177,7 +177,7 @@ def own_windows(texts: list[str], settings: ToxicitySettings) -> list[list[bytes
     out = []
     for w, r in zip(found, runs, strict=True):
         starts = range(0, len(w), n)
-        out.append([joined(w[i : i + n]) for i in starts if all(places[h] == 1 for h in r[i : max(i + 1, i + n - run + 1)])])
+        out.append([joined(w[i : i + n]) for i in starts if all(places[h] == 1 for h in r[min(i, len(r) - 1) : max(i + 1, i + n - run + 1)])])
     return out
 
 
