@@ -79,11 +79,11 @@ class Registry:
 
 def default_registry() -> Registry:
     from ..functions.languages import PARSED
-    from . import grammars, python
+    from . import declarations, python
 
     registry = Registry()
     registry.register("python", PARSED["python"], python.parse)
     for language in PARSED:
         if language != "python":
-            registry.register(language, PARSED[language], grammars.parser(language))
+            registry.register(language, PARSED[language], declarations.parser(language))
     return registry

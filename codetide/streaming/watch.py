@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 # Suffixes whose changes count, and the pause between batches.
-SUFFIXES = ("py", "java", "js", "jsx", "ts", "tsx", "cpp", "cc", "c", "h", "hpp", "cs", "go", "m", "mm", "swift")
+SUFFIXES = ("py", "java", "js", "jsx", "ts", "tsx", "cpp", "cc", "c", "h", "hpp", "cs", "go", "m", "mm", "cxx")
 PAUSE = "500 milliseconds"
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 

@@ -27,6 +27,193 @@ def test_structure(name):
     assert text.split("\n")[own.line - 1].find(cls) >= 0 and own.end_line >= own.line
 
 
+TRICKY = {
+    "T.java": ("""import java.util.*; // class Fake { void no() { if (a) {} } }
+import static org.x.Y.z;
+@Entity(name = "a{b") /* class Other { */
+public final class T<K extends Comparable<K>> extends Base<K> implements A<K>, B {
+  static { int q = 1; }
+  private final Map<String, List<K>> m = new HashMap<>() {{ put("if (x) {", null); }};
+  @Ann({1, 2}) public <X> Map<String, X> pick(final Map<String, X> m, @Nullable int... rest) throws E, F {
+    String s = "while (true) { } && ||"; char c = '{'; // if
+    return m != null && s.isEmpty() ? m : null;
+  }
+  void pick(int other) { }
+  T() { this(1); }
+  T(int n) { for (int i = 0; i < n; i++) { switch (i) { case 1: break; case 2: break; } } }
+  abstract void none();
+  class Inner { void deep() { Runnable r = () -> { if (true) { } }; } }
+}
+""", [("T", ["Base", "A", "B"], ["T", "T", "pick"]), ("Inner", [], ["deep"])], [], ["java", "org"], {"pick": 3, "T": 4}),
+    "t.js": ("""import a, { b } from '@scope/pkg/x'
+const fs = require("fs/promises")
+// function ghost() {}
+const re = /function fake\\(\\) \\{/g, tpl = `class Nope { ${ [1].map(x => { return `{${x}` }) } `
+export default class T extends Base {
+  x = 5
+  #y = call(1)
+  async *items({ p, q = 2 }, [r], ...rest) {
+    for (const i of rest) { if (i?.a ?? p) { } }
+    return p ? q : r
+  }
+  get size() { return 1 }
+  arrow = () => { while (1) { } }
+  static of(a = "){") { return a || 1 }
+}
+if (fs) { call(function () { }) }
+async function outer(a) {
+  function inner(b, c = () => ({})) { try { } catch (e) { } }
+  return inner
+}
+""", [("T", ["Base"], ["items", "size", "of"])], ["outer", "inner"], ["@scope", "fs"], {"items": 4, "of": 2}),
+    "t.ts": ("""import type { X } from './x'
+@Component({ selector: 'app' })
+export abstract class T<K> extends Base<K> implements A, B<K> {
+  private n?: number
+  constructor(private readonly a: Map<string, K>, public b = 1) { super() }
+  async load<Q>(q: (x: number) => Q, opt?: string): Promise<{ a: Q }> {
+    return opt ? q(1) : q(2)
+  }
+  declare(): void;
+}
+export interface Shape extends A, B { area(): number }
+export const enum Kind { A = 1 }
+export function free(this: T<any>, { a, b }: X, n: number = 1): n is 3 { return true && !!a }
+""", [("T", ["Base", "A", "B"], ["constructor", "load"]), ("Shape", ["A", "B"], []), ("Kind", [], [])], ["free"], ["."], {"load": 2}),
+    "t.cpp": ("""#include <vector>
+#include "a/b.hpp"
+#define BAD(x) class x { void y() {
+namespace n { namespace {
+template <typename T, int N = (1 > 0)> class T1 : public Base<T>, private virtual ns::Other {
+  T1(int a, int b = 2) : a_{a}, b_(b) { if (a) { } }
+  ~T1() { }
+  auto size() const noexcept -> int { return 1; }
+  bool operator==(const T1& o) const { return a_ == o.a_ && b_ == o.b_; }
+  int operator()(int x) { return x ? 1 : 0; }
+  void none() override = 0;
+};
+enum class E { A, B };
+static inline std::vector<std::pair<int, int>> pairs(const std::vector<int>& in, char* name[], int n = f(1, 2)) {
+  auto l = [&](int x) { return x > 1 || x < 0; };
+  const char* s = R"x(while (1) { " )x"; char c = '"';
+  while (n) { n = 1'000; }
+  return {};
+}
+auto late(int a) -> int { return a; }
+int T1::outside(int q) const { return q; }
+} }
+extern "C" { int plain(void) { return 0; } }
+""", [("T1", ["Base", "ns::Other"], ["T1", "~T1", "size", "operator==", "operator()"])], ["pairs", "late", "T1::outside", "plain"], ["b", "vector"], {"operator==": 2, "operator()": 2}),
+    "T.cs": ("""using System.Linq;
+using static Acme.Tools.Helper;
+using (var x = y) ;
+namespace N.M {
+  [Serializable, Note("class {")]
+  public sealed partial class T<K> : Base<K>, IA where K : class, new() {
+    public int P { get; set; } = 1;
+    public int Q { get { if (a) { } return 1; } }
+    public T(int a) : base(a) { }
+    static T() { }
+    public async Task<Dictionary<string, K>> Run(ref int a, params string[] rest) {
+      var s = @"C:\\dir\\"" if {"; var t = $"{a} {{";
+      foreach (var r in rest) { if (r == null || s == t) { } }
+      return a > 1 ? null : x ?? y;
+    }
+    void Arrow() => Run();
+  }
+  interface IA { void No(); }
+  struct S { } enum E { A }
+}
+""", [("T", ["Base", "IA"], ["T", "T", "Run"]), ("IA", [], []), ("S", [], []), ("E", [], [])], [], ["Acme", "System"], {"Run": 5}),
+    "t.go": ("""package t
+import f "fmt"
+import (
+  "a/b" // "no"
+  _ "c/d"
+)
+type (
+  P struct{ x int }
+)
+type T[K any] struct { m map[string]struct{} }
+type I interface { M(x int) }
+func (t *P) Get(a, b int, f func(int) (int, error)) (r interface{}, err error) {
+  s := `if { && `
+  for i := range s { if i > 0 && a > b || false { } }
+  switch { case a > 1: }
+  return nil, nil
+}
+func Free[X any](x X) interface{} {
+  return func() bool { return true }
+}
+""", [("P", [], ["Get"]), ("I", [], [])], ["Free"], ["b", "d", "fmt"], {"Get": 6}),
+    "t.m": ("""#import <UIKit/UIKit.h>
+#import "My/View.h"
+@class Later;
+@protocol P <NSObject>
+- (void)declared;
+@end
+@interface T : NSObject <P>
+- (void)only;
+@end
+@implementation T
+- (instancetype)initWithA:(NSDictionary<NSString *, id> *)a b:(int)b { if (a && b) { } return self; }
++ (void)go { NSString *s = @"- (void)fake { @end"; }
+static int hidden(int x) { return x; }
+@end
+@implementation NSString (Extra)
+- (int)len { return self ? 1 : 2; }
+@end
+static inline NSInteger twice(NSInteger x) { return x; }
+""", [("P (protocol)", [], []), ("T", ["NSObject"], ["initWithA:b:", "go"]), ("NSString(Extra)", [], ["len"])], ["twice"], ["My", "UIKit"], {"initWithA:b:": 3, "len": 2}),
+}
+
+
+@pytest.mark.parametrize("name", TRICKY)
+def test_tricky_structure(name):
+    text, classes, functions, imports, complexities = TRICKY[name]
+    found = base.default_registry().for_path(name)[1](text)
+    assert [(c.name, c.bases, [m.name for m in c.methods]) for c in found.classes] == classes
+    assert [f.name for f in found.functions] == functions and found.imports == imports
+    measured = {m.name: m.cyclomatic for c in found.classes for m in c.methods}
+    assert {k: measured[k] for k in complexities} == complexities
+    lines = text.split("\n")
+    for m in [*(m for c in found.classes for m in c.methods), *found.functions]:
+        assert m.name.split(":")[0].split("operator")[-1].lstrip("~") in lines[m.line - 1] and m.line <= m.end_line <= len(lines)
+
+
+def test_parameters():
+    parse = lambda name, text: base.default_registry().for_path(name)[1](text)
+    shown = lambda m: [(p["name"], p["annotation"], p["has_default"]) for p in m.parameters]
+    java, js, ts, cpp, cs, go, objc = (parse(n, TRICKY[n][0]) for n in TRICKY)
+    assert shown(java.classes[0].methods[2]) == [("m", "Map<String, X>", False), ("rest", "int", False)]
+    assert [x[0] for x in shown(js.classes[0].methods[0])] == ["p", "q", "r", "rest"]
+    assert shown(ts.classes[0].methods[0]) == [("a", "Map<string, K>", False), ("b", "", True)]
+    assert shown(ts.classes[0].methods[1]) == [("q", "(x: number) => Q", False), ("opt", "string", True)]
+    assert shown(cpp.functions[0]) == [("in", "const std::vector<int>&", False), ("name", "char*", False), ("n", "int", True)]
+    assert shown(cpp.functions[3]) == []
+    assert shown(cs.classes[0].methods[2]) == [("a", "int", False), ("rest", "string[]", False)]
+    assert shown(go.classes[0].methods[0]) == [("a", "", False), ("b", "int", False), ("f", "func(int) (int, error)", False)]
+    assert shown(objc.classes[1].methods[0]) == [("a", "NSDictionary<NSString *, id> *", False), ("b", "int", False)]
+
+
+@pytest.mark.parametrize("name", [n for n in CALC if not n.endswith(".py")])
+@pytest.mark.parametrize("text", ["", "{", "}", "((((", "class", "class {", "func", "func (", "@interface", "\"", "'", "`${", "/*", "a ? b", "R\"(", "@\"", "#", "import", "x(" * 300, "{" * 300, "}" * 50 + "class A { f() {", "type X struct", "operator"])
+def test_broken_text(name, text):
+    assert base.default_registry().for_path(name)[1](text).imports == []
+
+
+def test_lexer_time_is_linear():
+    import time
+
+    from codetide.parsers.declarations import parser
+
+    for language in ("java", "javascript", "typescript", "cpp", "csharp", "go", "objectivec"):
+        start = time.perf_counter()
+        for text in ("a < " * 40_000, "f(x) { " * 3000, "class A { void f() { if (a) { } } }\n" * 3000, "// x\n" * 40_000):
+            parser(language)(text)
+        assert time.perf_counter() - start < 20
+
+
 def test_python_details():
     found = python.parse(CALC["calc.py"][0])
     add = found.classes[0].methods[1]
