@@ -7,9 +7,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
 
@@ -77,13 +76,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(*frames: DataFrame) -> None:
+    """Remove tables that :func:`stage` wrote and nothing reads any more."""
+    for frame in frames:
+        for path in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            if "/codetide-" in path:
+                drop_path(frame.sparkSession, path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of ``frame`` is called so (whatever the case)."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def parts(text: str, size: int, drop: bool) -> Iterator[str]:
@@ -101,8 +115,9 @@ def parts(text: str, size: int, drop: bool) -> Iterator[str]:
     yield text[at:]
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def row_key(*columns: Column) -> Column:
+    """A digest of the columns' values as strings, in which null differs from any text."""
+    return F.md5(F.concat_ws(":", *(F.coalesce(F.md5(c.cast("string")), F.lit("null")) for c in columns)))
 
 
 def buckets_for(rows: int, per_bucket: int = 200_000, least: int = 256, most: int = 1 << 20) -> int:

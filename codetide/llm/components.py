@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
+from .common import drop_stage, stage
 
 
 def components(links: DataFrame, name: str = "cc") -> DataFrame:
@@ -29,13 +29,17 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
         if labels is None:
             labels = parents
         else:
-            step = parents.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            step, old = parents.select(F.col("node").alias("root"), F.col("root").alias("up")), labels
             labels = stage(labels.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{name}-labels")
+            drop_stage(old)
         pu = parents.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         pv = parents.select(F.col("node").alias("v"), F.col("root").alias("rv"))
         moved = edges.join(pu, "u").join(pv, "v").filter("ru <> rv")
         moved = moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
-        edges = stage(moved, f"{name}-links")
+        edges, old = stage(moved, f"{name}-links"), edges
+        drop_stage(old)
+        if labels is not parents:
+            drop_stage(parents)
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return labels
@@ -45,7 +49,8 @@ def _to_roots(parents: DataFrame, name: str) -> DataFrame:
     while True:
         up = parents.select(F.col("node").alias("root"), F.col("root").alias("up"))
         jumped = parents.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), (F.coalesce("up", "root") != F.col("root")).alias("moved"))
-        jumped = stage(jumped, f"{name}-jump")
+        jumped, old = stage(jumped, f"{name}-jump"), parents
         parents = jumped.select("node", "root")
+        drop_stage(old)
         if jumped.filter("moved").isEmpty():
             return parents

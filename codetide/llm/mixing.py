@@ -4,16 +4,20 @@ Every document gets an exponential key scaled by its quality weight.  A source
 takes whole epochs of its documents first; what is left of its target goes to
 its documents in the order of their keys, up to the budget by prefix sums.
 
-The prefix sums have two levels: keys fall into buckets of (0, 1) by their
-distribution, bucket totals are summed up within a source, and only a bucket is
-ever sorted in one task, however large the source.
+The prefix sums have two levels: keys fall into buckets by their logarithm, bucket
+totals are summed up within a source, and only a bucket is ever sorted in one
+task, however large the source.  Whatever the weights, no key's octave holds over
+26 % of the rows with its weight, so steps of an octave bound every bucket.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD_PATTERN, buckets_for, stage
+from .common import WORD_PATTERN, fresh, row_key, stage
+
+#: Rows that a bucket holds at most, about, and the least steps of an octave.
+PER_BUCKET, LEAST_STEPS = 200_000, 64
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -62,40 +66,46 @@ def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = Non
     quality weight, 1 by default; null and weights below 1e-6 count as 1e-6.
     ``size`` is the size of a document, its words by default.
     Documents without words are never taken.  Equal rows get equal keys, and one
-    of them may be taken once more than the other.  Reruns agree.  Columns of
+    of them may be taken once more than the other.  Null sources are one source, and
+    null ids share a key.  An empty table gives no rows.  Reruns agree.  Columns of
     ``docs`` with the names of added ones are replaced.  ``rows`` (the
     count of ``docs``, else counted) only sets the number of buckets.
     """
     w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(1e-6)), F.lit(1e-6))
-    buckets = buckets_for(docs.count() if rows is None else rows)
-    x = uniform(seed, F.col(id_col))
-    # ES keys are -ln(x) / w, smallest first: the same order as 1 - x ** (1 / w), which lies in (0, 1).
-    frame = docs.withColumn("mix_size", word_count(F.col(text_col)) if size is None else size).withColumn("__mix_key", -F.ln(x) / w)
-    spot = F.least(F.floor((1 - F.exp(-F.col("__mix_key"))) * buckets), F.lit(buckets - 1))
-    frame = frame.withColumn("__mix_bucket", spot.cast("long")).withColumn("__mix_source", F.struct(F.col(source_col).alias("name")))
-    sums = frame.groupBy(F.col("__mix_source.name").alias("source"), "__mix_bucket").agg(F.sum("mix_size").alias("bucket_size"))
+    added = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    key, bucket, source, upto, *known = fresh(docs, "mix_key", "mix_bucket", "mix_source", "mix_upto", "mix_before", "mix_all", "mix_aim")
+    # ES keys are -ln(x) / w, smallest first.
+    frame = docs.withColumn("mix_size", word_count(F.col(text_col)) if size is None else size).withColumn(key, -F.ln(uniform(seed, F.col(id_col))) / w)
+    frame = frame.withColumn(bucket, key_bucket(F.col(key), docs.count() if rows is None else rows)).withColumn(source, F.struct(F.col(source_col).alias("name")))
+    sums = frame.groupBy(F.col(f"{source}.name").alias("source"), F.col(bucket).alias("bucket")).agg(F.sum("mix_size").alias("bucket_size"))
     sized = sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     targets = source_targets(sized, weights, share, most)
-    upto = W.partitionBy("source").orderBy("__mix_bucket").rowsBetween(W.unboundedPreceding, 0)
-    plan = sums.withColumn("before", F.sum("bucket_size").over(upto) - F.col("bucket_size"))
+    running = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    plan = sums.withColumn("before", F.sum("bucket_size").over(running) - F.col("bucket_size"))
     plan = plan.join(targets.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named")))
-    plan = plan.select(F.struct(F.col("source").alias("name")).alias("__mix_source"), "__mix_bucket", *(F.col(c).alias(f"__mix_{c}") for c in ("before", "source_size", "target")))
-    within = W.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_key", F.col(id_col), "mix_size").rowsBetween(W.unboundedPreceding, 0)
-    placed = frame.withColumn("__mix_upto", F.sum("mix_size").over(within)).join(plan, ["__mix_source", "__mix_bucket"])
-    source_size, target, own = F.col("__mix_source_size"), F.col("__mix_target"), F.col("mix_size")
+    plan = plan.select(F.struct(F.col("source").alias("name")).alias(source), F.col("bucket").alias(bucket), *(F.col(c).alias(n) for c, n in zip(("before", "source_size", "target"), known, strict=True)))
+    within = W.partitionBy(source, bucket).orderBy(key, F.col(id_col), "mix_size").rowsBetween(W.unboundedPreceding, 0)
+    placed = frame.withColumn(upto, F.sum("mix_size").over(within)).join(plan, [source, bucket])
+    before, source_size, target, own = *map(F.col, known), F.col("mix_size")
     epochs = F.when(source_size > 0, F.floor(target / source_size)).otherwise(F.lit(0)).cast("long")
-    middle = F.col("__mix_before") + F.col("__mix_upto") - own / 2
+    middle = before + F.col(upto) - own / 2
     copies = F.when(own > 0, epochs + F.when(middle <= target - epochs * source_size, 1).otherwise(0)).otherwise(0).cast("long")
-    added = {"mix_size": own, "mix_source_size": source_size, "mix_target": target, "mix_copies": copies}
-    return placed.select(*(c for c in docs.columns if c not in added), *(c.alias(n) for n, c in added.items()))
+    return placed.select(*(c for c in docs.columns if c not in added), *(c.alias(n) for n, c in zip(added, (own, source_size, target, copies), strict=True)))
+
+
+def key_bucket(key: Column, rows: int) -> Column:
+    """Steps of the key's octaves, as many as ``rows`` need; buckets are in the order of keys."""
+    steps = max(LEAST_STEPS, -(-rows * 26 // (100 * PER_BUCKET)))
+    return F.floor(F.log2(key) * steps).cast("long")
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
     """Add ``mix_weight`` to ``docs``: ``good`` or ``poor`` by the mean of a document's quality labels, else 1."""
-    marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.avg("quality").alias("__mix_quality"))
-    rated = docs.join(marks, F.col("doc_id") == F.col("__mix_id"), "left")
-    value = F.when(F.col("__mix_quality") >= 0.5, good).when(F.col("__mix_quality") < 0.5, poor).otherwise(1.0)
-    return rated.select(*docs.columns, value.alias("mix_weight"))
+    key, quality = fresh(docs, "mix_id", "mix_quality")
+    marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias(key)).agg(F.avg("quality").alias(quality))
+    rated = docs.join(marks, F.col("doc_id") == F.col(key), "left")
+    value = F.when(F.col(quality) >= 0.5, good).when(F.col(quality) < 0.5, poor).otherwise(1.0)
+    return rated.select(*(c for c in docs.columns if c != "mix_weight"), value.alias("mix_weight"))
 
 
 def mix_rows(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -104,17 +114,23 @@ def mix_rows(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     Decisions are made on ids, sizes and sources; texts move once, to meet them.
     Rows equal in id, source and text are taken in turn: together as often as the
     mix takes them, dealt to them as evenly as can be.  ``labels`` give the
-    quality weights, all 1 without them.
+    quality weights, all 1 without them.  ``docs`` is read twice and must have the
+    same rows in each partition both times, as a stored table has.
     """
-    row_id = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(source_col)), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    small = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), row_id.alias("row"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    row_id = row_key(F.col(id_col), F.col(source_col), F.coalesce(F.col(text_col), F.lit("")))
+    row, place, number, copies, rows, first, turn, dealt = fresh(docs, *(f"mix_{n}" for n in ("row", "place", "number", "copies", "rows", "first", "turn", "dealt")))
+    small = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), row_id.alias("row"), word_count(F.col(text_col)).alias("size"), F.spark_partition_id().alias("place"))
+    small = stage(small, "mix-sizes")
     rated = small.withColumn("mix_weight", F.lit(1.0)) if labels is None else quality_weights(small, labels)
     mixed = mix(rated, F.col("mix_weight"), F.col("size"), rows=small.count(), **options)
-    taken = mixed.groupBy("row").agg(F.sum("mix_copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
-    # The remainder goes to rows by an arbitrary number: equal rows are alike.
-    taken = stage(taken, "mix-taken")
-    keyed = docs.withColumn("__mix_row", row_id).join(taken.select(F.col("row").alias("__mix_row"), "copies", "rows").withColumnsRenamed({"copies": "__mix_copies", "rows": "__mix_rows"}).hint("merge"), "__mix_row")
-    turn = F.row_number().over(W.partitionBy("__mix_row").orderBy("__mix_row"))
-    dealt = F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + F.when(turn <= F.col("__mix_copies") % F.col("__mix_rows"), 1).otherwise(0)
-    spread = keyed.withColumn("__mix_dealt", dealt)
-    return spread.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__mix_dealt").cast("int"))).alias("__mix_copy")).select(*docs.columns)
+    # Equal rows are told apart by the partition that they are read in, so that very many don't meet in one task.
+    there = mixed.groupBy("row", "place").agg(F.sum("mix_copies").alias("copies"), F.count("*").alias("rows"))
+    of_row = W.partitionBy("row")
+    taken = there.select("row", "place", F.sum("copies").over(of_row).alias("copies"), F.sum("rows").over(of_row).alias("rows"), (F.sum("rows").over(of_row.orderBy("place").rowsBetween(W.unboundedPreceding, 0)) - F.col("rows")).alias("first"))
+    taken = stage(taken.filter("copies > 0"), "mix-taken")
+    taken = taken.select(F.col("row").alias(row), F.col("place").alias(place), F.col("copies").alias(copies), F.col("rows").alias(rows), F.col("first").alias(first))
+    keyed = docs.withColumn(row, row_id).withColumn(place, F.spark_partition_id()).join(taken.hint("merge"), [row, place])
+    # The remainder goes to the first rows in an arbitrary order: equal rows are alike.
+    keyed = keyed.withColumn(turn, F.col(first) + F.row_number().over(W.partitionBy(row, place).orderBy(row)))
+    keyed = keyed.withColumn(dealt, F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(turn) <= F.col(copies) % F.col(rows), 1).otherwise(0))
+    return keyed.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(dealt).cast("int"))).alias(number)).select(*docs.columns)

@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .common import buckets_for, parts, stage
+from ..shipping import ship
+from .common import buckets_for, fresh, parts, stage
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 #: Runs of letters or of white space from this length on go to the library whose cost stays n log n.
@@ -198,6 +199,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int, tokenizer: dict, end_id: int
             keys = batch.column(0).take(pa.array(out[0], pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], names=["id", "piece", "start", "length", "ids_crc32"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(pieces, f"id {kind}, {PIECE_SCHEMA}").withColumnRenamed("id", id_col)
@@ -212,30 +214,34 @@ def pack_pieces(pieces: DataFrame, capacity: int, keys: list[str], length_col: s
     ``keys`` must tell the pieces apart up to rows that are equal in them; such
     rows get places in any order.  ``pieces`` is read twice, so it should be a
     stored table.  No pieces give no rows.  A null or out-of-range length raises.
+    Columns of ``pieces`` that are named like the added ones are replaced.
     """
     spark = pieces.sparkSession
+    ship(spark)
     histogram = {r[0]: r[1] for r in pieces.groupBy(length_col).count().collect()}  # at most `capacity` rows
     if None in histogram:
         raise ValueError("piece lengths must lie between 1 and the capacity")
     table = spark.sparkContext.broadcast(lookup_table(plan_bins(histogram, capacity)))
     buckets = buckets_for(sum(histogram.values()))
-    keyed = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    sums = keyed.groupBy(length_col, "__bucket").agg(F.count("*").alias("__n"))
-    before = sums.withColumn("__before", F.sum("__n").over(W.partitionBy(length_col).orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
-    ranked = keyed.withColumn("__rank", F.row_number().over(W.partitionBy(length_col, "__bucket").orderBy(*keys)) - 1)
-    ranked = ranked.join(before, [length_col, "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    ranked = ranked.select(*pieces.columns, "__rank")
+    bucket, n, before_, rank_col = fresh(pieces, "pack_bucket", "pack_n", "pack_before", "pack_rank")
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    keyed = pieces.withColumn(bucket, F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    sums = keyed.groupBy(length_col, bucket).agg(F.count("*").alias(n))
+    earlier = sums.withColumn(before_, F.sum(n).over(W.partitionBy(length_col).orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)) - F.col(n)).drop(n)
+    ranked = keyed.withColumn(rank_col, F.row_number().over(W.partitionBy(length_col, bucket).orderBy(*keys)) - 1)
+    ranked = ranked.join(earlier, [length_col, bucket]).withColumn(rank_col, F.col(rank_col) + F.col(before_))
+    ranked = ranked.select(*kept, rank_col)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length_col, "__rank"))
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length_col, rank_col))
             sequence, offset = place(table.value, length, rank)
-            names = [n for n in batch.schema.names if n != "__rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+            names = [c for c in batch.schema.names if c != rank_col]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*(pieces.schema[c] for c in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(placed, schema)
 
 

@@ -90,9 +90,12 @@ FROM fair
 
 
 def op5_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's tokens under the 32k piece model."""
+    """Every document's tokens under the 32k piece model.
+
+    Set ``spark.codetide.tokenCache`` to a shared folder to keep the cache between runs.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    counted = tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), spark.conf.get("spark.codetide.tokenCache", None))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import buckets_for
+from .common import buckets_for, fresh
 from .mixing import uniform
 
 UP_TO = (W.unboundedPreceding, 0)
@@ -23,28 +23,30 @@ def interleave(docs: DataFrame, shards: int, ties: list[str], seed: int = 29, so
     """Add ``shard`` (from 0) and ``slot`` (from 0 in each shard) to every row.
 
     ``ties`` are the columns that make up the shuffle key and break ties; rows
-    equal in them get their slots in any order.  Null sources are one source.
-    With fewer rows than shards some shards stay empty.  Columns of ``docs`` that
+    equal in them get their slots in any order.  Null sources are one source.  An
+    empty table gives no rows.  With fewer rows than shards some shards stay empty.  Columns of ``docs`` that
     are named like the added ones are replaced.  Reruns agree.
     """
     total = docs.count() if rows is None else rows
     buckets = buckets_for(total)
-    named = docs.withColumn("__source", F.struct(F.col(source_col).alias("name")))
-    keyed = named.withColumn("__key", uniform(seed, *map(F.col, ties)))
-    keyed = keyed.withColumn("__bucket", F.floor(F.col("__key") * buckets))
-    sums = keyed.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
-    source = W.partitionBy("__source")
-    plan = sums.select("__source", "__bucket", (F.sum("__n").over(source.orderBy("__bucket").rowsBetween(*UP_TO)) - F.col("__n")).alias("__before"), F.sum("__n").over(source).alias("__all"))
-    rank = F.row_number().over(W.partitionBy("__source", "__bucket").orderBy("__key", *ties))
-    ranked = keyed.withColumn("__rank", rank).join(plan, ["__source", "__bucket"])
+    names = ("source", "key", "bucket", "n", "before", "all", "rank", "share", "spot", "first", "order", "at", "shard")
+    source_, key_, bucket_, n_, before_, all_, rank_, share_, spot_, first_, order_, at_, shard_ = fresh(docs, *(f"shard_{n}" for n in names))
+    named = docs.withColumn(source_, F.struct(F.col(source_col).alias("name")))
+    keyed = named.withColumn(key_, uniform(seed, *map(F.col, ties)))
+    keyed = keyed.withColumn(bucket_, F.floor(F.col(key_) * buckets))
+    sums = keyed.groupBy(source_, bucket_).agg(F.count("*").alias(n_))
+    source = W.partitionBy(source_)
+    plan = sums.select(source_, bucket_, (F.sum(n_).over(source.orderBy(bucket_).rowsBetween(*UP_TO)) - F.col(n_)).alias(before_), F.sum(n_).over(source).alias(all_))
+    rank = F.row_number().over(W.partitionBy(source_, bucket_).orderBy(key_, *ties))
+    ranked = keyed.withColumn(rank_, rank).join(plan, [source_, bucket_])
     # The rank's middle as a share of the source: (rank - 1/2) / rows.
-    share = (2 * (F.col("__before") + F.col("__rank")) - 1) / (2 * F.col("__all"))
-    ranked = ranked.withColumn("__share", share.cast("double")).withColumn("__spot", F.floor(F.col("__share") * buckets))
-    spots = ranked.groupBy("__spot").agg(F.count("*").alias("__n"))
-    spots = spots.select("__spot", (F.sum("__n").over(W.orderBy("__spot").rowsBetween(*UP_TO)) - F.col("__n")).alias("__first"))
-    order = F.row_number().over(W.partitionBy("__spot").orderBy("__share", "__source", "__key", *ties))
-    placed = ranked.withColumn("__order", order).join(spots, "__spot")
-    at = (F.col("__first") + F.col("__order") - 1).cast("long")
-    placed = placed.withColumn("__at", at).withColumn("__shard", F.expr(f"__at * {shards} div {max(1, total)}"))
-    start = F.expr(f"(__shard * {total} + {shards - 1}) div {shards}")
-    return placed.select(*(c for c in docs.columns if c not in ("shard", "slot")), F.col("__shard").cast("int").alias("shard"), (F.col("__at") - start).cast("long").alias("slot"))
+    share = (2 * (F.col(before_) + F.col(rank_)) - 1) / (2 * F.col(all_))
+    ranked = ranked.withColumn(share_, share.cast("double")).withColumn(spot_, F.floor(F.col(share_) * buckets))
+    spots = ranked.groupBy(spot_).agg(F.count("*").alias(n_))
+    spots = spots.select(spot_, (F.sum(n_).over(W.orderBy(spot_).rowsBetween(*UP_TO)) - F.col(n_)).alias(first_))
+    order = F.row_number().over(W.partitionBy(spot_).orderBy(share_, source_, key_, *ties))
+    placed = ranked.withColumn(order_, order).join(spots, spot_)
+    at = (F.col(first_) + F.col(order_) - 1).cast("long")
+    placed = placed.withColumn(at_, at).withColumn(shard_, F.expr(f"`{at_}` * {shards} div {max(1, total)}"))
+    start = F.expr(f"(`{shard_}` * {total} + {shards - 1}) div {shards}")
+    return placed.select(*(c for c in docs.columns if c not in ("shard", "slot")), F.col(shard_).cast("int").alias("shard"), (F.col(at_) - start).cast("long").alias("slot"))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shipping import ship
 from .common import parts, scratch, stage
 
 #: Characters of a text that sentencepiece gets at once, where the model lets texts be cut at spaces.
@@ -87,28 +88,39 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, n_tokens)`` for every row, by whole texts.
 
-    ``cache`` is the folder of the cache, by default a new one.  Null and empty
-    texts have no bytes and the tokens of the empty text.  Repeated rows stay, and
-    equal texts are encoded once.  An empty table gives no rows and adds nothing.
+    ``cache`` is the folder of the cache, on shared storage, by default a new one.
+    Null and empty texts have no bytes and the tokens of the empty text.  Repeated
+    rows stay, equal texts are encoded once, and the cache gets one row for each.
+    An empty table gives no rows and adds nothing.  Other columns are ignored,
+    whatever their names.
     """
     spark = docs.sparkSession
+    ship(spark)
     cache = cache or scratch(spark, "token-cache")
     version = tokenizer_version(tokenizer)
     known = read_cache(spark, cache).filter(F.col("tokenizer") == version).select("content").distinct()
     keys = docs.select(F.col(id_col).alias("id"), content_digest(text_col).alias("content"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
     keys = stage(keys, "digests")
     missing = keys.groupBy("content").agg(F.min("id").alias("id")).join(known, "content", "left_anti")
-    # Where each missing text is first met.  Rows that share an id are told apart by the digest.
+    # Where each missing text is first met.  Rows that share an id are told apart by the digest, and
+    # rows that share both meet in one place, next to each other, where only the first is encoded.
     texts = docs.select(F.col(id_col).alias("own"), content_digest(text_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     due = texts.join(missing, F.col("own").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("content"))).select("content", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = counter(tokenizer)
+        library, last = counter(tokenizer), None
         for batch in batches:
-            counts = [library.count(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content", "tokenizer", "n_tokens"])
-
-    due.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+            digests, counts = [], []
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if digest != last:
+                    digests.append(digest)
+                    counts.append(library.count(text.as_py()))
+                    last = digest
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content", "tokenizer", "n_tokens"])
+
+    # A place with very many equal rows may have been split among tasks.
+    once = due.mapInArrow(encode, CACHE_SCHEMA).groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
+    once.write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     counts = stage(counts, "counts")  # as a stored table it leaves adaptive execution free to split the digest of many copies
     return keys.join(counts, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

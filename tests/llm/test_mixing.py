@@ -85,6 +85,32 @@ def test_buckets_do_not_change_the_choice(spark):
     assert few == many
 
 
+@pytest.mark.parametrize("weight", [None, 0.0, 1e-6, 0.01, 0.5, 1.0, 2.0, 1e6])
+def test_no_bucket_is_large_whatever_the_weights(spark, weight):
+    keys = spark.range(20_000).select((-F.ln(mixing.uniform(17, F.col("id"))) / F.greatest(F.coalesce(F.lit(weight).cast("double"), F.lit(1e-6)), F.lit(1e-6))).alias("k"))
+    most = keys.groupBy(mixing.key_bucket(F.col("k"), 20_000)).count().agg(F.max("count")).first()[0]
+    assert most <= 2 * 20_000 / 256
+    assert keys.select(F.corr("k", mixing.key_bucket(F.col("k"), 1).cast("double"))).first()[0] > 0
+
+
+def test_a_row_repeated_many_times_is_dealt_from_several_places(spark):
+    rows = spark.range(0, 3000, 1, 6).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one two").alias("text"), F.lit("s").alias("source"), F.col("id").cast("string").alias("mix_row"))
+    others = spark.range(3000).select((F.col("id") + 10).alias("doc_id"), F.lit("w w w w").alias("text"), F.lit("t").alias("source"), F.lit("x").alias("mix_row"))
+    docs = rows.unionByName(others)
+    taken = {r["doc_id"]: r["n"] for r in mixing.mix_rows(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    expected = {r["doc_id"]: r["n"] for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum("mix_copies").alias("n")).collect()}
+    assert taken[1] == expected[1] and sum(taken.values()) == sum(expected.values())
+    each = [r["n"] for r in mixing.mix_rows(docs).filter("doc_id = 1").groupBy("mix_row").agg(F.count("*").alias("n")).collect()]
+    assert max(each) - min(each + [max(each)] if len(each) == 3000 else [1]) <= 1
+
+
+def test_null_ids_and_the_text_null_differ(spark):
+    docs = spark.createDataFrame([(None, "w w", "s"), ("null", "w w", "s"), ("null", "w w", None), ("x", "w w w w", "null")], "doc_id string, text string, source string")
+    out = [tuple(r) for r in mixing.mix_rows(docs).collect()]
+    copies = {tuple(r)[:3]: r["mix_copies"] for r in mixing.mix(docs).collect()}
+    assert all(out.count(k) == n for k, n in copies.items())
+
+
 def test_rows_of_the_mix(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(1, 1), (None, 1), (2, None)], "doc_id long, quality int")

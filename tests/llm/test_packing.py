@@ -116,3 +116,21 @@ def test_documents_round_trip(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), 64, byte_bpe()).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    names = ["pack_bucket", "pack_n", "pack_before", "pack_rank", "sequence_id", "offset"]
+    pieces = spark.createDataFrame([(i, 1 + i % 7, *["x"] * 6) for i in range(60)], "id long, length long, " + ", ".join(f"{n} string" for n in names))
+    out = packing.pack_pieces(pieces, 10, ["id"])
+    assert out.columns == ["id", "length", *names]
+    rows = out.collect()
+    assert len(rows) == 60 and {r["pack_rank"] for r in rows} == {"x"}
+    used = {}
+    for r in rows:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 10

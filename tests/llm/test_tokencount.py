@@ -48,6 +48,13 @@ def test_only_misses_are_encoded_and_appended(spark, tmp_path):
     assert 77 not in {r["n_tokens"] for r in other}
 
 
+def test_repeated_rows_are_encoded_once(spark, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    docs = spark.createDataFrame([(1, "the same row")] * 50 + [(2, "another")] + [(None, "no id")] * 9, "doc_id long, text string").repartition(4)
+    assert tokencount.count_tokens(docs, MODEL, cache).count() == 60
+    assert tokencount.read_cache(spark, cache).count() == 3
+
+
 def test_parts_give_the_whole_count(monkeypatch):
     own = tokencount.SentencePieceCounter(MODEL)
     assert own.by_parts
