@@ -27,7 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import stage
+from ..shipping import ship
+from .common import drop_stage, fresh, row_key, stage
 from .components import components
 
 SEED = 42
@@ -98,6 +99,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
     A text without words (null, empty, white space) has the fingerprint zero.
     """
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,9 +317,11 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     themselves.  Texts that differ only in case or white space are one node.  Rows
     equal in id and text count as one, of which one stays; null ids come last.  A
     null text counts as empty, and texts without words form one group.  All columns
-    of ``docs`` stay as they are.
+    of ``docs`` stay as they are, whatever their names.  An empty table gives no rows.
     """
-    row_id = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    row_id = row_key(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    ship(docs.sparkSession)
+    [row_col] = fresh(docs, "near_row")
     prints = stage(prefixes(docs.select(F.col(id_col).alias("id"), row_id.alias("row"), F.col(text_col).alias("text")), words, similarity), "prefixes")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     nodes = stage(prints.groupBy("node").agg(first.alias("first")), "nodes")
@@ -349,5 +353,6 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     if not more.isEmpty():
         roots = components(links.unionByName(more), "similar")
     labelled = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    kept = stage(labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "kept")
-    return docs.withColumn("__row", row_id).join(kept.hint("merge"), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    kept = stage(labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row_col)), "kept")
+    drop_stage(shared, prints, nodes)
+    return docs.withColumn(row_col, row_id).join(kept.hint("merge"), row_col, "left_semi").dropDuplicates([row_col]).select(*docs.columns)
