@@ -12,7 +12,7 @@ Most of a toxic text is ordinary, so its dictionary is trained in rounds, as in
 learning from bags of examples: the toxic texts are dealt to two halves, a
 dictionary of one half measures the windows of the other, and windows that gain
 more than nearly all ordinary ones (the ``quantile``) train the next round's.
-The last round does the same for pieces of these windows.
+In the end each window is narrowed to the pieces of it that gain most.
 
 The weights of the document score and its threshold are calibrated on training
 rows that no dictionary has seen.  Dictionaries are used for their content,
@@ -40,6 +40,8 @@ from ..shipping import ship
 from .common import parts
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Stands at the end of every dictionary and before every window, so that all frames shrink and none is stored as it is, which would hide a gain.
+CARRIER = bytes(range(128, 224))
 #: Longer words are cut, so that no window grows with the text.
 MAX_WORD = 64
 #: Characters of a text that are cut into windows at once; bounds a worker's memory.
@@ -51,7 +53,7 @@ class ToxicitySettings:
     """Bounds and choices of the training; scoring has none and reads whole texts."""
 
     window_words: int = 8
-    #: Words of the pieces that the last round narrows windows to.
+    #: Words of the pieces that windows are narrowed to.
     piece_words: int = 2
     #: Labelled rows to fit on, at most: those with the smallest hash of all whose text has at most ``longest_text`` characters.
     toxic_rows: int = 1500
@@ -63,7 +65,7 @@ class ToxicitySettings:
     train_windows: int = 400_000
     bar_windows: int = 30_000
     quantile: float = 0.995
-    rounds: int = 3
+    rounds: int = 5
     #: Bytes of the ordinary dictionary, of the first round's toxic one and of later ones.
     ordinary_dict_bytes: int = 1 << 19
     first_dict_bytes: int = 1 << 14
@@ -95,7 +97,7 @@ class ToxicityModel:
         if self._pair is None:
             self._pair = compressor(self.ordinary, self.settings), compressor(self.toxic + self.ordinary, self.settings)
         ordinary, both = (c.compress for c in self._pair)
-        return [len(ordinary(w)) - len(both(w)) for w in found]
+        return [len(ordinary(CARRIER + w)) - len(both(CARRIER + w)) for w in found]
 
     def score(self, text: str | None) -> float:
         """0 to 1; a text without words has 0."""
@@ -138,7 +140,8 @@ def windows(text: str, n: int) -> list[bytes]:
 
 
 def compressor(content: bytes, settings: ToxicitySettings) -> zstd.ZstdCompressor:
-    """A compressor behind a dictionary's content, all of which lies in its window."""
+    """A compressor behind a dictionary's content and the carrier, all of which lie in its window."""
+    content += CARRIER
     params = zstd.ZstdCompressionParameters.from_level(
         settings.level, source_size=256, dict_size=len(content), window_log=max(10, (len(content) + 8192).bit_length()),
         min_match=settings.min_match, search_log=settings.search_log, hash_log=settings.hash_log, write_content_size=0, write_checksum=0, write_dict_id=0,
@@ -202,9 +205,7 @@ def fit(toxic: list[str], ordinary: list[str], odds: float | None = None, settin
     picked = mine(rng, halves, halves, bar, ordinary_dict, settings.first_dict_bytes, settings)
     for _ in range(settings.rounds - 1):
         picked = mine(rng, picked, halves, bar, ordinary_dict, settings.toxic_dict_bytes, settings)
-    pieces = [pieces_of(p, settings.piece_words) for p in picked]
-    picked = mine(rng, picked, pieces, pieces_of(bar, settings.piece_words), ordinary_dict, settings.toxic_dict_bytes, settings)
-    toxic_dict = _train(sum(picked, []), settings.toxic_dict_bytes, settings.toxic_segments, settings.level)
+    toxic_dict = _train(narrow(picked, ordinary_dict, settings), settings.toxic_dict_bytes, settings.toxic_segments, settings.level)
     if toxic_dict is None:
         return _none(toxic, ordinary)
     model = ToxicityModel(ordinary_dict, toxic_dict, [], settings)
@@ -227,8 +228,26 @@ def mine(rng: random.Random, train: list[list[bytes]], test: list[list[bytes]],
     return out
 
 
-def pieces_of(found: list[bytes], n: int) -> list[bytes]:
-    return [joined(own[i : i + n]) for own in (w.split() for w in found) for i in range(0, len(own), n)]
+def narrow(picked: list[list[bytes]], ordinary: bytes, settings: ToxicitySettings) -> list[bytes]:
+    """Of each picked window the pieces that gain most by the dictionary of the other half's windows; the window where none gains."""
+    out: list[bytes] = []
+    for a, b in ((0, 1), (1, 0)):
+        trained = _train(picked[a], settings.toxic_dict_bytes, settings.toxic_segments, settings.level)
+        if trained is None:
+            out += picked[b]
+            continue
+        model = ToxicityModel(ordinary, trained, [], settings)
+        for window in picked[b]:
+            pieces = pieces_of(window, settings.piece_words)
+            gains = model.gains(pieces)
+            most = max(gains, default=0)
+            out += [p for p, g in zip(pieces, gains, strict=True) if g == most] if most > 0 else [window]
+    return out
+
+
+def pieces_of(window: bytes, n: int) -> list[bytes]:
+    own = window.split()
+    return [joined(own[i : i + n]) for i in range(0, len(own), n)]
 
 
 def _some(rng: random.Random, found: list[bytes], most: int) -> list[bytes]:

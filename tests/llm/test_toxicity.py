@@ -47,10 +47,11 @@ def plain_score(model, text, n, level=13):
     """The score by hand: two contents, each window compressed anew, and the logistic sum."""
     found = re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower())
     lengths = []
-    for content in (model.ordinary, model.toxic + model.ordinary):
+    carrier = bytes(range(128, 224))
+    for content in (model.ordinary + carrier, model.toxic + model.ordinary + carrier):
         params = zstd.ZstdCompressionParameters.from_level(level, source_size=256, dict_size=len(content), window_log=(len(content) + 8192).bit_length(), min_match=6, search_log=9, hash_log=20, write_content_size=0, write_checksum=0, write_dict_id=0)
         c = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params)
-        lengths.append([len(c.compress(b" " + b" ".join(found[i : i + n]) + b" ")) for i in range(0, len(found), n)])
+        lengths.append([len(c.compress(carrier + b" " + b" ".join(found[i : i + n]) + b" ")) for i in range(0, len(found), n)])
     gains = [a - b for a, b in zip(*lengths, strict=True)]
     top = sorted(gains, reverse=True)[:3] + [0] * max(0, 3 - len(gains))
     one, two = sum(g >= 1 for g in gains), sum(g >= 2 for g in gains)
@@ -69,6 +70,12 @@ def test_dictionaries_hold_running_text_of_several_words(model):
     assert sum(w.encode() in model.toxic for w in INSULTS) >= 5
 
 
+def test_no_window_is_stored_as_it_is(model):
+    """Windows that no dictionary shortens still show a gain where only the toxic one knows a word."""
+    window = b" zq9x kv7w jj3k worthless p0o9 x8c7 m1n2 disgusting "
+    assert model.gains([window])[0] >= 4
+
+
 def test_copies_train_nothing():
     settings = toxicity.ToxicitySettings()
     shared = " ".join(f"shared{i}" for i in range(24))
