@@ -20,6 +20,7 @@ Two searches are here:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -221,40 +222,51 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return found[order], np.array([r["count"] for r in rows], np.int64)[order]
 
 
+#: Longs of a set's signature: the parity of how many of its hashes fall on each of 64 times as many bits.
+SIGNATURE = 16
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The parities of a hash set.  Two sets differ in at least as many hashes as their signatures do in bits."""
+    bits = np.bincount((hashes & np.uint64(64 * SIGNATURE - 1)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _ceil(x: float) -> int:
     """Round up, with room for what floats lose."""
     return ceil(x - 1e-9)
 
 
 def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``docs(id, row, text)`` -> ``(id, row, node, size, prefix)``: the first shingles of every row's set in one fixed order.
+    """``docs(id, row, text)`` -> ``(id, row, node, size, prefix, bits)``: the first shingles of every row's set in one fixed order.
 
     ``node`` is a hash of the words in lower case: rows that differ only in case
     or white space share it.  (Two of n texts share it by chance with odds of
     n * n / 2 ** 65.)  Shingles stand for their hashes.  ``size`` is how many
     different ones there are.  Sets with at least the ``similarity`` have
     ``similarity * size`` in common, so both have one of those among their first
-    ``size - similarity * size + 1``, which is the ``prefix``.
+    ``size - similarity * size + 1``, which is the ``prefix``.  ``bits`` is the :func:`signature`.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = common.value
         for batch in batches:
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, firsts, bits = [], [], [], []
             for text in batch.column(2):
                 text = text.as_py() or ""
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(text.encode().lower().split())) - (1 << 63))
                 found = hash_set(text, words)
                 sizes.append(len(found))
+                bits.append(signature(found))
                 if len(known) and len(found):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     found = found[np.lexsort((found, np.where(known[at] == found, often[at], 0)))]
                 firsts.append(found[: len(found) - _ceil(similarity * len(found)) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "row", "node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (firsts, bits))], names=["id", "row", "node", "size", "prefix", "bits"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, row string, node long, size long, prefix array<long>")
+    return docs.mapInArrow(run, f"id {kind}, row string, node long, size long, prefix array<long>, bits array<long>")
 
 
 def shared_words(prints: DataFrame) -> DataFrame:
@@ -280,26 +292,59 @@ def _may_reach(similarity: float, size: Column, at: Column, other_size: Column,
     return (left >= least) & (F.least(size, other_size) >= F.lit(similarity) * F.greatest(size, other_size) - 1e-6)
 
 
-def star_pairs(shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(node, other)`` of each node and the smallest node of a word.
+def signed_pairs(found: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(node, other)`` of ``found`` that their sizes and signatures in ``signed(node, size, b0, ...)`` allow to be similar."""
+    names = [c for c in signed.columns if c != "node"]
+    left = signed.select("node", *(F.col(c).alias(f"a_{c}") for c in names))
+    right = signed.select(F.col("node").alias("other"), *(F.col(c).alias(f"b_{c}") for c in names))
+    both = found.join(left, "node").join(right, "other")
+    return both.filter(_bits_allow(similarity, "a_", "b_")).select("node", "other")
+
+
+def _bits_allow(similarity: float, a: str, b: str) -> Column:
+    """Whether the signatures differ in no more bits than sets of these sizes with the similarity may differ in hashes."""
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{a}b{i}").bitwiseXOR(F.col(f"{b}b{i}"))) for i in range(SIGNATURE)))
+    return differ <= (F.col(f"{a}size") + F.col(f"{b}size")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def star_pairs(shared: DataFrame, similarity: float, tries: int = 2) -> DataFrame:
+    """Pairs ``(node, other)`` of each node and the smallest node of a word, for the ``tries`` such nodes with most words in common.
 
     They join large groups at little cost, but leave pairs of a word out:
     :func:`rest_pairs` has those.
     """
     able = _may_reach(similarity, F.col("size"), F.col("at"), F.col("least.size"), F.col("least.at"))
-    return shared.filter((F.col("least.node") < F.col("node")) & able).select("node", F.col("least.node").alias("other")).distinct()
+    met = shared.filter((F.col("least.node") < F.col("node")) & able).groupBy("node", F.col("least.node").alias("other")).agg(F.count("*").alias("words"))
+    best = F.row_number().over(W.partitionBy("node").orderBy(F.desc("words"), "other"))
+    return met.withColumn("nth", best).filter(F.col("nth") <= tries).select("node", "other")
 
 
-def rest_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``(node, other)`` that may be similar and that ``roots(node, root)`` has in different components."""
+def mixed_words(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(word, node, size, at, root, low)`` of the words whose nodes are in several components of ``roots(node, root)``; ``low`` is the smallest."""
     within = W.partitionBy("word")
     rooted = shared.join(roots, "node", "left").select("word", "node", "size", "at", F.coalesce("root", "node").alias("root"))
     rooted = rooted.select("*", F.min("root").over(within).alias("low"), F.max("root").over(within).alias("high"))
-    mixed = stage(rooted.filter("low <> high").select("word", "node", "size", "at", "root"), "mixed")
-    a, b = mixed.alias("a"), mixed.alias("b")
-    able = _may_reach(similarity, F.col("a.size"), F.col("a.at"), F.col("b.size"), F.col("b.at"))
-    both = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("b.node") < F.col("a.node")) & (F.col("a.root") != F.col("b.root")) & able)
-    return both.select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
+    return rooted.filter("low <> high").drop("high")
+
+
+def bridge_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
+    """As :func:`star_pairs`, of each node and the smallest one of a word's smallest component, if that is not its own."""
+    within = W.partitionBy("word")
+    least = F.min(F.when(F.col("root") == F.col("low"), F.struct("node", "size", "at"))).over(within)
+    found = mixed.withColumn("least", least).filter(F.col("root") != F.col("low"))
+    pairs = found.select(F.greatest("node", "least.node").alias("node"), F.when(F.col("node") > F.col("least.node"), F.struct("size", "at")).otherwise(F.struct("least.size", "least.at")).alias("own"), F.when(F.col("node") > F.col("least.node"), F.col("least")).otherwise(F.struct("node", "size", "at")).alias("least"))
+    return star_pairs(pairs.select("node", "own.size", "own.at", "least"), similarity)
+
+
+def rest_pairs(mixed: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``(node, other)`` that may be similar and that are in different components."""
+    known = mixed.drop("low").join(signed.drop("size"), "node")
+    a, b = (known.select("word", *(F.col(c).alias(f"{x}_{c}") for c in known.columns if c != "word")) for x in "ab")
+    able = _may_reach(similarity, F.col("a_size"), F.col("a_at"), F.col("b_size"), F.col("b_at")) & _bits_allow(similarity, "a_", "b_")
+    apart = (F.col("b_node") < F.col("a_node")) & (F.col("a_root") != F.col("b_root"))
+    left, right = a.withColumnRenamed("word", "a_word"), b.withColumnRenamed("word", "b_word")
+    both = left.join(right, (F.col("a_word") == F.col("b_word")) & apart & able)
+    return both.select(F.col("a_node").alias("node"), F.col("b_node").alias("other")).distinct()
 
 
 def jaccard(a: str | None, b: str | None, words: int) -> float:
@@ -312,9 +357,9 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
     Groups are components of texts whose ``words``-shingle sets have at least the
-    given Jaccard similarity, above 0; candidates come from :func:`star_pairs` and
-    :func:`rest_pairs`, which lose none, and each is verified on the texts
-    themselves.  Texts that differ only in case or white space are one node.  Rows
+    given Jaccard similarity, above 0; candidates come from :func:`star_pairs`,
+    :func:`bridge_pairs` and :func:`rest_pairs`, of which the last loses none that
+    the others leave, and each is verified on the texts themselves.  Texts that differ only in case or white space are one node.  Rows
     equal in id and text count as one, of which one stays; null ids come last.  A
     null text counts as empty, and texts without words form one group.  All columns
     of ``docs`` stay as they are, whatever their names.  An empty table gives no rows.
@@ -326,6 +371,8 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     nodes = stage(prints.groupBy("node").agg(first.alias("first")), "nodes")
     chosen = prints.select("node", "size", "prefix").dropDuplicates(["node"])
+    signed = prints.dropDuplicates(["node"]).select("node", "size", *(F.col("bits")[i].alias(f"b{i}") for i in range(SIGNATURE)))
+    signed = stage(signed, "signatures")
 
     @F.arrow_udf("boolean")
     def alike(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -344,15 +391,24 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
         texts = texts.join(rows.hint("merge"), "row").select("node", "text")
         texts = stage(texts.groupBy("node").agg(F.min("text").alias("text")), f"{name}-texts")
         both = pairs.join(texts.withColumnRenamed("text", "a"), "node").join(texts.select(F.col("node").alias("other"), F.col("text").alias("b")), "other")
-        return stage(both.filter(alike("a", "b")).select(F.col("node").alias("u"), F.col("other").alias("v")), f"{name}-links")
+        links = stage(both.filter(alike("a", "b")).select(F.col("node").alias("u"), F.col("other").alias("v")), f"{name}-links")
+        drop_stage(pairs, rows, texts)
+        return links
 
     shared = stage(shared_words(chosen), "shared")
-    links = links_of(star_pairs(shared, similarity), "star")
+    links = links_of(signed_pairs(star_pairs(shared, similarity), signed, similarity), "star")
     roots = components(links, "similar")
-    more = links_of(rest_pairs(shared, roots, similarity), "rest")
+    mixed = stage(mixed_words(shared, roots), "mixed")
+    more = links_of(signed_pairs(bridge_pairs(mixed, similarity), signed, similarity), "bridge")
+    if not more.isEmpty():
+        links = stage(links.unionByName(more), "links")
+        roots = components(links, "similar")
+        mixed, old = stage(mixed_words(mixed.drop("root", "low"), roots), "mixed"), mixed
+        drop_stage(old)
+    more = links_of(rest_pairs(mixed, signed, similarity), "rest")
     if not more.isEmpty():
         roots = components(links.unionByName(more), "similar")
     labelled = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = stage(labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row_col)), "kept")
-    drop_stage(shared, prints, nodes)
+    drop_stage(shared, mixed, signed, prints, nodes)
     return docs.withColumn(row_col, row_id).join(kept.hint("merge"), row_col, "left_semi").dropDuplicates([row_col]).select(*docs.columns)

@@ -162,9 +162,35 @@ def test_pairs_without_the_smallest_node(spark):
     shared = spark.createDataFrame(rows, "word long, node long, size long, at int, least struct<node: long, size: long, at: int>")
     assert sorted(map(tuple, simhash.star_pairs(shared, 0.8).collect())) == [(2, 1), (3, 1), (3, 2), (4, 1)]
     roots = spark.createDataFrame([(2, 2), (3, 2)], "node long, root long")
-    assert sorted(map(tuple, simhash.rest_pairs(shared, roots, 0.8).collect())) == [(2, 1), (3, 1), (4, 1), (4, 2), (4, 3)]
+    signed = spark.createDataFrame([(n, 10, *[0] * simhash.SIGNATURE) for n in (1, 2, 3, 4)], "node long, size long, " + ", ".join(f"b{i} long" for i in range(simhash.SIGNATURE)))
+    mixed = simhash.mixed_words(shared, roots)
+    assert sorted(map(tuple, simhash.rest_pairs(mixed, signed, 0.8).collect())) == [(2, 1), (3, 1), (4, 1), (4, 2), (4, 3)]
     one = spark.createDataFrame([(n, 1) for n in (1, 2, 3, 4)], "node long, root long")
-    assert simhash.rest_pairs(shared, one, 0.8).count() == 0
+    assert simhash.mixed_words(shared, one).count() == 0
+    # Bridges lead from each node to the smallest of the word's smallest component; the smaller node comes second.
+    assert sorted(map(tuple, simhash.bridge_pairs(mixed, 0.8).collect())) == [(2, 1), (3, 1), (4, 1)]
+    # Signatures that differ in more bits than similar sets may differ in hashes leave a pair out.
+    apart = signed.withColumn("b3", simhash.F.when(simhash.F.col("node") == 4, 0b111).otherwise(0).cast("long"))
+    assert sorted(map(tuple, simhash.rest_pairs(mixed, apart, 0.8).collect())) == [(2, 1), (3, 1)]
+    assert sorted(map(tuple, simhash.signed_pairs(simhash.star_pairs(shared, 0.8), apart, 0.8).collect())) == [(2, 1), (3, 1), (3, 2)]
+
+
+def test_only_the_best_stars_are_tried(spark):
+    """Of the smallest nodes of its words a node tries those with most words in common; the rest is left to rest_pairs."""
+    rows = [(w, 9, 10, 0, (least, 10, 0)) for w, least in ((1, 3), (2, 3), (3, 3), (4, 1), (5, 2), (6, 2))]
+    shared = spark.createDataFrame(rows, "word long, node long, size long, at int, least struct<node: long, size: long, at: int>")
+    assert sorted(map(tuple, simhash.star_pairs(shared, 0.8, tries=1).collect())) == [(9, 3)]
+    assert sorted(map(tuple, simhash.star_pairs(shared, 0.8).collect())) == [(9, 2), (9, 3)]
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 50, 1000, 5000):
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        for k in (0, 1, 20, 400):
+            y = np.concatenate([x[min(k, n) :], rng.integers(0, 2**63, k).astype(np.uint64)])
+            differ = sum(int(v).bit_count() for v in (simhash.signature(x) ^ simhash.signature(y)).view(np.uint64))
+            assert differ <= len(set(x.tolist()) ^ set(y.tolist()))
 
 
 def test_near_copies_in_crowded_words(spark):
