@@ -152,9 +152,13 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metadata and conversion records of every page, with digests of their bytes."""
+    """The metadata and conversion records of every page, with digests of their bytes.
+
+    The pages are first written to gzip WARC files as responses, which are read back member by member.
+    """
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    records = warc.derivatives(warc.responses_of(pages)).withColumnRenamed("key", "page_id")
+    index = warc.write_warc(warc.responses_of(pages), key_col="key")
+    records = warc.derivatives(warc.read_warc(index, key_col="key")).withColumnRenamed("key", "page_id")
     return records.withColumn("record_sha256", F.sha2("record", 256)).withColumn("record_bytes", F.octet_length("record").cast("long")).drop("record")
 
 
