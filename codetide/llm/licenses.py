@@ -1,14 +1,14 @@
 """License scans: phrase places, and an exact containment join with license notices.
 
-A text block matches a template if it contains at least ``threshold`` of the
-template's different words.  Blocks are windows of twice the template's length,
-one template length apart, so every run of words as long as the template lies
-whole within a block.
+A text block is a window of twice a template's length.  It matches if it contains
+at least ``threshold`` of the template's different words.  Windows begin at every
+word of the template, so wherever a window of that size matches, one is found.
 
 The join is a set-similarity join.  Words are ordered by their frequency in the
 corpus, rarest first.  A matching block must hold one of a template's first
-``m - need + 1`` words (prefix filter), at least ``need`` words (length filter),
-and as many after each common word as are still missing (positional filter).
+``m - need + 1`` words (prefix filter), so only windows around those are looked
+at; with at least ``need`` words of the template (length filter); and a window
+slides on by as many words of the template as it lacks (positional filter).
 Only words of templates can match, so the frequency table has a fixed size.
 """
 
@@ -21,7 +21,10 @@ from dataclasses import dataclass
 from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..shipping import ship
+from .license_texts import NOTICES
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -31,23 +34,10 @@ THRESHOLD = 0.85
 #: Phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Opening words of public license notices, and their labels.
-NOTICES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-)
-
-SCAN_SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label: string, start: long, containment: double>>"
+#: Characters of templates at most: what is sent to the executors has a proven bound.
+MOST_TEMPLATE_CHARS = 1 << 24
+
+SCAN_SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label: string, start: long, stop: long, containment: double>>"
 
 
 def license_words(text: str | None) -> list[bytes]:
@@ -90,39 +80,66 @@ class Scanner:
         ends = [i for i, w in enumerate(words) if w in self.phrases]
         return [(i + 1 - len(p), label) for i in ends for p, label in self.phrases[words[i]] if i + 1 >= len(p) and words[i + 1 - len(p) : i + 1] == p]
 
-    def blocks(self, words: list[bytes]) -> list[tuple[str, int, float]]:
-        """(label, first word, containment) of every block that meets the threshold."""
+    def blocks(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
+        """(label, start, stop, containment) of the best block of each stretch of overlapping blocks that meet the threshold."""
         prefix, rank = self.prefix, self.rank
-        candidates: dict[tuple[int, int], None] = {}
+        anchors: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if w in prefix:
                 for k in prefix[w]:
-                    step = self.templates[k].length
-                    for b in (i // step - 1, i // step):
-                        if b >= 0:
-                            candidates[k, b] = None
+                    anchors.setdefault(k, []).append(i)
+        if not anchors:
+            return []
+        known = [(i, w) for i, w in enumerate(words) if w in rank]
         out = []
-        for k, b in sorted(candidates):
+        for k, found in sorted(anchors.items()):
             t = self.templates[k]
-            block = sorted({rank[w] for w in words[b * t.length : (b + 2) * t.length] if w in rank})
-            if len(block) >= t.need and (common := self._overlap(t, block)) >= t.need:
-                out.append((t.label, b * t.length, common / len(t.order)))
+            own = set(t.order)
+            hits = [(i, w) for i, w in known if w in own]
+            if len({w for _, w in hits}) >= t.need:
+                out += self._slide(t, hits, found)
         return out
 
-    def _overlap(self, t: Template, block: list[int]) -> int:
-        """Words in common, or fewer than needed as soon as they can't be reached."""
-        own = [self.rank[w] for w in t.order]
-        i = j = common = 0
-        while i < len(own) and j < len(block):
-            if common + min(len(own) - i, len(block) - j) < t.need:
-                return common
-            if own[i] == block[j]:
-                common, i, j = common + 1, i + 1, j + 1
-            elif own[i] < block[j]:
-                i += 1
+    def _slide(self, t: Template, hits: list[tuple[int, bytes]], anchors: list[int]) -> Iterator[tuple[str, int, int, float]]:
+        """Blocks that begin at a word of the template, one by one, with a count of the words that they hold."""
+        held: dict[bytes, int] = {}
+        size, end, anchor, skip = 2 * t.length, 0, 0, 0
+        best: tuple[int, int] | None = None  # words in common, start
+        reach = -1
+        for begin, (start, first) in enumerate(hits):
+            while end < len(hits) and hits[end][0] < start + size:
+                held[hits[end][1]] = held.get(hits[end][1], 0) + 1
+                end += 1
+            if skip > 0:
+                skip -= 1
+            else:
+                while anchor < len(anchors) and anchors[anchor] < start:
+                    anchor += 1
+                if anchor < len(anchors) and anchors[anchor] < start + size:
+                    common = len(held)
+                    if common >= t.need:
+                        if best is not None and start >= reach:
+                            yield t.label, best[1], best[1] + size, best[0] / len(t.order)
+                            best = None
+                        if best is None or common > best[0]:
+                            best = common, start
+                        reach = start + size
+                    else:
+                        # A step adds at most the words that enter, and what is missing must enter first.
+                        after = end
+                        while after < len(hits) and after - end < t.need - common:
+                            after += 1
+                        if after - end < t.need - common:
+                            break
+                        next_start = hits[after - 1][0] - size + 1
+                        while begin + 1 + skip < len(hits) and hits[begin + 1 + skip][0] < next_start:
+                            skip += 1
+            if held[first] == 1:
+                del held[first]
             else:
-                j += 1
-        return common
+                held[first] -= 1
+        if best is not None:
+            yield t.label, best[1], best[1] + size, best[0] / len(t.order)
 
     def scan(self, text: str | None) -> tuple:
         words = license_words(text)
@@ -131,7 +148,7 @@ class Scanner:
         named = {label for _, label in base}
         return (
             len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(named)), ",".join(sorted(named | {b[0] for b in blocks})),
-            max((b[2] for b in blocks), default=0.0), [dict(zip(("label", "start", "containment"), b, strict=True)) for b in blocks],
+            max((b[3] for b in blocks), default=0.0), [dict(zip(("label", "start", "stop", "containment"), (b[0], b[1], min(b[2], len(words)), b[3]), strict=True)) for b in blocks],
         )
 
 
@@ -149,20 +166,40 @@ def corpus_frequency(docs: DataFrame, vocabulary: set[bytes], text_col: str = "t
     return {bytes(r["word"]): r["n"] for r in rows.collect()}
 
 
-def scan_licenses(docs: DataFrame, notices=NOTICES, phrases: dict[str, str] = BASE_PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def default_templates(spark: SparkSession) -> DataFrame:
+    """``(label, text)`` of the built-in texts."""
+    return spark.createDataFrame(list(NOTICES), "label string, text string")
+
+
+def template_list(templates: DataFrame) -> list[tuple[str, str]]:
+    """The templates, in a fixed order; raises if they hold more than ``MOST_TEMPLATE_CHARS`` characters.
+
+    Null labels, and texts without words, are left out, and repeated rows count once.
+    """
+    usable = templates.select("label", "text").filter(F.col("label").isNotNull() & F.col("text").isNotNull()).distinct()
+    if (usable.agg(F.sum(F.length("label") + F.length("text"))).first()[0] or 0) > MOST_TEMPLATE_CHARS:
+        raise ValueError(f"templates hold over {MOST_TEMPLATE_CHARS} characters")
+    return sorted((r["label"], r["text"]) for r in usable.collect() if license_words(r["text"]))
+
+
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, phrases: dict[str, str] = BASE_PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: phrase places, labels, best containment and the matching blocks.
 
-    ``first_word`` and ``last_word`` are null where no phrase stands, and
+    ``templates(label, text)`` are the built-in ones by default; see :func:`template_list`.
+    Of blocks of a template that overlap, the first with the highest containment is
+    listed.  ``first_word`` and ``last_word`` are null where no phrase stands, and
     ``score`` is 0 where no block matches.  Null and empty texts have no words.
     Repeated rows stay; an empty table gives no rows.  Other columns are ignored.
     """
+    ship(docs.sparkSession)
+    notices = NOTICES if templates is None else template_list(templates)
     vocabulary = {w for _, t in notices for w in license_words(t)}
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(notices, phrases, threshold, corpus_frequency(docs, vocabulary, text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [scanner.value.scan(t.as_py()) for t in batch.column(1)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("containment", pa.float64())])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("containment", pa.float64())])))
             columns = [pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"])
 

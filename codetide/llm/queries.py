@@ -123,17 +123,18 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _license_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
     scanner = licenses.Scanner(licenses.NOTICES, licenses.BASE_PHRASES, licenses.THRESHOLD, {})
-    templates = ", ".join(f"('{t.label}', {t.length}, {quoted(t.order)}, {t.need})" for t in scanner.templates)
+    templates = ", ".join(f"({k}, '{t.label}', {t.length}, {quoted(t.order)}, {t.need})" for k, t in enumerate(scanner.templates))
     phrases = ", ".join(f"('{label}', {quoted(licenses.license_words(phrase))})" for phrase, label in licenses.BASE_PHRASES.items())
     return rf"""
 WITH texts AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
-), templates AS (SELECT * FROM (VALUES {templates}) AS t(label, length, words, need)),
+), templates AS (SELECT * FROM (VALUES {templates}) AS t(k, label, length, words, need)),
 phrases AS (SELECT * FROM (VALUES {phrases}) AS t(label, words)),
 starts AS (SELECT r, label, w, words, unnest(range(len(w) - len(words) + 1)) AS s FROM texts, phrases WHERE len(w) >= len(words)),
 places AS (SELECT r, label, s FROM starts WHERE list_slice(w, s + 1, s + len(words)) = words),
-windows AS (SELECT r, label, length, words, need, w, unnest(range(0, len(w), length)) AS s FROM texts, templates),
-counted AS (SELECT r, label, need, len(words) AS m, len(list_intersect(words, list_slice(w, s + 1, s + 2 * length))) AS common FROM windows),
+shared AS (SELECT r, k, label, length, need, words, w FROM texts, templates WHERE len(w) >= need AND len(list_intersect(words, w)) >= need),
+windows AS (SELECT *, unnest(range(len(w))) AS s FROM shared),
+counted AS (SELECT r, label, need, len(words) AS m, len(list_intersect(words, list_slice(w, s + 1, s + 2 * length))) AS common FROM windows WHERE list_contains(words, w[s + 1])),
 blocks AS (SELECT r, label, common / m::DOUBLE AS share FROM counted WHERE common >= need),
 base AS (SELECT r, count(*) AS n, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
 named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, label FROM blocks) GROUP BY r),

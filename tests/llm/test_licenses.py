@@ -15,13 +15,20 @@ def brute(text, threshold=0.85):
     blocks = []
     for label, notice in L.NOTICES:
         own = [w.decode() for w in L.license_words(notice)]
-        for start in range(0, max(1, len(words)), len(own)):
-            share = len(set(own) & set(words[start : start + 2 * len(own)])) / len(set(own))
+        size, at, stretch = 2 * len(own), None, []
+        for start in range(len(words)):
+            share = len(set(own) & set(words[start : start + size])) / len(set(own)) if words[start] in own else 0
             if share >= threshold - 1e-9:
-                blocks.append((label, start, share))
+                if stretch and start >= at + size:
+                    blocks.append(max(stretch, key=lambda b: b[3]))
+                    stretch = []
+                stretch.append((label, start, min(start + size, len(words)), share))
+                at = start
+        if stretch:
+            blocks.append(max(stretch, key=lambda b: b[3]))
     starts = [i for i, _ in places]
     named = {x for _, x in places}
-    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(named)), ",".join(sorted(named | {b[0] for b in blocks})), max((b[2] for b in blocks), default=0.0), sorted(blocks)
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(named)), ",".join(sorted(named | {b[0] for b in blocks})), max((b[3] for b in blocks), default=0.0), sorted(blocks)
 
 
 def corpus(seed):
@@ -32,6 +39,8 @@ def corpus(seed):
         words = [rng.choice(filler) for _ in range(rng.randint(0, 200))]
         for _ in range(rng.randint(0, 3)):
             notice = rng.choice(LINES).split()
+            if rng.random() < 0.4:  # spread out, so that only some windows hold enough
+                notice = [x for w in notice for x in [w, *rng.choices(filler, k=rng.choice([0, 0, 1, 2]))]]
             if rng.random() < 0.5:
                 notice.pop(rng.randrange(len(notice)))
             words[(at := rng.randint(0, len(words))) : at] = notice
@@ -70,5 +79,36 @@ def test_frequencies_cover_all_texts(spark):
     assert L.corpus_frequency(docs, {b"mit", b"the", b"none"}) == {b"mit": 3, b"the": 1}
 
 
+def test_spread_notices_are_found_wherever_they_stand():
+    """A notice of 1.9 times its length, with other words between its own, at every offset."""
+    scanner = L.Scanner(L.NOTICES, L.BASE_PHRASES, 0.85, {})
+    notice = "This is free and unencumbered software released into the public domain".split()
+    spread = " ".join(f"{w} zz{i}" if i < 9 else w for i, w in enumerate(notice))
+    assert all("unlicense" in scanner.scan("other " * before + spread + " more" * 7)[5] for before in range(40))
+
+
+def test_whole_license_without_its_opening_sentence():
+    scanner = L.Scanner(L.NOTICES, L.BASE_PHRASES, 0.85, {})
+    text = next(t for label, t in L.NOTICES if label == "mit" and "MERCHANTABILITY" in t)
+    assert "mit" in scanner.scan(" ".join(text.split()[22:]))[5].split(",")
+    assert scanner.scan(" ".join(text.split()[110:]))[5] == ""
+
+
+def test_templates_are_a_table(spark):
+    docs = spark.createDataFrame([(1, "our own words of notice here"), (2, "nothing")], "doc_id long, text string")
+    own = spark.createDataFrame([("own", "own words of notice"), ("own", "own words of notice"), (None, "nothing"), ("none", None), ("blank", "...")], "label string, text string")
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in L.scan_licenses(docs, own).collect()} == {1: ("own", 1.0), 2: ("", 0.0)}
+    assert L.scan_licenses(docs, own.limit(0)).filter("score > 0").count() == 0
+    assert sorted(r["labels"] for r in L.scan_licenses(docs.limit(0).union(spark.createDataFrame([(3, "Released under the MIT License")], docs.schema)), L.default_templates(spark)).collect()) == ["mit"]
+
+
+def test_templates_have_a_bound(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(L, "MOST_TEMPLATE_CHARS", 10)
+    with pytest.raises(ValueError):
+        L.template_list(L.default_templates(spark))
+
+
 def test_empty(spark):
     assert L.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
