@@ -222,6 +222,10 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return found[order], np.array([r["count"] for r in rows], np.int64)[order]
 
 
+#: Rounds of bridges between components before all pairs that are left are compared.
+BRIDGES = 1
+#: Words before a word that tell whether a pair has shown before.
+EARLIER = 6
 #: Longs of a set's signature: the parity of how many of its hashes fall on each of 64 times as many bits.
 SIGNATURE = 16
 
@@ -320,30 +324,42 @@ def star_pairs(shared: DataFrame, similarity: float, tries: int = 2) -> DataFram
 
 
 def mixed_words(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(word, node, size, at, root, low)`` of the words whose nodes are in several components of ``roots(node, root)``; ``low`` is the smallest."""
+    """``(word, node, size, at, root)`` of the words whose nodes are in several components of ``roots(node, root)``."""
     within = W.partitionBy("word")
     rooted = shared.join(roots, "node", "left").select("word", "node", "size", "at", F.coalesce("root", "node").alias("root"))
     rooted = rooted.select("*", F.min("root").over(within).alias("low"), F.max("root").over(within).alias("high"))
-    return rooted.filter("low <> high").drop("high")
+    return rooted.filter("low <> high").drop("low", "high")
 
 
-def bridge_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
-    """As :func:`star_pairs`, of each node and the smallest one of a word's smallest component, if that is not its own."""
+def bridge_pairs(mixed: DataFrame, similarity: float, turn: int = 0, tries: int = 2) -> DataFrame:
+    """As :func:`star_pairs`, of each node and one node of one component of a word, if that is not its own.
+
+    It is the smallest node of the smallest component at first, and one picked by a hash at each later ``turn``.
+    """
     within = W.partitionBy("word")
-    least = F.min(F.when(F.col("root") == F.col("low"), F.struct("node", "size", "at"))).over(within)
-    found = mixed.withColumn("least", least).filter(F.col("root") != F.col("low"))
-    pairs = found.select(F.greatest("node", "least.node").alias("node"), F.when(F.col("node") > F.col("least.node"), F.struct("size", "at")).otherwise(F.struct("least.size", "least.at")).alias("own"), F.when(F.col("node") > F.col("least.node"), F.col("least")).otherwise(F.struct("node", "size", "at")).alias("least"))
-    return star_pairs(pairs.select("node", "own.size", "own.at", "least"), similarity)
+    rank = lambda c: F.col(c) if turn == 0 else F.xxhash64(c, F.lit(turn))
+    picked = mixed.withColumn("low", F.min(F.struct(rank("root").alias("rank"), "root")).over(within)["root"])
+    least = F.min(F.when(F.col("root") == F.col("low"), F.struct(rank("node").alias("rank"), "node", "size", "at"))).over(within)
+    found = picked.withColumn("least", least).filter(F.col("root") != F.col("low"))
+    own, other = F.struct("node", "size", "at"), F.struct("least.node", "least.size", "least.at")
+    larger = F.col("node") > F.col("least.node")
+    pairs = found.select(F.when(larger, own).otherwise(other).alias("own"), F.when(larger, other).otherwise(own).alias("least"))
+    return star_pairs(pairs.select("own.node", "own.size", "own.at", "least"), similarity, tries)
 
 
 def rest_pairs(mixed: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``(node, other)`` that may be similar and that are in different components."""
-    known = mixed.drop("low").join(signed.drop("size"), "node")
-    a, b = (known.select("word", *(F.col(c).alias(f"{x}_{c}") for c in known.columns if c != "word")) for x in "ab")
+    """All pairs ``(node, other)`` that may be similar and that are in different components.
+
+    A pair shows at its first word in common.  It is left out at words where one of
+    the ``EARLIER`` words before, in either, is in both: there it has shown already.
+    """
+    known = mixed.join(signed.drop("size"), "node")
+    in_order = W.partitionBy("node").orderBy("at", "word")
+    known = known.withColumn("earlier", F.array_compact(F.array(*(F.lag("word", i).over(in_order) for i in range(1, EARLIER + 1)))))
+    a, b = (known.select(*(F.col(c).alias(f"{x}_{c}") for c in known.columns)) for x in "ab")
     able = _may_reach(similarity, F.col("a_size"), F.col("a_at"), F.col("b_size"), F.col("b_at")) & _bits_allow(similarity, "a_", "b_")
     apart = (F.col("b_node") < F.col("a_node")) & (F.col("a_root") != F.col("b_root"))
-    left, right = a.withColumnRenamed("word", "a_word"), b.withColumnRenamed("word", "b_word")
-    both = left.join(right, (F.col("a_word") == F.col("b_word")) & apart & able)
+    both = a.join(b, (F.col("a_word") == F.col("b_word")) & apart & ~F.arrays_overlap("a_earlier", "b_earlier") & able)
     return both.select(F.col("a_node").alias("node"), F.col("b_node").alias("other")).distinct()
 
 
@@ -399,11 +415,13 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     links = links_of(signed_pairs(star_pairs(shared, similarity), signed, similarity), "star")
     roots = components(links, "similar")
     mixed = stage(mixed_words(shared, roots), "mixed")
-    more = links_of(signed_pairs(bridge_pairs(mixed, similarity), signed, similarity), "bridge")
-    if not more.isEmpty():
+    for turn in range(BRIDGES):
+        more = links_of(signed_pairs(bridge_pairs(mixed, similarity, turn), signed, similarity), "bridge")
+        if more.isEmpty():
+            break
         links = stage(links.unionByName(more), "links")
         roots = components(links, "similar")
-        mixed, old = stage(mixed_words(mixed.drop("root", "low"), roots), "mixed"), mixed
+        mixed, old = stage(mixed_words(mixed.drop("root"), roots), "mixed"), mixed
         drop_stage(old)
     more = links_of(rest_pairs(mixed, signed, similarity), "rest")
     if not more.isEmpty():
