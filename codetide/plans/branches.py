@@ -48,10 +48,10 @@ def semver_parse(spark, sf_dir):
     return B.tags(spark, sf_dir).select("ordinal", "name", *(c.alias(k) for k, c in C.semver(F.col("name")).items())).filter("major is not null")
 
 
-@query("semver_sort", f"SELECT name, ordinal FROM ({_PARSED}) ORDER BY major DESC, minor DESC, patch DESC, name, ordinal LIMIT 25")
+@query("semver_sort", f"SELECT name, ordinal FROM ({_PARSED}) ORDER BY major DESC, minor DESC, patch DESC, name, ordinal")
 def semver_sort(spark, sf_dir):
     tags = O.version_tags(B.tags(spark, sf_dir))
-    return tags.orderBy(F.desc("major"), F.desc("minor"), F.desc("patch"), "name", "ordinal").limit(25).select("name", "ordinal")
+    return tags.orderBy(F.desc("major"), F.desc("minor"), F.desc("patch"), "name", "ordinal").select("name", "ordinal")
 
 
 @query("blame_share", "SELECT * FROM v_shares")
@@ -80,9 +80,9 @@ def coverage_overall(spark, sf_dir):
     return O.overall_coverage(O.coverage(B.line_hits(spark, sf_dir)))
 
 
-@query("worst_coverage", "SELECT path, ratio FROM v_coverage ORDER BY ratio, path LIMIT 5")
+@query("worst_coverage", "SELECT path, ratio FROM v_coverage ORDER BY ratio, path LIMIT 30")
 def worst_coverage(spark, sf_dir):
-    return O.worst_coverage(O.coverage(B.line_hits(spark, sf_dir)), 5).select("path", "ratio")
+    return O.worst_coverage(O.coverage(B.line_hits(spark, sf_dir))).select("path", "ratio")
 
 
 @query(

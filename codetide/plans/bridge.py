@@ -12,6 +12,7 @@ NOW = "2001-08-15 12:00:00"
 
 # Commit messages by order key; shared by both forms of the view.
 MESSAGES = ("Merge branch dev", "fixup! tidy up", 'Revert "feat: x"', "wip: half done", "feat(core): add parser", "fix: off by one", "short", 'Revert "Revert "feat: x""', "docs: describe the limits", "squash! more of it", "Update the build", "refactor(api)!: drop a field")
+EVENT_MESSAGES = {"view": "Merge branch dev", "signup": "merge of main", "click": "short", "error": "tiny", "purchase": "docs: describe the limits"}
 SUFFIXES = ("py", "js", "java", "md", "png")
 
 
@@ -52,6 +53,37 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a history of merges, short messages and work on weekends: Mondays move to the Sunday before."""
+    at = F.col("ts") - F.when(F.weekday("ts") == 0, F.expr("interval 1 day")).otherwise(F.expr("interval 0 day"))
+    message = F.element_at(F.create_map(*(F.lit(x) for pair in EVENT_MESSAGES.items() for x in pair)), F.col("event_type"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("sha"), F.concat(F.lit("Author "), F.col("user_id").cast("string")).alias("author_name"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.org")).alias("author_email"),
+        at.alias("authored_ts"), at.alias("committed_ts"), message.alias("message"), F.col("event_id").alias("ordinal"),
+    )
+
+
+def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One change for each event; three kinds of events share a path."""
+    path = F.concat(F.lit("pkg/"), F.when(F.col("event_type").isin("view", "signup", "click"), "core.py").otherwise(F.concat("event_type", F.lit(".py"))))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("sha"), path.alias("path"), F.lit(1).cast("long").alias("insertions"), F.lit(0).cast("long").alias("deletions"))
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = methods(spark, sf_dir).groupBy("path", F.col("class_name").alias("name"))
+    return own.agg(F.min("line").alias("line"), F.sum("lines").alias("lines"), F.count("*").alias("methods"))
+
+
+def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files by their price and lines."""
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("order"), F.col("o_orderkey").cast("string")).alias("path"), F.floor(F.col("o_totalprice") / 500).cast("long").alias("total_lines"), (F.col("o_custkey") % 20).alias("imports"))
+
+
+def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: labels stand for repeated and for covered code."""
+    return table(spark, sf_dir, "labels").agg(F.avg(F.col("toxic").cast("double")).alias("duplication"), F.avg(F.col("quality").cast("double")).alias("coverage"))
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("sha"), F.col("user_id").alias("author_email"), F.col("ts").alias("authored_ts"), F.col("event_id").alias("ordinal"))
 
@@ -98,8 +130,8 @@ def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations whose customers bought from suppliers of other nations, by the largest first lines."""
-    picked = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 and l_linenumber = 1").select("l_orderkey", "l_suppkey")
+    """Nations whose customers bought from suppliers of other nations."""
+    picked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     bought = picked.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
     bought = bought.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     return bought.select(F.col("c_nationkey").alias("module"), F.col("s_nationkey").alias("imported_module"))
@@ -109,6 +141,12 @@ VIEWS = {
     "v_commits": "SELECT o_orderkey AS sha, 'Author ' || CAST(o_custkey % 500 AS VARCHAR) AS author_name, 'u' || CAST(o_custkey AS VARCHAR) || '@example.org' AS author_email, o_orderdate + to_hours(CAST(o_orderkey % 24 AS BIGINT)) AS authored_ts, o_orderdate + to_hours(CAST(o_orderkey % 24 + o_orderkey % 40 AS BIGINT)) AS committed_ts, " + _pick_sql("o_orderkey", MESSAGES) + " || chr(10) || o_orderpriority AS message, o_orderkey AS ordinal FROM orders",
     "v_changes": "SELECT l_orderkey AS sha, " + _PATH_SQL.format(k="l_partkey") + " AS path, CAST(l_quantity AS BIGINT) AS insertions, CAST(round(l_discount * 100) AS BIGINT) AS deletions FROM lineitem",
     "v_totals": "SELECT c.*, coalesce(s.insertions, 0) AS insertions, coalesce(s.deletions, 0) AS deletions, coalesce(s.files, 0) AS files FROM v_commits c LEFT JOIN (SELECT sha, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, count(*) AS files FROM v_changes GROUP BY sha) s ON c.sha = s.sha",
+    "v_event_commits": "SELECT event_id AS sha, 'Author ' || CAST(user_id AS VARCHAR) AS author_name, 'u' || CAST(user_id AS VARCHAR) || '@example.org' AS author_email, moved AS authored_ts, moved AS committed_ts, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_MESSAGES.items()) + " END AS message, event_id AS ordinal FROM (SELECT *, CASE WHEN isodow(ts) = 1 THEN ts - INTERVAL 1 DAY ELSE ts END AS moved FROM events)",
+    "v_event_changes": "SELECT event_id AS sha, 'pkg/' || CASE WHEN event_type IN ('view', 'signup', 'click') THEN 'core.py' ELSE event_type || '.py' END AS path, CAST(1 AS BIGINT) AS insertions, CAST(0 AS BIGINT) AS deletions FROM events",
+    "v_event_totals": "SELECT c.*, coalesce(s.insertions, 0) AS insertions, coalesce(s.deletions, 0) AS deletions, coalesce(s.files, 0) AS files FROM v_event_commits c LEFT JOIN (SELECT sha, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, count(*) AS files FROM v_event_changes GROUP BY sha) s ON c.sha = s.sha",
+    "v_classes": "SELECT path, class_name AS name, min(line) AS line, sum(lines) AS lines, count(*) AS methods FROM v_methods GROUP BY path, class_name",
+    "v_file_sizes": "SELECT 'order' || CAST(o_orderkey AS VARCHAR) AS path, CAST(floor(o_totalprice / 500) AS BIGINT) AS total_lines, o_custkey % 20 AS imports FROM orders",
+    "v_ratios": "SELECT avg(toxic::DOUBLE) AS duplication, avg(quality::DOUBLE) AS coverage FROM labels",
     "v_activity": "SELECT event_id AS sha, user_id AS author_email, ts AS authored_ts, event_id AS ordinal FROM events",
     "v_sources": "SELECT source || '/doc' || CAST(doc_id AS VARCHAR) || '.' || lang AS path, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text, lang AS language, n_chars AS size_bytes, doc_id AS ordinal FROM documents",
     "v_lines": "SELECT path, language, size_bytes, ordinal, trim(line, ' ' || chr(9) || chr(13)) AS line, pos FROM (SELECT path, language, size_bytes, ordinal, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT *, string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS parts FROM v_sources WHERE text <> ''))",
@@ -122,7 +160,7 @@ VIEWS = {
     "v_tags": "SELECT p_partkey AS ordinal, 'v' || CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) || '.' || CAST(p_partkey % 7 AS VARCHAR) || CASE WHEN p_type LIKE 'ECONOMY%' THEN '-rc1' ELSE '' END || CASE WHEN p_partkey % 11 = 0 THEN ' draft' ELSE '' END AS name FROM part",
     "v_hits": "SELECT d.source AS path, coalesce(l.hits, 0) AS hits FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS hits FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id",
     "v_coverage": "SELECT path, count(*) FILTER (WHERE hits > 0) AS covered, count(*) AS total, round_even(count(*) FILTER (WHERE hits > 0) / count(*)::DOUBLE, 4) AS ratio FROM v_hits GROUP BY path",
-    "v_imports": "SELECT c_nationkey AS module, s_nationkey AS imported_module FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_linenumber = 1",
+    "v_imports": "SELECT c_nationkey AS module, s_nationkey AS imported_module FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey",
     "v_churn": "SELECT path, count(*) AS commit_count, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(insertions) + sum(deletions) AS BIGINT) AS churn_score FROM v_changes GROUP BY path",
     "v_timeline": "SELECT sha, authored_ts, ordinal, CAST(sum(insertions - deletions) OVER (ORDER BY authored_ts, ordinal ROWS UNBOUNDED PRECEDING) AS BIGINT) AS value FROM v_totals",
     "v_languages": "SELECT language, count(*) AS file_count, CAST(sum(total_lines) AS BIGINT) AS total_lines, CAST(sum(code_lines) AS BIGINT) AS code_lines, CAST(sum(blank_lines) AS BIGINT) AS blank_lines, CAST(sum(comment_lines) AS BIGINT) AS comment_lines FROM v_files GROUP BY language",

@@ -182,9 +182,14 @@ def patterns_all(spark, sf_dir):
 def _one_rule(k: int, rule: R.Rule) -> None:
     short = {"wip_in_main": "wip", "large_commits": "large", "possible_rebase": "rebase", "empty_commits": "empty", "unsquashed_fixups": "fixup", "revert_chains": "revert", "weekend_warrior": "weekend", "night_owl": "night", "single_file_commits": "single_file", "binary_files": "binary", "merge_heavy": "merge", "short_messages": "short", "inconsistent_conventional": "conventional", "hotspot_files": "hotspot"}
 
-    @query("pattern_" + short[rule.name], f"WITH {_COUNTS} {_rule_sql(0, rule.name)}")
+    # Some rules fire on orders as commits, the others on events.
+    events = rule.name in ("weekend_warrior", "single_file_commits", "merge_heavy", "short_messages", "hotspot_files")
+    counts = _COUNTS.replace("v_totals", "v_event_totals").replace("v_changes", "v_event_changes").replace("v_commits", "v_event_commits") if events else _COUNTS
+
+    @query("pattern_" + short[rule.name], f"WITH {counts} {_rule_sql(0, rule.name)}")
     def run(spark, sf_dir):
-        return R.detect(_totals(spark, sf_dir), B.changes(spark, sf_dir), [rule])
+        commits, changes = (B.event_commits, B.event_changes) if events else (B.commits, B.changes)
+        return R.detect(H.with_totals(commits(spark, sf_dir), changes(spark, sf_dir)), changes(spark, sf_dir), [rule])
 
 
 for _k, _rule in enumerate(R.RULES):

@@ -170,15 +170,15 @@ def junit_counts(spark, sf_dir):
     return S.junit_counts(sized, B.methods(spark, sf_dir), 40, 10, 45)
 
 
-@query("row_search", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE contains(lower(CAST(n_nationkey AS VARCHAR) || n_name || CAST(n_regionkey AS VARCHAR)), 'an')")
+@query("row_search", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE contains(lower(CAST(n_nationkey AS VARCHAR) || n_name || CAST(n_regionkey AS VARCHAR)), 'tion_1')")
 def row_search(spark, sf_dir):
-    return S.search_rows(B.table(spark, sf_dir, "nation"), "AN")
+    return S.search_rows(B.table(spark, sf_dir, "nation"), "Tion_1")
 
 
-@query("typed_sort", "SELECT o_orderkey, coalesce(TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE), 0) AS key FROM orders ORDER BY key DESC, o_orderkey LIMIT 50")
+@query("typed_sort", "SELECT o_orderkey, coalesce(TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE), 0) AS key FROM orders ORDER BY key DESC, o_orderkey")
 def typed_sort(spark, sf_dir):
     raw = B.table(spark, sf_dir, "orders").select(F.substring_index("o_orderpriority", "-", 1).alias("text"), "o_orderkey")
-    return S.typed_order(raw.select("o_orderkey", "text"), "text", "float", True).limit(50).select("o_orderkey", F.coalesce(F.col("text").try_cast("double"), F.lit(0.0)).alias("key"))
+    return S.typed_order(raw.select("o_orderkey", "text"), "text", "float", True).select("o_orderkey", F.coalesce(F.col("text").try_cast("double"), F.lit(0.0)).alias("key"))
 
 
 def _catalogue_sql() -> str:
@@ -298,14 +298,33 @@ def gate_violations(spark, sf_dir):
     return R.gate_violations(B.methods(spark, sf_dir))
 
 
+def _gate_sql(view: str, gates: list[tuple[str, str, str]], path: str = "path", line: str = "0", name: str = "''") -> str:
+    t = R.Thresholds()
+    rows = (f"SELECT '{r}' AS rule, '{s}' AS severity, {path} AS path, CAST({line} AS BIGINT) AS line, {name} AS name, ({c})::DOUBLE AS value, {float(getattr(t, r))}::DOUBLE AS threshold FROM {view} WHERE ({c}) {'<' if r.startswith('min_') else '>'} {getattr(t, r)}" for r, c, s in gates)
+    return " UNION ALL ".join(rows)
+
+
+@query(
+    "gate_violations_all",
+    f"SELECT * FROM {_GATES} UNION ALL " + _gate_sql("v_file_sizes", [("max_file_lines", "total_lines", "warning"), ("max_imports", "imports", "warning")])
+    + " UNION ALL " + _gate_sql("v_classes", [("max_class_lines", "lines", "warning"), ("max_class_methods", "methods", "warning")], line="line", name="name")
+    + " UNION ALL " + _gate_sql("v_ratios", [("max_duplication_pct", "duplication * 100.0::DOUBLE", "error"), ("min_test_coverage", "coverage * 100.0::DOUBLE", "error")], path="''"),
+)
+def gate_violations_all(spark, sf_dir):
+    return R.gate_violations(B.methods(spark, sf_dir), B.file_sizes(spark, sf_dir), B.classes(spark, sf_dir), B.ratios(spark, sf_dir))
+
+
 @query("gate_counts", f"SELECT rule, severity, count(*) AS n FROM {_GATES} GROUP BY rule, severity")
 def gate_counts(spark, sf_dir):
     return R.gate_counts(R.gate_violations(B.methods(spark, sf_dir)))
 
 
-@query("delta_semi", f"SELECT * FROM {_GATES} WHERE path IN (SELECT path FROM v_changes WHERE sha % 100 = 1)")
+@query("delta_semi", f"SELECT * FROM {_GATES} WHERE path IN (SELECT path FROM v_changes WHERE sha IN (SELECT sha FROM v_commits WHERE authored_ts >= (SELECT max(authored_ts) FROM v_commits) - INTERVAL 2 DAY))")
 def delta_semi(spark, sf_dir):
-    return R.delta_violations(R.gate_violations(B.methods(spark, sf_dir)), B.changes(spark, sf_dir).filter("sha % 100 = 1"))
+    commits = B.commits(spark, sf_dir)
+    newest = commits.agg((F.max("authored_ts") - F.expr("interval 2 days")).alias("since"))  # one row
+    recent = commits.join(F.broadcast(newest), F.col("authored_ts") >= F.col("since")).select("sha")
+    return R.delta_violations(R.gate_violations(B.methods(spark, sf_dir)), B.changes(spark, sf_dir).join(recent, "sha", "left_semi"))
 
 
 @query("gitlab_fingerprint", f"SELECT rule, path, greatest(line, 1) AS line, md5(rule || ':' || path || ':' || CAST(line AS VARCHAR)) AS fingerprint, CASE severity WHEN 'error' THEN 'major' WHEN 'warning' THEN 'minor' ELSE 'info' END AS severity FROM {_GATES}")
