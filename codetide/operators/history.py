@@ -117,8 +117,9 @@ def language_timeline(commits: DataFrame, changes: DataFrame) -> DataFrame:
 
 def team_growth(activity: DataFrame) -> DataFrame:
     """How many authors have been seen after each commit."""
-    first = F.row_number().over(W.partitionBy("author_email").orderBy("authored_ts", "ordinal")) == 1
-    flagged = activity.select("sha", "authored_ts", "ordinal", first.cast("int").alias("new"), F.to_date("authored_ts").alias("day"))
+    first = activity.groupBy("author_email").agg(F.min(F.struct("authored_ts", "ordinal")).alias("first")).select("first.*", F.lit(1).alias("is_first"))
+    joined = activity.select("sha", "authored_ts", "ordinal").join(first.groupBy("authored_ts", "ordinal").agg(F.sum("is_first").alias("new")), ["authored_ts", "ordinal"], "left")
+    flagged = joined.select("sha", "authored_ts", "ordinal", F.coalesce("new", F.lit(0)).alias("new"), F.to_date("authored_ts").alias("day"))
     return _running(flagged, "new", [], ["authored_ts", "ordinal"], "value", "day").select("sha", "authored_ts", "value")
 
 
@@ -130,13 +131,22 @@ def commit_streaks(activity: DataFrame) -> DataFrame:
     return runs.groupBy("author_email").agg(F.max("n").alias("streak"))
 
 
+#: Ordinals whose ties one task ranks.
+RANK_BLOCK = 100_000
+
+
 def churn_percentiles(commits: DataFrame) -> DataFrame:
     """Each commit's share of commits with less churn; ties go by ordinal."""
     churned = commits.select("sha", "ordinal", _long(F.col("insertions") + F.col("deletions")).alias("churn"))
-    totals = churned.groupBy("churn").agg(F.count("*").alias("n"))
-    before = totals.select("churn", (F.sum("n").over(W.orderBy("churn").rowsBetween(*RUNNING)) - F.col("n")).alias("less"), F.sum("n").over(W.partitionBy()).alias("all"))
-    rank = F.row_number().over(W.partitionBy("churn").orderBy("ordinal")) - 1
-    return churned.withColumn("tie", rank).join(before, "churn").select("sha", "churn", ((F.col("less") + F.col("tie")) / F.col("all")).alias("percentile"))
+    # Small churns are very common, so that ties are ranked in blocks of ordinals.
+    churned = churned.withColumn("block", F.floor(F.col("ordinal") / RANK_BLOCK))
+    totals = churned.groupBy("churn", "block").agg(F.count("*").alias("n"))
+    blocks = totals.select("churn", "block", (F.sum("n").over(W.partitionBy("churn").orderBy("block").rowsBetween(*RUNNING)) - F.col("n")).alias("earlier"))
+    sums = totals.groupBy("churn").agg(F.sum("n").alias("n"))
+    before = sums.select("churn", (F.sum("n").over(W.orderBy("churn").rowsBetween(*RUNNING)) - F.col("n")).alias("less"), F.sum("n").over(W.partitionBy()).alias("all"))
+    rank = F.row_number().over(W.partitionBy("churn", "block").orderBy("ordinal")) - 1
+    ranked = churned.withColumn("tie", rank).join(blocks, ["churn", "block"]).join(before, "churn")
+    return ranked.select("sha", "churn", ((F.col("less") + F.col("earlier") + F.col("tie")) / F.col("all")).alias("percentile"))
 
 
 def timeline_range(timeline: DataFrame, months: int) -> DataFrame:

@@ -162,7 +162,7 @@ def commits(spark: SparkSession, root: str, since: str | None = None, limit: int
     """Commits and their changes, newest first by ``ordinal``."""
     options = {"limit": str(limit)} | ({"since": since} if since else {})
     raw = read(spark, root, "log", **options)
-    parsed = logs.parse_log(raw.select("value")).join(raw.select(F.substring_index("value", FIELD, 1).alias("sha"), "ordinal"), "sha")
+    parsed = logs.parse_log(raw.select("value", "ordinal"))
     rows = parsed.select("sha", "author_name", "author_email", "authored_ts", "committed_ts", "authored_at", "committed_at", "committer_name", "committer_email", "message", "insertions", "deletions", F.size("changes").cast("long").alias("files"), "ordinal")
     changes = parsed.select("sha", F.posexplode("changes").alias("change_ordinal", "c")).select("sha", F.col("change_ordinal").cast("long").alias("change_ordinal"), "c.*")
     return rows, changes

@@ -27,14 +27,15 @@ def parse_log(records: DataFrame) -> DataFrame:
     """Commits from log records of ten NUL-separated fields, the last of which holds numstat lines.
 
     Records with fewer fields are left out.  Changes stay an array in the order
-    of the log; lines that are no numstat are passed over.
+    of the log; lines that are no numstat are passed over.  Other columns stay.
     """
     parts = F.split(F.col("value"), "\0", 10)
-    rows = records.select(parts.alias("p")).filter(F.size("p") >= 10).select(*(F.col("p")[i].alias(n) for i, n in enumerate(FIELDS)))
+    others = [c for c in records.columns if c != "value"]
+    rows = records.select(parts.alias("p"), *others).filter(F.size("p") >= 10).select(*(F.col("p")[i].alias(n) for i, n in enumerate(FIELDS)), *others)
     changes = F.filter(F.transform(F.split("stats", "\n"), C.numstat), lambda c: c.isNotNull())
     out = rows.select(
         "sha", "author_name", "author_email", iso_instant(F.col("authored")).alias("authored_at"), iso_local(F.col("authored")).alias("authored_ts"),
-        "committer_name", "committer_email", iso_instant(F.col("committed")).alias("committed_at"), iso_local(F.col("committed")).alias("committed_ts"), "message", changes.alias("changes"),
+        "committer_name", "committer_email", iso_instant(F.col("committed")).alias("committed_at"), iso_local(F.col("committed")).alias("committed_ts"), "message", changes.alias("changes"), *others,
     )
     zero = F.lit(0).cast("long")
 
