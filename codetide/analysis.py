@@ -33,9 +33,12 @@ class Report:
             table.createOrReplaceTempView(prefix + name)
 
 
-def analyse_files(spark: SparkSession, root: Path, settings: Settings, observers=()) -> dict[str, DataFrame]:
+def analyse_files(spark: SparkSession, root: Path, settings: Settings, observers=(), languages: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     listed = scan.scan(spark, root, settings.exclude, observers)
-    parsed = P.parse_files(scan.read_contents(listed, root)).cache()
+    parsed = P.parse_files(scan.read_contents(listed, root))
+    if languages:
+        parsed = parsed.filter(F.col("language").isin(*languages))
+    parsed = parsed.cache()
     files = P.file_rows(parsed).join(listed, "path")
     classes, methods, imports = P.class_rows(parsed), P.method_rows(parsed), P.import_rows(parsed)
     languages = S.language_summary(files)
@@ -60,14 +63,15 @@ def analyse_history(spark: SparkSession, root: Path, settings: Settings, now=Non
         "commits": H.enrich(H.commit_churn(commits)), "changes": changes, "churn": H.file_churn(changes), "contributors": H.contributors(commits, changes, H.alias_map(commits)),
         "patterns": R.detect(commits, changes), "loc_timeline": H.loc_timeline(commits), "team_growth": H.team_growth(commits), "language_timeline": H.language_timeline(commits, changes),
         "branches": O.branch_report(branches, at, settings.branches.protected, settings.branches.stale_days, settings.branches.abandoned_days),
-        "tags": O.version_tags(git.read(spark, str(root), "tags")),
+        "tags": O.version_tags(git.read(spark, str(root), "tags")), "work_hours": H.work_hours(commits), "work_weekdays": H.work_weekdays(commits), "streaks": H.commit_streaks(commits),
+        "churn_percentiles": H.churn_percentiles(commits), **{kind: git.read(spark, str(root), kind) for kind in ("stashes", "worktrees", "notes")},
     }
 
 
-def analyse(spark: SparkSession, root: str | Path, settings: Settings = Settings(), observers=()) -> Report:
-    """All tables of a repository.  Without usable Git history only the files' tables are made."""
+def analyse(spark: SparkSession, root: str | Path, settings: Settings = Settings(), observers=(), languages: tuple[str, ...] = ()) -> Report:
+    """All tables of a repository, of files in the given languages if there are any.  Without usable Git history only the files' tables are made."""
     report = Report(Path(root))
-    report.tables |= analyse_files(spark, report.root, settings, observers)
+    report.tables |= analyse_files(spark, report.root, settings, observers, languages)
     report.tables["coverage"] = coverage.read(spark, root)
     try:
         report.tables |= analyse_history(spark, report.root, settings)

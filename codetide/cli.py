@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--ci", choices=sorted(ci.ADAPTERS))
     a.add_argument("--diff", metavar="REF")
     a.add_argument("--exclude", action="append", default=None)
+    a.add_argument("--lang", action="append", default=None, metavar="LANGUAGE", help="only files in this language; may be repeated")
     a.add_argument("--max-commits", type=int, default=None)
     a.add_argument("--since", default=None)
     a.add_argument("--top", type=int, default=None)
@@ -74,7 +75,7 @@ def analyse(args: argparse.Namespace) -> int:
 
     def once() -> None:
         nonlocal status
-        report = analysis.analyse(spark, args.root, settings)
+        report = analysis.analyse(spark, args.root, settings, languages=tuple(args.lang or ()))
         found = analysis.violations(report, settings)
         if args.diff:
             changed = spark.createDataFrame([(p,) for p in sorted(git.changed_files(args.root, args.diff))], "path string")
