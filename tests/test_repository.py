@@ -159,6 +159,7 @@ def test_command_line(spark, repo, tmp_path, capsys, monkeypatch):
     assert "lib/core.py" in capsys.readouterr().out
     monkeypatch.setenv("CODETIDE_THRESHOLDS__MAX_FILE_LINES", "1")
     assert cli.main(["analyse", str(repo), "--format", "terminal", "--lang", "python", "--lang", "java"]) == 0
+    assert "lib/core.py" in (out := capsys.readouterr().out) and "app.js" not in out
     assert cli.main(["analyse", str(repo), "--format", "json", "--output", str(tmp_path), "--ci", "github", "--diff", "open", "--fail-on-violations"]) == 1
     assert "file=app.js" in (out := capsys.readouterr().out) and "core.py" not in out
     script = tmp_path / "clean.sh"
