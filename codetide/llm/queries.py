@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, media, mixing, packing, sharding, simhash, tokencount, toxicity, vecdedup, warc
+from . import licenses, media, mixing, packing, repair, sharding, simhash, tokencount, toxicity, vecdedup, warc
 from .common import read_table, stage
 
 CAPACITY = 2048
@@ -192,9 +192,63 @@ FROM placed
 """
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after the damage, its cheapest edits and the digest of what they leave."""
+    turns = repair.damaged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    edits = repair.cheapest_edits(repair.diagnose(turns))
+    digests = repair.transcripts(repair.repaired(turns, edits)).withColumnRenamed("conv", "own")
+    joined = edits.join(digests, F.col("conv").eqNullSafe(F.col("own")), "left")
+    return joined.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _repair_sql() -> str:
+    """The same by a recursive query over the rows, which carries the cheapest edits and the text of each state."""
+    inserts = {0: (("", 0, ""), ("I", 2, "\nuser:"), ("II", 3, "\nuser:\nassistant:")), 1: (("", 1, ""), ("I", 2, "\nuser:")), 2: (("", 2, ""), ("I", 3, "\nassistant:")), 3: (("", 3, ""), ("I", 2, "\nuser:"))}
+    edits = [("D", q, q, None) for q in range(4)] + [("K", 0, 1, "s")] + [(e, q, 3 if q == 2 else 2, {"K": "a" if q == 2 else "u"}.get(e)) for e in "KR" for q in range(4)]
+    rows = ", ".join(f"('{e}', {q}, '{more}', {to}, {'NULL' if role is None else repr(role)}, '{said}')" for e, q, at, role in edits for more, to, said in inserts[at])
+    starts = ", ".join(f"({to}, '{more}', '{said}')" for more, to, said in inserts[0])
+    return rf"""
+WITH RECURSIVE crc_rows AS (
+  SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_rows),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations),
+kinds AS (
+  SELECT * EXCLUDE (k), xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(octet_length(k)), lambda i: CAST('0x' || substr(hex(k), 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 20 AS kind
+  FROM named, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER w AS i,
+         lag(CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END) OVER w || CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS pair
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text))
+), counted AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM placed
+), marked AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'none' END AS fault FROM counted
+), edits AS (SELECT * FROM (VALUES {rows}) AS t(edit, q0, more, goes, role, said)),
+way(conv_id, i, q, b) AS (
+  SELECT conv_id, 0, s.q, {{'c': CAST(5 * length(more) AS BIGINT), 'a': more, 't': said}} FROM (SELECT DISTINCT conv_id FROM marked), (VALUES {starts}) AS s(q, more, said)
+  UNION ALL
+  SELECT w.conv_id, CAST(any_value(m.i) AS INTEGER), e.goes, min({{
+    'c': w.b.c + CASE e.edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e.edit <> 'D' AND m.fault = 'truncated' THEN 5 ELSE 0 END + 5 * length(e.more), 'a': w.b.a || e.edit || e.more,
+    't': w.b.t || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || m.role || ':' || m.text ELSE chr(10) || CASE WHEN w.q = 2 THEN 'assistant' ELSE 'user' END || ':' || m.text END || e.said}})
+  FROM way w JOIN marked m ON w.conv_id IS NOT DISTINCT FROM m.conv_id AND m.i = w.i + 1 JOIN edits e ON e.q0 = w.q AND (e.edit = 'D' OR m.fault NOT IN ('blank', 'duplicate')) AND (e.role IS NULL OR left(m.role, 1) = e.role)
+  GROUP BY w.conv_id, e.goes
+), counts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+), best AS (SELECT w.conv_id, min(b) AS b FROM way w JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n WHERE w.q IN (0, 3) GROUP BY w.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON a.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op4_mixing, op5_tokencount, op6_vecdedup, op7_licenses, op8_media, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op4_mixing, op5_tokencount, op6_vecdedup, op7_licenses, op8_media, op9_warc, op10_sharding, op11_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op6_vecdedup": OP6_SQL, "op7_licenses": _license_sql(), "op10_sharding": OP10_SQL}
+    return {"op4_mixing": OP4_SQL, "op6_vecdedup": OP6_SQL, "op7_licenses": _license_sql(), "op10_sharding": OP10_SQL, "op11_repair": _repair_sql()}
