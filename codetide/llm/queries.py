@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, media, mixing, packing, repair, sharding, simhash, tokencount, toxicity, vecdedup, warc
+from . import divergence, licenses, media, mixing, packing, repair, sharding, simhash, tokencount, toxicity, vecdedup, warc
 from .common import read_table, stage
 
 CAPACITY = 2048
@@ -246,9 +246,40 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON a.conv
 """
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language is from the others, and the terms that set it apart."""
+    return divergence.divergence(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+#: Every pair over the whole vocabulary.
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), occurs AS (SELECT r, lang, source, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM occurs GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM occurs o JOIN kept k ON o.lang = k.lang AND o.term = k.term GROUP BY o.lang, o.source, o.term),
+sizes AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(s.n, 0) + l.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 1)) // (l.n + l.v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang LEFT JOIN sizes s ON g.lang = s.lang AND g.source = s.source LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM dense WHERE c > 0 AND p > q
+), ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op4_mixing, op5_tokencount, op6_vecdedup, op7_licenses, op8_media, op9_warc, op10_sharding, op11_repair)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op4_mixing, op5_tokencount, op6_vecdedup, op7_licenses, op8_media, op9_warc, op10_sharding, op11_repair, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op6_vecdedup": OP6_SQL, "op7_licenses": _license_sql(), "op10_sharding": OP10_SQL, "op11_repair": _repair_sql()}
+    return {"op4_mixing": OP4_SQL, "op6_vecdedup": OP6_SQL, "op7_licenses": _license_sql(), "op10_sharding": OP10_SQL, "op11_repair": _repair_sql(), "op13_divergence": OP13_SQL}
