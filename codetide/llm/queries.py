@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import divergence, licenses, media, mixing, packing, repair, sharding, simhash, tokencount, toxicity, vecdedup, warc
+from . import divergence, licenses, media, mixing, packing, quality, repair, sharding, simhash, tokencount, toxicity, vecdedup, warc
 from .common import read_table, stage
 
 CAPACITY = 2048
@@ -246,6 +246,16 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON a.conv
 """
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; labels of held-out documents are never read."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    settings = quality.QualitySettings()
+    model = quality.train_quality(docs.filter(~held_out()), labels.filter(~held_out()), settings)
+    scored = quality.score_texts(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= settings.cut).cast("int").alias("predicted"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each source of a language is from the others, and the terms that set it apart."""
     return divergence.divergence(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
@@ -278,7 +288,7 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op4_mixing, op5_tokencount, op6_vecdedup, op7_licenses, op8_media, op9_warc, op10_sharding, op11_repair, op13_divergence)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op4_mixing, op5_tokencount, op6_vecdedup, op7_licenses, op8_media, op9_warc, op10_sharding, op11_repair, op12_quality, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ COLUMNS = {
     "op4_mixing": "doc_id size source_size target taken", "op5_tokencount": "doc_id n_bytes n_tokens over_limit", "op6_vecdedup": "vec_id n_links component_id kept",
     "op7_licenses": "doc_id n_words n_base first_word last_word base_labels labels score", "op8_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
     "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard", "op11_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
-    "op13_divergence": "lang source part item value rank",
+    "op12_quality": "doc_id held_out score predicted", "op13_divergence": "lang source part item value rank",
 }
 
 
