@@ -8,6 +8,11 @@ and HTTP, in their order with repeats, and the digest of the payload.
 Bodies are taken out of their chunked transfer and gzip or deflate coding and read
 in the charset that the header, the page or its byte order mark names.  HTML is
 read in one pass of time in proportion to its length.
+
+Only successful responses (2xx) with HTML or other text have a conversion record;
+of all others, such as images and redirects, the metadata record says what they
+are.  A body that can't be read to its end has its metadata record, and a conversion of
+what can be read; both name the ``problem``.
 """
 
 from __future__ import annotations
@@ -39,8 +44,11 @@ _NAMESPACE = uuid.UUID("6f1f6f0e-7d53-5c43-9a7b-0d1d5c0a8e11")
 HIDDEN = frozenset("script style noscript template".split())
 BREAKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section header footer nav main title head body html blockquote pre hr".split())
 LINKING = {"a": "href", "link": "href", "img": "src", "script": "src", "iframe": "src"}
-#: Bytes that a compressed body may unfold to, at most; a larger one is a bad record.
+#: Bytes that a compressed body is unfolded to, at most.  Text of a larger one is cut there, which its records say.
 MOST_UNFOLDED = 1 << 28
+HTML_TYPES = ("text/html", "application/xhtml+xml")
+#: Types beside ``text/*`` whose body is text as it stands.
+TEXT_TYPES = ("application/json", "application/xml", "application/javascript", "application/x-javascript", "application/ld+json")
 
 DERIVED_SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, payload_digest string, n_links long, record binary, problem string"
 
@@ -122,49 +130,78 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], header_list(lines[1:]), body
 
 
-def plain_body(headers: list[tuple[str, str]], body: bytes) -> bytes:
-    """The body out of its transfer and content coding; codings that are not known raise."""
+def plain_body(headers: list[tuple[str, str]], body: bytes) -> tuple[bytes, str | None]:
+    """The body out of its transfer and content coding, and what keeps it from being whole.
+
+    Of a body that was cut off, or is damaged or too large, there is what comes before; of a coding that is not known, nothing.
+    """
+    problem = None
     if "chunked" in (header(headers, "transfer-encoding") or "").lower():
-        body = _unchunked(body)
+        body, problem = _unchunked(body)
     for coding in reversed([c.strip().lower() for c in (header(headers, "content-encoding") or "").split(",") if c.strip()]):
+        found = None
         if coding in ("gzip", "x-gzip"):
-            body = _unfold(body, 31)
+            body, found = _unfold(body, 31)
         elif coding == "deflate":
-            body = _unfold(body, 15 if len(body) > 1 and body[0] & 15 == 8 and (body[0] * 256 + body[1]) % 31 == 0 else -15)
+            body, found = _unfold(body, 15 if len(body) > 1 and body[0] & 15 == 8 and (body[0] * 256 + body[1]) % 31 == 0 else -15)
         elif coding != "identity":
-            raise BadRecord(f"content coding {coding}")
-    return body
+            body, found = b"", f"content coding {coding}"
+        problem = problem or found
+    return body, problem
 
 
-def _unfold(body: bytes, bits: int) -> bytes:
-    """All members of a compressed body; one that was cut off gives what there is."""
+def _unfold(body: bytes, bits: int) -> tuple[bytes, str | None]:
+    """All members of a compressed body, up to the first that is cut off, damaged or beyond the limit."""
     out, size = [], 0
     while body:
-        member = zlib.decompressobj(bits)
-        try:
-            out.append(member.decompress(body, MOST_UNFOLDED - size + 1))
-        except zlib.error as e:
-            raise BadRecord(f"compressed body: {e}") from e
-        size += len(out[-1])
-        if size > MOST_UNFOLDED:
-            raise BadRecord("compressed body too large")
-        body = member.unused_data if member.eof and bits == 31 else b""
-    return b"".join(out)
-
-
-def _unchunked(body: bytes) -> bytes:
+        member, pending = zlib.decompressobj(bits), body
+        while not member.eof and pending:
+            try:
+                out.append(member.decompress(pending, min(1 << 20, MOST_UNFOLDED - size + 1)))
+            except zlib.error as e:
+                return b"".join(out), f"compressed body: {e}"
+            size += len(out[-1])
+            if size > MOST_UNFOLDED:
+                return b"".join(out)[:MOST_UNFOLDED], "compressed body too large"
+            pending = member.unconsumed_tail
+        if not member.eof:
+            out.append(member.flush())
+            return b"".join(out), "compressed body cut off"
+        body = member.unused_data if bits == 31 else b""
+    return b"".join(out), None
+
+
+def _unchunked(body: bytes) -> tuple[bytes, str | None]:
     """Chunks put together; a body that has none is taken as it is, since some crawlers undo them."""
     out, at = [], 0
     while True:
         end = body.find(b"\r\n", at, at + 1024)
         size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
         if not size or size.strip(b"0123456789abcdefABCDEF"):
-            return b"".join(out) if out else body
+            return (b"".join(out), "chunked body cut off") if out else (body, None)
         n = int(size, 16)
+        if n == 0:
+            return b"".join(out), None
         out.append(body[end + 2 : end + 2 + n])
+        if len(out[-1]) < n:
+            return b"".join(out), "chunked body cut off"
         at = end + 2 + n + 2
-        if n == 0:
-            return b"".join(out)
+
+
+def content_kind(headers: list[tuple[str, str]], body: bytes) -> str:
+    """``html``, ``text`` or ``other``, by the stated type, and by the first bytes where none is stated."""
+    stated = (header(headers, "content-type") or "").partition(";")[0].strip().lower()
+    if stated in HTML_TYPES:
+        return "html"
+    if stated:
+        return "text" if stated.startswith("text/") or stated in TEXT_TYPES or stated.endswith(("+xml", "+json")) and not stated.startswith("image/") else "other"
+    start = body[:1024]
+    return "other" if b"\0" in start and not start.startswith((b"\xff\xfe", b"\xfe\xff")) else "html"
+
+
+def successful(status: str) -> bool:
+    """Whether a status line says 2xx."""
+    return re.match(r"HTTP/[\d.]+ 2\d\d(?!\d)", status) is not None
 
 
 _META_CHARSET = re.compile(rb"<meta[^<>]{0,200}?charset\s{0,9}=\s{0,9}[\"']?([A-Za-z0-9_.:-]{1,40})", re.I)
@@ -196,6 +233,7 @@ class Page:
     def __init__(self, page: str):
         self.page, self.links, self._out, self._title = page, [], [], []
         self._none: dict[str, bool] = {}
+        self._quotes: dict[str, int] = {}
         self.titled = False
         self._read()
 
@@ -281,7 +319,7 @@ class Page:
             quote = _QUOTE.search(self.page, at, end)
             if quote is None:
                 return end
-            closing = self.page.find(quote[0][-1], quote.end(), quote.end() + 4096)
+            closing = self._quote(quote[0][-1], quote.end())
             if closing < 0:
                 return first
             at = closing + 1
@@ -290,6 +328,13 @@ class Page:
                 if end < 0:
                     return first
 
+    def _quote(self, sign: str, at: int) -> int:
+        """The next place of a quote sign, or -1.  Each search goes on where the last one ended."""
+        place = self._quotes.get(sign, 0)
+        if 0 <= place < at:
+            place = self._quotes[sign] = self.page.find(sign, at)
+        return place
+
     def _link(self, tag: str, source: str) -> None:
         for m in _ATTRIBUTE.finditer(source):
             if m[1].lower() == LINKING[tag]:
@@ -312,27 +357,37 @@ def page_links(page: str) -> list[dict[str, str]]:
 
 
 def derive(response: bytes) -> list[dict]:
-    """The metadata and the conversion record of a response record, with their fields; raises BadRecord."""
+    """The metadata record of a response record and, if it holds text, the conversion record, with their fields; raises BadRecord."""
     source, block = parse_record(response)
     origin = header(source, "warc-record-id")
     if not origin:
         raise BadRecord("no WARC-Record-ID")
     status, http, body = split_http(block)
-    page = Page(decode_page(http, plain_body(http, body)))
+    plain, problem = plain_body(http, body)
+    kind = content_kind(http, plain)
     target, date = header(source, "warc-target-uri") or "", header(source, "warc-date") or NO_DATE
     digest = header(source, "warc-payload-digest") or sha1_label(body)
-    envelope = {
-        "Source-WARC-Headers": source, "Source-Payload-Digest": digest, "HTTP-Response-Metadata": {"Status-Line": status, "Headers": http},
-        "HTML-Metadata": {"Title": page.title, "Links": page.links},
-    }
+    envelope = {"Source-WARC-Headers": source, "Source-Payload-Digest": digest, "HTTP-Response-Metadata": {"Status-Line": status, "Headers": http}}
+    text, links = None, []
+    if kind == "html":
+        page = Page(decode_page(http, plain))
+        text, links = page.text, page.links
+        envelope["HTML-Metadata"] = {"Title": page.title, "Links": links}
+    elif kind == "text":
+        text = decode_page(http, plain)
+    if problem is not None:
+        envelope["Problem"] = problem
+    contents = [("metadata", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"), "application/json")]
+    if text is not None and successful(status) and (plain or not body):
+        contents.append(("conversion", text.encode("utf-8", "replace"), "text/plain"))
     made = []
-    for kind, content, media in (("metadata", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"), "application/json"), ("conversion", page.text.encode("utf-8", "replace"), "text/plain")):
+    for record_type, content, media in contents:
         fields = {
-            "record_type": kind, "record_id": record_id(kind, origin), "refers_to": origin, "target_uri": target, "warc_date": date, "content_type": media, "content_length": len(content),
-            "block_digest": sha1_label(content), "payload_digest": digest, "n_links": len(page.links), "problem": None,
+            "record_type": record_type, "record_id": record_id(record_type, origin), "refers_to": origin, "target_uri": target, "warc_date": date, "content_type": media, "content_length": len(content),
+            "block_digest": sha1_label(content), "payload_digest": digest, "n_links": len(links), "problem": problem,
         }
         headers = [
-            ("WARC-Type", kind), ("WARC-Record-ID", fields["record_id"]), ("WARC-Refers-To", origin), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date),
+            ("WARC-Type", record_type), ("WARC-Record-ID", fields["record_id"]), ("WARC-Refers-To", origin), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date),
             ("WARC-Target-URI", target), ("WARC-Date", date), ("Content-Type", media), ("WARC-Block-Digest", fields["block_digest"]),
         ]
         made.append(fields | {"record": build_record(headers, content)})
@@ -343,7 +398,7 @@ FIELDS = tuple(x.split()[0] for x in DERIVED_SCHEMA.split(", "))
 
 
 def rows_of(record: bytes | None) -> list[dict]:
-    """What a record gives: two rows, none if it is no response, or one that names the problem."""
+    """What a record gives: its derived records, none if it is no response, or one row that names the problem."""
     if record is None:
         return []
     try:
@@ -354,12 +409,13 @@ def rows_of(record: bytes | None) -> list[dict]:
 
 
 def derivatives(responses: DataFrame, key_col: str = "key", record_col: str = "record") -> DataFrame:
-    """Two rows, metadata and conversion, for every response record; see ``DERIVED_SCHEMA``.
+    """A metadata row for every response record, and a conversion row where it is text; see ``DERIVED_SCHEMA``.
 
     A record that can't be read gives one row of type ``bad`` with the ``problem``
-    and nothing else.  Null records and records of other types give none.
-    Repeated responses give repeated rows, and an empty table none.  Other columns
-    are ignored, whatever their names.
+    and nothing else; rows of a response whose body is not whole name the problem too.
+    Null records and records of other types give none.  Repeated responses give
+    repeated rows, and an empty table none.  Other columns are ignored, whatever their
+    names.
     """
     ship(responses.sparkSession)
     kind = responses.schema[key_col].dataType.simpleString()
@@ -396,8 +452,9 @@ def write_warc(records: DataFrame, root: str | None = None, record_col: str = "r
     """Write records to gzip WARC files, a member for each, and return ``(file, offset, length, root)``, stored.
 
     ``root`` must be on shared storage.  Names hold the task's attempt; only the
-    files in the returned rows are whole.  Null records are left out.  With
-    ``key_col`` the rows have that column too.
+    files in the returned rows are whole.  Null records are left out, repeated ones
+    are written again, an empty table gives no rows, and other columns are ignored.
+    With ``key_col`` the rows have that column too.
     """
     ship(records.sparkSession)
     root = root or scratch(records.sparkSession, "warc")
@@ -429,7 +486,8 @@ def write_warc(records: DataFrame, root: str | None = None, record_col: str = "r
 def read_warc(index: DataFrame, key_col: str | None = None) -> DataFrame:
     """``record`` for every row of an index as :func:`write_warc` returns it, by range reads; with ``key_col`` that column too.
 
-    Rows that follow each other in a file share one open file.
+    Rows that follow each other in a file share one open file.  Repeated rows are
+    read again, an empty index gives no rows, and other columns are ignored.
     """
     ship(index.sparkSession)
     key = F.lit(None).cast("string") if key_col is None else F.col(key_col)

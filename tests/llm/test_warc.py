@@ -141,7 +141,48 @@ def test_bad_records_are_reported(spark):
         got.setdefault(r["key"], []).append((r["record_type"], r["problem"]))
     assert set(got) == {2, 4, 5, 6, 7, 8, 9} and got[9] == [("metadata", None), ("conversion", None)]
     assert got[2] == [("bad", "not a WARC record")] and got[4] == [("bad", "no WARC-Record-ID")] and got[5] == [("bad", "block cut off")] and got[6] == [("bad", "no content length")]
-    assert all(len(got[k]) == 1 and got[k][0][0] == "bad" for k in (7, 8))
+    assert [k for k, _ in got[7]] == ["metadata"] and got[7][0][1].startswith("compressed body: ")
+    assert got[8] == [("metadata", "content coding br")]
+
+
+def test_long_attributes_are_no_text():
+    for sign in "\"'":
+        page = f"<p>a</p><div data-x={sign}{'k > v ' * 3000}{sign}>text</div><a href={sign}/x{sign}>b</a>"
+        assert warc.page_text(page) == Plain(page).text == "a\ntext\nb" and warc.page_links(page) == Plain(page).links
+
+
+def test_bodies_cut_off_say_so(monkeypatch):
+    page = b"<p>" + bytes(random.Random(2).choices(b"abcdefghij ", k=5000)) + b"</p>"
+    packed = gzip.compress(page)
+    for body, http, problem in (
+        (b"5\r\n<p>", ("Transfer-Encoding", "chunked"), "chunked body cut off"), (b"3\r\n<p>\r\nfe", ("Transfer-Encoding", "chunked"), "chunked body cut off"),
+        (packed[:1500], ("Content-Encoding", "gzip"), "compressed body cut off"), (packed + packed[:700], ("Content-Encoding", "gzip"), "compressed body cut off"),
+    ):
+        made = warc.derive(response(body, http))
+        assert [(m["record_type"], m["problem"]) for m in made] == [("metadata", problem), ("conversion", problem)]
+        assert json.loads(warc.parse_record(made[0]["record"])[1])["Problem"] == problem
+    assert conversion(response(packed[:1500], ("Content-Encoding", "gzip"))).strip() in warc.page_text(page.decode())
+    damaged = bytearray(packed)
+    damaged[len(packed) // 2] ^= 255
+    made = warc.derive(response(bytes(damaged), ("Content-Encoding", "gzip")))
+    assert made[0]["problem"].startswith("compressed body")
+    monkeypatch.setattr(warc, "MOST_UNFOLDED", 1000)
+    made = warc.derive(response(packed, ("Content-Encoding", "gzip")))
+    assert len(made) == 2 and {m["problem"] for m in made} == {"compressed body too large"} and 900 < len(conversion(response(packed, ("Content-Encoding", "gzip")))) <= 1000
+
+
+def test_conversions_are_of_text_alone():
+    image = b"\x89PNG\r\n\x1a\n\0\0" + b"<p>no</p>"
+    for kind in ("image/png", "image/svg+xml", "application/pdf", "video/mp4"):
+        made = warc.derive(response(image, ("Content-Type", kind)))
+        assert [m["record_type"] for m in made] == ["metadata"] and made[0]["problem"] is None
+        assert "HTML-Metadata" not in json.loads(warc.parse_record(made[0]["record"])[1])
+    assert [m["record_type"] for m in warc.derive(response(image))] == ["metadata"]
+    assert conversion(response(b"a < b\n <p> ", ("Content-Type", "text/plain; charset=utf-8"))) == "a < b\n <p> "
+    assert conversion(response(b'{"a": "<b>"}', ("Content-Type", "application/json"))) == '{"a": "<b>"}'
+    assert conversion(response(b"<p>x</p>", ("Content-Type", "application/xhtml+xml"))) == "x"
+    for line, kinds in ((b"301 Moved", ["metadata"]), (b"404 Not Found", ["metadata"]), (b"204 No Content", ["metadata", "conversion"]), (b"2000 Odd", ["metadata"])):
+        assert [m["record_type"] for m in warc.derive(response(b"<p>x</p>").replace(b"200 OK", line, 1).replace(b"Content-Length: %d" % 27, b"Content-Length: %d" % (21 + len(line))))] == kinds
 
 
 def test_tables(spark):
