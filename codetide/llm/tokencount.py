@@ -20,6 +20,9 @@ from .common import parts, scratch, stage
 #: Characters of a text that sentencepiece gets at once, where the model lets texts be cut at spaces.
 PART = 1 << 18
 
+#: Missing digests that are sent to all executors at most, 32 bytes each; with more of them the texts are shuffled before the look-up.
+SENT_DIGESTS = 100_000
+
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 
 _libraries: dict[str, object] = {}
@@ -85,6 +88,20 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
+def missing_texts(docs: DataFrame, missing: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(content, text)``: each text whose digest is in ``missing(content)``, once.
+
+    Equal texts are put together before the shuffle, so that many copies of one are a row for each task.
+    Where few digests are missing, only their texts are shuffled.
+    """
+    texts = docs.select(content_digest(text_col).alias("content"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    few = missing.limit(SENT_DIGESTS + 1).count() <= SENT_DIGESTS
+    if few:
+        texts = texts.join(F.broadcast(missing), "content", "left_semi")
+    once = texts.groupBy("content").agg(F.first("text").alias("text"))
+    return once if few else once.join(missing, "content", "left_semi")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, n_tokens)`` for every row, by whole texts.
 
@@ -101,26 +118,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     known = read_cache(spark, cache).filter(F.col("tokenizer") == version).select("content").distinct()
     keys = docs.select(F.col(id_col).alias("id"), content_digest(text_col).alias("content"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
     keys = stage(keys, "digests")
-    missing = keys.groupBy("content").agg(F.min("id").alias("id")).join(known, "content", "left_anti")
-    # Where each missing text is first met.  Rows that share an id are told apart by the digest, and
-    # rows that share both meet in one place, next to each other, where only the first is encoded.
-    texts = docs.select(F.col(id_col).alias("own"), content_digest(text_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    due = texts.join(missing, F.col("own").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("content"))).select("content", "text")
+    missing = stage(keys.select("content").distinct().join(known, "content", "left_anti"), "missing")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, last = counter(tokenizer), None
+        library = counter(tokenizer)
         for batch in batches:
-            digests, counts = [], []
-            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if digest != last:
-                    digests.append(digest)
-                    counts.append(library.count(text.as_py()))
-                    last = digest
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content", "tokenizer", "n_tokens"])
-
-    # A place with very many equal rows may have been split among tasks.
-    once = due.mapInArrow(encode, CACHE_SCHEMA).groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
-    once.write.mode("append").parquet(cache)
+            counts = [library.count(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content", "tokenizer", "n_tokens"])
+
+    missing_texts(docs, missing, text_col).mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     counts = stage(counts, "counts")  # as a stored table it leaves adaptive execution free to split the digest of many copies
     return keys.join(counts, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

@@ -55,6 +55,34 @@ def test_repeated_rows_are_encoded_once(spark, tmp_path):
     assert tokencount.read_cache(spark, cache).count() == 3
 
 
+@pytest.mark.parametrize("sent", [0, 100_000])
+@pytest.mark.parametrize("joins", ["-1", "10m"])
+def test_each_missing_text_is_encoded_once(spark, tmp_path, monkeypatch, sent, joins):
+    """The rows that go to the encoder, and the encoder's own calls, whatever the join."""
+    monkeypatch.setattr(tokencount, "SENT_DIGESTS", sent)
+    docs = spark.createDataFrame([(1, f"text {i % 2}") for i in range(80)] + [(i, f"text {i % 5}") for i in range(40)] + [(None, None)] * 3, "doc_id long, text string").repartition(6)
+    digests = docs.select(tokencount.content_digest("text").alias("content"))
+    known = digests.limit(0).union(docs.filter("text = 'text 3'").select(tokencount.content_digest("text"))).distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    try:
+        due = tokencount.missing_texts(docs, digests.distinct().join(known, "content", "left_anti"))
+        assert sorted(r["text"] for r in due.collect()) == ["", "text 0", "text 1", "text 2", "text 4"]
+        calls = f"{tmp_path}/calls"
+
+        class Counting:
+            def count(self, text):
+                with open(calls, "a") as f:
+                    f.write(text + "\n")
+                return len(text)
+
+        monkeypatch.setattr(tokencount, "counter", lambda path: Counting())
+        assert tokencount.count_tokens(docs, MODEL).count() == 123
+        with open(calls) as f:
+            assert sorted(f.read().splitlines()) == ["", "text 0", "text 1", "text 2", "text 3", "text 4"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_parts_give_the_whole_count(monkeypatch):
     own = tokencount.SentencePieceCounter(MODEL)
     assert own.by_parts
