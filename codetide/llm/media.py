@@ -21,6 +21,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..shipping import ship
 from .common import scratch, stage
 
 WIDTH = 64
@@ -28,6 +29,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and IHDR chunk: all that a header read fetches.
 HEADER_BYTES = 33
 SHARD_BYTES = 256 << 20
+#: Places that a task remembers; beyond it starts anew, and may store a payload again.
+KNOWN_PLACES = 1 << 19
 
 
 # --- the image format ---------------------------------------------------------
@@ -116,9 +119,12 @@ class ShardWriter:
 def store_texts(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the payload of every text and return ``(id, n_bytes, digest, shard, offset, length)``, stored.
 
-    A task writes each different payload once.  Where several tasks meet the same
-    payload, all rows are given the first of its places.
+    A task writes each different payload once (as far as ``KNOWN_PLACES`` reaches).
+    Where a payload has several places, :func:`media_columns` takes the first.  Null and
+    empty texts have a payload of 64 bytes 0, repeated rows stay, an empty table gives no
+    rows, and other columns are ignored, whatever their names.
     """
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -132,6 +138,8 @@ def store_texts(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: st
                     payload = payload_of(data)
                     digest = hashlib.sha256(payload).digest()
                     if digest not in places:
+                        if len(places) >= KNOWN_PLACES:
+                            places.clear()
                         places[digest] = shards.put(f"{digest.hex()}.png", encode_png(payload))
                     out.append((len(data), digest, *places[digest]))
                 kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
@@ -145,7 +153,8 @@ def store_texts(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: st
 
 def _reads(places: DataFrame, root: str, kinds: list[tuple[str, pa.DataType, str]], read) -> DataFrame:
     """Add columns to ``places(digest, shard, offset, length)`` by range reads; tasks go by shard."""
-    ordered = places.repartition(F.col("shard"), F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset")
+    ship(places.sparkSession)
+    ordered = places.select("digest", "shard", "offset", "length").repartition(F.col("shard"), F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(root)
@@ -167,13 +176,19 @@ def _reads(places: DataFrame, root: str, kinds: list[tuple[str, pa.DataType, str
 
 
 def header_columns(places: DataFrame, root: str) -> DataFrame:
-    """Fill ``width``, ``height`` and ``bits``; of each image only ``HEADER_BYTES`` bytes are read."""
+    """Fill ``width``, ``height`` and ``bits`` of ``places(digest, shard, offset, length)``; of each image only ``HEADER_BYTES`` bytes are read.
+
+    Repeated places are read again, an empty table gives no rows, and other columns are left out.
+    """
     kinds = [(n, pa.int64(), "long") for n in ("width", "height", "bits")]
     return _reads(places, root, kinds, lambda file, offset, length: read_header(file.read_at(HEADER_BYTES, offset)))
 
 
 def feature_columns(places: DataFrame, root: str) -> DataFrame:
-    """Fill the payload's and the image's digests and the features, from the stored bytes."""
+    """Fill the payload's and the image's digests and the features of ``places``, from the stored bytes.
+
+    Repeated places are read again, an empty table gives no rows, and other columns are left out.
+    """
 
     def read(file, offset: int, length: int) -> tuple:
         data = file.read_at(length, offset)

@@ -36,6 +36,7 @@ def test_columns_and_shards(spark, tmp_path):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(payload))
         assert r["payload_sha256"] == r["digest"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["samples"] == f"sum={sum(payload)};min={min(payload)};max={max(payload)};zeros={payload.count(0)}"
         assert (r["width"], r["height"], r["bits"]) == (64, len(payload) // 64, 8)
         raw = (tmp_path / "media" / r["shard"]).read_bytes()
         image = raw[r["offset"] : r["offset"] + r["length"]]
@@ -56,5 +57,34 @@ def test_shards_roll_over(tmp_path, monkeypatch):
         assert (tmp_path / shard).read_bytes()[offset : offset + length] == bytes([i]) * 900
 
 
+def test_a_frame_of_one_s_own_ships_the_package(tmp_path):
+    """In a session whose workers can't import the package by themselves."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(media.__file__).resolve().parents[2]
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+sys.path.insert(0, {str(here)!r})
+from codetide.llm import media
+print("rows", media.media_columns(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), "file://{tmp_path}/own").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=300, check=False)
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
+
+
+def test_forgotten_places_change_nothing(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 3}") for i in range(30)], "doc_id long, text string").withColumn("shard", media.F.lit(1)).withColumn("OFFSET", media.F.lit(2)).coalesce(1)
+    keep = ("doc_id", "digest", "payload_sha256", "samples")
+    whole = sorted(map(tuple, media.media_columns(docs, f"file://{tmp_path}/a").select(*keep).collect()))
+    monkeypatch.setattr(media, "KNOWN_PLACES", 1)
+    assert sorted(map(tuple, media.media_columns(docs, f"file://{tmp_path}/b").select(*keep).collect())) == whole
+
+
 def test_empty(spark, tmp_path):
     assert media.media_columns(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/none").count() == 0
