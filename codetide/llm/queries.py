@@ -167,6 +167,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot, with row counts at most one apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    docs = stage(docs, "sizes")  # ids, sizes and digests: the texts are read once
     placed = sharding.interleave(docs, SHARDS, ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
