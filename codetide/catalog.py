@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import branches, history, registry, streams, structure  # noqa: F401  their queries register themselves
+from .plans import branches, graphs, history, registry, streams, structure  # noqa: F401  their queries register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

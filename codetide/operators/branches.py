@@ -55,6 +55,16 @@ def coverage(line_hits: DataFrame) -> DataFrame:
     return sums.withColumn("ratio", F.bround(F.col("covered") / F.col("total"), 4))
 
 
+def union_coverage(hits: DataFrame) -> DataFrame:
+    """``(path, covered)``: the different lines of each file that any of its runs ``(path, run, line)`` has met.
+
+    Lines are kept as bitmaps, one of 32 768 lines for each run, which are put together by OR.
+    """
+    runs = hits.groupBy("path", "run", F.bitmap_bucket_number("line").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("line")).alias("bits"))
+    files = runs.groupBy("path", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("lines"))
+    return files.groupBy("path").agg(F.sum("lines").alias("covered"))
+
+
 def overall_coverage(files: DataFrame) -> DataFrame:
     total = F.sum("total")
     return files.agg(F.coalesce(F.when(total > 0, F.bround(F.sum("covered") / total, 4)), F.lit(0.0)).alias("ratio"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import commits as C, formats as M
 from ..operators import branches as O
+from ..sources.logs import blame_lines, parse_diff, parse_lcov
 from . import bridge as B
 from .registry import query
 
@@ -90,8 +91,36 @@ def worst_coverage(spark, sf_dir):
     "SELECT o_orderkey AS diff_id, unnest(['context', 'delete', 'add', 'add', 'context']) AS line_type, unnest(['a', 'b', 'c', 'd', 'e']) AS content, unnest([o_custkey, o_custkey + 1, NULL, NULL, o_custkey + 2]) AS old_line, unnest([o_orderkey, NULL, o_orderkey + 1, o_orderkey + 2, o_orderkey + 3]) AS new_line FROM orders",
 )
 def diff_lines(spark, sf_dir):
-    from ..sources.logs import parse_diff
-
     head = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -"), F.col("o_custkey").cast("string"), F.lit(",3 +"), F.col("o_orderkey").cast("string"), F.lit(",4 @@\n a\n-b\n+c\n+d\n e\n"))
     diffs = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("diff_id"), head.alias("value"))
     return parse_diff(diffs).select("diff_id", "line_type", "content", "old_line", "new_line")
+
+
+@query(
+    "lcov_parse",
+    r"""WITH marked AS (SELECT position, line, line LIKE 'SF:_%' AS named, trim(line) = 'end_of_record' AS ended FROM v_trace),
+    state AS (SELECT *, sum(named::INT) OVER w AS record, last_value(CASE WHEN named THEN true WHEN ended THEN false END IGNORE NULLS) OVER w AS open, last_value(CASE WHEN named THEN substr(line, 4) END IGNORE NULLS) OVER w AS file FROM marked WINDOW w AS (ORDER BY position ROWS UNBOUNDED PRECEDING)),
+    counts AS (SELECT record, min(file) AS file, count(*) FILTER (open AND line LIKE 'DA:%' AND TRY_CAST(split_part(line, ',', 2) AS BIGINT) > 0) AS covered, count(*) FILTER (open AND line LIKE 'DA:%') AS total, count(*) FILTER (ended) AS ends FROM state WHERE record > 0 GROUP BY record)
+    SELECT 'trace' AS path, CAST(record AS BIGINT) AS record, file, covered, total, CASE WHEN total > 0 THEN round_even(covered / total::DOUBLE, 4) ELSE 0.0::DOUBLE END AS ratio FROM counts WHERE ends > 0 OR record < (SELECT max(record) FROM counts)""",
+)
+def lcov_parse(spark, sf_dir):
+    return parse_lcov(B.trace_lines(spark, sf_dir))
+
+
+_SINCE = "last_value(CASE WHEN starts_with(line, '{0}') THEN substr(line, {1}) END IGNORE NULLS) OVER w"
+
+
+@query(
+    "blame_parse",
+    f"""WITH state AS (
+      SELECT path, line, last_value(CASE WHEN regexp_matches(line, '^[0-9a-f]{{40}} ') THEN left(line, 40) END IGNORE NULLS) OVER w AS commit_sha, last_value(CASE WHEN regexp_matches(line, '^[0-9a-f]{{40}} ') THEN CAST(split_part(line, ' ', 3) AS BIGINT) END IGNORE NULLS) OVER w AS line_number,
+      {_SINCE.format("author ", 8)} AS author_name, {_SINCE.format("author-mail ", 13)} AS author_email, {_SINCE.format("author-time ", 13)} AS seconds FROM v_porcelain WINDOW w AS (PARTITION BY path ORDER BY position ROWS UNBOUNDED PRECEDING))
+    SELECT path, commit_sha, line_number, coalesce(author_name, '') AS author_name, coalesce(replace(replace(author_email, '<', ''), '>', ''), '') AS author_email, CAST(coalesce(seconds, '0') AS BIGINT) AS seconds FROM state WHERE starts_with(line, chr(9))""",
+)
+def blame_parse(spark, sf_dir):
+    return blame_lines(B.porcelain_lines(spark, sf_dir)).withColumn("seconds", F.unix_seconds("ts")).drop("ts")
+
+
+@query("bitmap_coverage", "SELECT l_partkey % 100 AS path, count(DISTINCT l_orderkey) AS covered FROM lineitem GROUP BY l_partkey % 100")
+def bitmap_coverage(spark, sf_dir):
+    return O.union_coverage(B.run_hits(spark, sf_dir))

@@ -6,7 +6,7 @@ activity, documents as files, pages as source code, customers as branches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 NOW = "2001-08-15 12:00:00"
 
@@ -137,6 +137,61 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bought.select(F.col("c_nationkey").alias("module"), F.col("s_nationkey").alias("imported_module"))
 
 
+def graph_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits of a graph: ``(node, branch, at, tree)``."""
+    tree = F.concat("o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyyMM"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("branch"), F.col("o_orderdate").alias("at"), tree.alias("tree"), F.col("o_orderpriority").alias("priority"))
+
+
+def graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(node, parent)``: a customer's orders are a branch of the customer with a fourth of the key.
+
+    A branch begins at the latest commit of that branch, urgent orders merge it in again, and
+    high ones merge the latest commit of the branches that began at their own.
+    """
+    rows = graph_commits(spark, sf_dir)
+    own = rows.select("node", F.lag("node").over(W.partitionBy("branch").orderBy("at", "node")).alias("parent"), "branch", "at", "priority")
+    stem = own.select("node", "parent", F.col("branch").alias("stem"), "at", "priority", F.lit(True).alias("is_stem"))
+    twig = own.filter("branch > 0").select("node", "parent", F.floor(F.col("branch") / 4).alias("stem"), "at", "priority", F.lit(False).alias("is_stem"))
+    order = W.partitionBy("stem").orderBy("at", "node").rowsBetween(W.unboundedPreceding, -1)
+    met = stem.unionByName(twig)
+    met = met.withColumn("of_stem", F.last(F.when(F.col("is_stem"), F.col("node")), ignorenulls=True).over(order)).withColumn("of_twig", F.last(F.when(~F.col("is_stem"), F.col("node")), ignorenulls=True).over(order))
+    forks = met.filter("not is_stem and (parent is null or priority = '1-URGENT')").select("node", F.col("of_stem").alias("parent"))
+    merges = met.filter("is_stem and priority = '2-HIGH'").select("node", F.col("of_twig").alias("parent"))
+    return own.select("node", "parent").unionByName(forks).unionByName(merges)
+
+
+def graph_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(tip, node)``: the last commit of each branch."""
+    rows = graph_commits(spark, sf_dir)
+    return rows.groupBy(F.col("branch").alias("tip")).agg(F.max(F.struct("at", "node"))["node"].alias("node"))
+
+
+def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One LCOV trace: a record for each order, without an end or with an early one for some."""
+    orders, place = table(spark, sf_dir, "orders"), F.col("o_orderkey") * 32
+    heads = orders.select(place.alias("position"), F.concat(F.lit("SF:src/c"), F.col("o_custkey").cast("string")).alias("line"))
+    ends = orders.filter("o_orderpriority <> '5-LOW'").select((place + F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", 5).otherwise(31)).alias("position"), F.lit("end_of_record").alias("line"))
+    hits = F.when(F.col("l_returnflag") == "R", 0).otherwise(F.col("l_quantity").cast("long"))
+    body = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 32 + F.col("l_linenumber") * 2).alias("position"), F.concat(F.lit("DA:"), F.col("l_linenumber").cast("string"), F.lit(","), hits.cast("string")).alias("line"))
+    rows = heads.unionByName(ends).unionByName(body)
+    return rows.select(F.lit("trace").alias("path"), F.floor(F.col("position") / (1 << 17)).alias("block"), "position", "line")
+
+
+def porcelain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blame of parts: a line for each of a part's line items; a header names its author only at the first line of an order."""
+    items = table(spark, sf_dir, "lineitem")
+    key, number, supplier = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey").cast("string")
+    said = F.when(number == 1, F.array(F.concat(F.lit("author A "), supplier), F.concat(F.lit("author-mail <a"), supplier, F.lit("@x>")), F.concat(F.lit("author-time "), (key * 1000).cast("string")))).otherwise(F.array().cast("array<string>"))
+    head = F.concat(F.lpad(F.lower(F.hex(key)), 40, "0"), F.lit(" 1 "), (key * 8 + number).cast("string"), F.lit(" 1"))
+    rows = items.select(F.col("l_partkey").alias("path"), (key * 64 + number * 8).alias("at"), F.posexplode(F.concat(F.array(head), said, F.array(F.lit("\tcode")))).alias("k", "line"))
+    return rows.select("path", F.floor(F.col("at") / (1 << 12)).alias("block"), (F.col("at") + F.col("k")).alias("position"), "line")
+
+
+def run_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("path"), F.col("l_returnflag").alias("run"), F.col("l_orderkey").alias("line"))
+
+
 VIEWS = {
     "v_commits": "SELECT o_orderkey AS sha, 'Author ' || CAST(o_custkey % 500 AS VARCHAR) AS author_name, 'u' || CAST(o_custkey AS VARCHAR) || '@example.org' AS author_email, o_orderdate + to_hours(CAST(o_orderkey % 24 AS BIGINT)) AS authored_ts, o_orderdate + to_hours(CAST(o_orderkey % 24 + o_orderkey % 40 AS BIGINT)) AS committed_ts, " + _pick_sql("o_orderkey", MESSAGES) + " || chr(10) || o_orderpriority AS message, o_orderkey AS ordinal FROM orders",
     "v_changes": "SELECT l_orderkey AS sha, " + _PATH_SQL.format(k="l_partkey") + " AS path, CAST(l_quantity AS BIGINT) AS insertions, CAST(round(l_discount * 100) AS BIGINT) AS deletions FROM lineitem",
@@ -150,6 +205,13 @@ VIEWS = {
     "v_activity": "SELECT event_id AS sha, user_id AS author_email, ts AS authored_ts, event_id AS ordinal FROM events",
     "v_sources": "SELECT source || '/doc' || CAST(doc_id AS VARCHAR) || '.' || lang AS path, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text, lang AS language, n_chars AS size_bytes, doc_id AS ordinal FROM documents",
     "v_lines": "SELECT path, language, size_bytes, ordinal, trim(line, ' ' || chr(9) || chr(13)) AS line, pos FROM (SELECT path, language, size_bytes, ordinal, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT *, string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS parts FROM v_sources WHERE text <> ''))",
+    "v_graph_commits": "SELECT o_orderkey AS node, o_custkey AS branch, o_orderdate AS made, o_orderstatus || o_orderpriority || strftime(o_orderdate, '%Y%m') AS tree, o_orderpriority AS priority FROM orders",
+    "v_graph_own": "SELECT node, lag(node) OVER (PARTITION BY branch ORDER BY made, node) AS parent, branch, made, priority FROM v_graph_commits",
+    "v_graph_met": "SELECT *, last_value(CASE WHEN is_stem THEN node END IGNORE NULLS) OVER w AS of_stem, last_value(CASE WHEN NOT is_stem THEN node END IGNORE NULLS) OVER w AS of_twig FROM (SELECT *, branch AS stem, true AS is_stem FROM v_graph_own UNION ALL SELECT *, branch // 4 AS stem, false AS is_stem FROM v_graph_own WHERE branch > 0) WINDOW w AS (PARTITION BY stem ORDER BY made, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    "v_graph_links": "SELECT node, parent FROM v_graph_own UNION SELECT node, of_stem FROM v_graph_met WHERE NOT is_stem AND (parent IS NULL OR priority = '1-URGENT') UNION SELECT node, of_twig FROM v_graph_met WHERE is_stem AND priority = '2-HIGH'",
+    "v_graph_tips": "SELECT branch AS tip, arg_max(node, {'a': made, 'n': node}) AS node FROM v_graph_commits GROUP BY branch",
+    "v_trace": "SELECT o_orderkey * 32 AS position, 'SF:src/c' || CAST(o_custkey AS VARCHAR) AS line FROM orders UNION ALL SELECT o_orderkey * 32 + CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 5 ELSE 31 END, 'end_of_record' FROM orders WHERE o_orderpriority <> '5-LOW' UNION ALL SELECT l_orderkey * 32 + l_linenumber * 2, 'DA:' || CAST(l_linenumber AS VARCHAR) || ',' || CAST(CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS VARCHAR) FROM lineitem",
+    "v_porcelain": "SELECT path, spot + k AS position, line FROM (SELECT l_partkey AS path, l_orderkey * 64 + l_linenumber * 8 AS spot, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM (SELECT *, list_concat([lpad(lower(to_hex(l_orderkey)), 40, '0') || ' 1 ' || CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) || ' 1'], list_concat(CASE WHEN l_linenumber = 1 THEN ['author A ' || CAST(l_suppkey AS VARCHAR), 'author-mail <a' || CAST(l_suppkey AS VARCHAR) || '@x>', 'author-time ' || CAST(l_orderkey * 1000 AS VARCHAR)] ELSE [] END, [chr(9) || 'code'])) AS lines FROM lineitem))",
     "v_files": "SELECT s.path, s.language, s.size_bytes, s.ordinal, coalesce(count(l.line), 0) AS total_lines, count(*) FILTER (WHERE l.line = '') AS blank_lines, count(*) FILTER (WHERE l.line LIKE 'The%' OR l.line LIKE 'To %') AS comment_lines, count(l.line) - count(*) FILTER (WHERE l.line = '') - count(*) FILTER (WHERE l.line LIKE 'The%' OR l.line LIKE 'To %') AS code_lines FROM v_sources s LEFT JOIN v_lines l ON s.path = l.path GROUP BY ALL",
     "v_code": "SELECT page_id AS path, regexp_replace(html, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM pages",
     "v_methods": "SELECT " + _PATH_SQL.format(k="l_partkey") + " AS path, 'Class' || CAST(l_suppkey % 3 AS VARCHAR) AS class_name, 'm' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS name, CAST(l_linenumber * 10 AS BIGINT) AS line, CAST(l_quantity AS BIGINT) AS lines, l_suppkey % 14 AS cyclomatic, CAST(round(l_tax * 100) * 3 AS BIGINT) AS cognitive, CAST(l_linenumber AS BIGINT) AS parameters, l_partkey % 7 AS nesting FROM lineitem",
@@ -182,4 +244,6 @@ def with_views(sql: str) -> str:
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in needed)
     if not needed:
         return sql
+    if own[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {own[15:]}"
     return f"WITH {ctes}, {own[5:]}" if own[:5].upper() == "WITH " else f"WITH {ctes} {own}"

@@ -5,24 +5,18 @@ from __future__ import annotations
 import sqlite3
 from pathlib import Path
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import branches as O
+from ..operators.carry import read_lines
 from .logs import parse_lcov
 
 LCOV_NAMES = ("lcov.info", "coverage.lcov")
 SCHEMA = "path string, covered long, total long, ratio double"
 
 
-@F.arrow_udf(T.LongType())
-def count_bits(bits: pa.Array) -> pa.Array:
-    return pa.array([int.from_bytes(b.as_py() or b"", "big").bit_count() for b in bits], pa.int64())
-
-
 def from_bitmaps(bitmaps: DataFrame) -> DataFrame:
     """``(path, numbits)`` -> coverage; the files say nothing of uncovered lines, so a covered file is whole."""
-    counted = bitmaps.select("path", count_bits("numbits").alias("covered"))
+    counted = bitmaps.select("path", F.bitmap_count(F.coalesce("numbits", F.lit(b""))).alias("covered"))
     total = F.greatest(F.col("covered"), F.lit(1)).cast("long")
     return counted.select("path", "covered", total.alias("total"), F.bround(F.col("covered") / total, 4).alias("ratio"))
 
@@ -35,8 +29,8 @@ def read_bitmaps(spark: SparkSession, file: Path) -> DataFrame:
 
 
 def read_lcov(spark: SparkSession, file: Path) -> DataFrame:
-    lines = spark.createDataFrame(list(enumerate(file.read_text(encoding="utf-8", errors="replace").splitlines())), "position long, value string")
-    return O.coverage(parse_lcov(lines))
+    """Coverage of each record of a trace, which tasks read in splits."""
+    return parse_lcov(read_lines(spark, str(file))).select(F.col("file").alias("path"), "covered", "total", "ratio")
 
 
 def read(spark: SparkSession, root: str | Path) -> DataFrame:

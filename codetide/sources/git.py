@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..session import checkpointing
+from ..operators import graph as G
 from ..shipping import ship
 from . import logs
 
@@ -22,6 +22,8 @@ RECORD, FIELD = "\x01", "\x00"
 FORMAT = "%x01%H%x00%an%x00%ae%x00%aI%x00%cn%x00%ce%x00%cI%x00%s%x00%x00"
 #: Seconds that one git process may take.
 TIMEOUT = 120
+#: Branches that git itself compares with the target, a process each; more are compared in one pass over the graph.
+FEW_BRANCHES = 30
 #: Commits for each partition of the log.
 PER_PARTITION = 20_000
 
@@ -179,10 +181,16 @@ def ahead_behind(root: str, branch: str, target: str) -> tuple[int, int]:
 
 
 def branches(spark: SparkSession, root: str, default: str, target: str | None = None) -> DataFrame:
-    """``(name, last_commit, ahead, behind, merged, author)`` of local branches but the default one."""
+    """``(name, sha, author, ahead, behind, merged, last_commit)`` of local branches but the default one."""
     target = target or default
     merged = merged_branches(root, default) | merged_branches(root, target)
-    listed = [r for r in read(spark, root, "branches").collect() if r["name"] != default]  # refs are few
+    refs = read(spark, root, "branches").collect()
+    listed = [r for r in refs if r["name"] != default]
+    if len(listed) > FEW_BRANCHES and target in {r["name"] for r in refs}:
+        tips = spark.createDataFrame([(r["name"], r["sha"]) for r in refs], "tip string, node string")
+        named = spark.createDataFrame([(r["name"], r["sha"], r["committed"], r["author"], r["name"] in merged) for r in listed], "name string, sha string, committed string, author string, merged boolean")
+        found = named.join(standing(spark, root, tips, target).select(F.col("tip").alias("name"), "ahead", "behind"), "name")
+        return found.select("name", "sha", "author", "ahead", "behind", "merged", logs.iso_instant(F.col("committed")).alias("last_commit")).orderBy("name")
     rows = [(r["name"], r["sha"], r["committed"], r["author"], *ahead_behind(root, r["name"], target), r["name"] in merged) for r in listed]
     frame = spark.createDataFrame(rows, "name string, sha string, committed string, author string, ahead long, behind long, merged boolean")
     return frame.withColumn("last_commit", logs.iso_instant(F.col("committed"))).drop("committed").orderBy("name")
@@ -205,18 +213,14 @@ def tracking_branch(root: str, branch: str) -> str | None:
     return _or_empty(root, "rev-parse", "--abbrev-ref", f"{branch}@{{upstream}}").strip() or None
 
 
-def is_ancestor(parents: DataFrame, tip: str, of: str) -> bool:
-    """Whether ``tip`` is reachable from ``of`` over ``(sha, parent)``: the merge test in relational form."""
-    spark = parents.sparkSession
-    checkpointing(spark)
-    seen = frontier = spark.createDataFrame([(of,)], "sha string")
-    while not frontier.isEmpty():
-        if not frontier.filter(F.col("sha") == tip).isEmpty():
-            return True
-        step = parents.join(frontier, "sha").select(F.col("parent").alias("sha")).filter("sha is not null").distinct()
-        frontier = step.join(seen, "sha", "left_anti").checkpoint()
-        seen = seen.unionByName(frontier).checkpoint()
-    return False
+def commit_graph(spark: SparkSession, root: str) -> G.Graph:
+    """The graph of all commits that any ref reaches."""
+    return G.graph(read(spark, root, "parents").select(F.col("sha").alias("node"), "parent"))
+
+
+def standing(spark: SparkSession, root: str, tips: DataFrame, target: str) -> DataFrame:
+    """``(tip, ahead, behind, merged)`` of ``tips(tip, node)`` against one of them, for all at once."""
+    return G.ahead_behind(G.reach(commit_graph(spark, root), tips), F.lit(target))
 
 
 def is_squash_merged(root: str, branch: str, target: str, depth: int = 20) -> bool:

@@ -6,9 +6,10 @@ number of records and can be fed by any reader.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import commits as C
+from ..operators.carry import carry, numbered
 
 FIELDS = ("sha", "author_name", "author_email", "authored", "committer_name", "committer_email", "committed", "message", "body", "stats")
 
@@ -51,27 +52,29 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
     Gives ``(diff_id, path, hunk, old_start, new_start, position, line_type, content,
     old_line, new_line)``; file headers and marks on missing line ends are no lines.
     """
-    lines = diffs.select("diff_id", F.posexplode(F.split("value", "\n")).alias("position", "line"))
+    return diff_lines(numbered(diffs, "diff_id"))
+
+
+def diff_lines(lines: DataFrame) -> DataFrame:
+    """The same for lines ``(diff_id, block, position, line)``, by :func:`carry`."""
     header = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-    by = W.partitionBy("diff_id").orderBy("position")
-    upto = by.rowsBetween(W.unboundedPreceding, 0)
-    is_hunk = F.col("line").rlike(header)
-    marked = lines.withColumns({"is_hunk": is_hunk, "is_file": F.col("line").startswith("diff --git ")})
-    marked = marked.withColumns({
-        "path": F.last(F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 1 << 30)), ignorenulls=True).over(upto),
-        "hunk": F.sum(F.col("is_hunk").cast("long")).over(upto),
-        "inside": F.last(F.when(F.col("is_hunk"), True).when(F.col("is_file"), False), ignorenulls=True).over(upto),
-        "old_start": F.last(F.when(is_hunk, F.regexp_extract("line", header, 1).cast("long")), ignorenulls=True).over(upto),
-        "new_start": F.last(F.when(is_hunk, F.regexp_extract("line", header, 3).cast("long")), ignorenulls=True).over(upto),
-    })
-    kind = F.when(F.col("line").startswith("+"), "add").when(F.col("line").startswith("-"), "delete").when(F.col("line").startswith(" ") | (F.col("line") == ""), "context")
-    body = marked.withColumn("line_type", kind).filter("inside and not is_hunk and line_type is not null")
-    body = body.withColumn("last", F.max("position").over(W.partitionBy("diff_id"))).filter("line <> '' or position < last")
-    counted = W.partitionBy("diff_id", "hunk").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
-    old, new = ((F.sum((F.col("line_type") != skip).cast("long")).over(counted) - 1) for skip in ("add", "delete"))
-    return body.select(
-        "diff_id", "path", "hunk", "old_start", "new_start", F.col("position").cast("long").alias("position"), "line_type", F.substring("line", 2, 1 << 30).alias("content"),
-        F.when(F.col("line_type") != "add", F.col("old_start") + old).alias("old_line"), F.when(F.col("line_type") != "delete", F.col("new_start") + new).alias("new_line"),
+    line = F.col("line")
+    is_hunk = line.rlike(header)
+    start = lambda group: F.when(is_hunk, F.regexp_extract("line", header, group).cast("long"))
+    state = carry(
+        lines, ["diff_id"],
+        last={"path": F.when(line.startswith("+++ b/"), F.substring("line", 7, 1 << 30)), "inside": F.when(is_hunk, True).when(line.startswith("diff --git "), False), "old_start": start(1), "new_start": start(3)},
+        total={"hunk": is_hunk},
+    )
+    kind = F.when(line.startswith("+"), "add").when(line.startswith("-"), "delete").when(line.startswith(" ") | (line == ""), "context")
+    state = state.withColumn("line_type", F.when(F.col("inside") & ~is_hunk, kind))
+    known = F.col("line_type").isNotNull()
+    counted = carry(state, ["diff_id"], total={"old": known & (F.col("line_type") != "add"), "new": known & (F.col("line_type") != "delete")})
+    based = carry(counted, ["diff_id"], last={"old_base": F.when(is_hunk, F.col("old")), "new_base": F.when(is_hunk, F.col("new"))})
+    old, new = (F.col(f"{n}_start") + F.col(n) - F.col(f"{n}_base") - 1 for n in ("old", "new"))
+    return based.filter(known).select(
+        "diff_id", "path", "hunk", "old_start", "new_start", "position", "line_type", F.substring("line", 2, 1 << 30).alias("content"),
+        F.when(F.col("line_type") != "add", old).alias("old_line"), F.when(F.col("line_type") != "delete", new).alias("new_line"),
     )
 
 
@@ -88,31 +91,44 @@ def submodules(entries: DataFrame) -> DataFrame:
 
 
 def parse_blame(porcelain: DataFrame) -> DataFrame:
-    """Lines of blame in line-porcelain form ``(path, value)``: author, address, time and commit of each."""
-    lines = porcelain.select("path", F.posexplode(F.split("value", "\n")).alias("position", "line"))
+    """Lines of blame in porcelain form ``(path, value)``: author, address, time and commit of each."""
+    return blame_lines(numbered(porcelain, "path"))
+
+
+def blame_lines(lines: DataFrame) -> DataFrame:
+    """The same for lines ``(path, block, position, line)``, by :func:`carry`.
+
+    What a commit's header does not say stays as the line before had it; at the start
+    names are empty, numbers 0 and the time the epoch.
+    """
     header = r"^([0-9a-f]{40}) \d+ (\d+)"
-    upto = W.partitionBy("path").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
+    line = F.col("line")
+    rest = lambda n: F.substring("line", n, 1 << 30)
+    seconds = F.when(line.rlike(r"^author-time \d+$"), rest(13).try_cast("long"))
+    state = carry(lines, ["path"], last={
+        "commit_sha": F.when(line.rlike(header), F.regexp_extract("line", header, 1)), "line_number": F.when(line.rlike(header), F.regexp_extract("line", header, 2).cast("long")),
+        "author_name": F.when(line.startswith("author "), rest(8)), "author_email": F.when(line.startswith("author-mail "), F.regexp_replace(rest(13), "[<>]", "")), "seconds": seconds,
+    })
+    said = lambda n, value: F.coalesce(n, F.lit(value)).alias(n)
+    shown = state.filter(line.startswith("\t"))
+    return shown.select("path", said("commit_sha", ""), said("line_number", 0), said("author_name", ""), said("author_email", ""), F.timestamp_seconds(F.coalesce("seconds", F.lit(0))).alias("ts"))
+
 
-    def last(condition: Column, value: Column) -> Column:
-        return F.last(F.when(condition, value), ignorenulls=True).over(upto)
+def parse_lcov(lines: DataFrame, key: str = "path") -> DataFrame:
+    """``(key, record, file, covered, total, ratio)``: a row for each record of LCOV traces ``(key, block, position, line)``.
 
+    A record goes from its file's name to its end mark or the next name; the last of a
+    trace counts only with its end.  Line counts outside records count for none.
+    """
     line = F.col("line")
-    seen = lines.select(
-        "path", "line", last(line.rlike(header), F.regexp_extract("line", header, 1)).alias("commit_sha"), last(line.rlike(header), F.regexp_extract("line", header, 2).cast("long")).alias("line_number"),
-        last(line.startswith("author "), F.substring("line", 8, 1 << 20)).alias("author_name"), last(line.startswith("author-mail "), F.regexp_replace(F.substring("line", 13, 1 << 20), "[<>]", "")).alias("author_email"),
-        last(line.rlike(r"^author-time \d+$"), F.timestamp_seconds(F.substring("line", 13, 20).try_cast("long"))).alias("ts"),
+    named, ended = line.rlike("^SF:."), line.rlike(r"^\s*end_of_record\s*$")
+    state = carry(lines, [key], last={"file": F.when(named, F.substring("line", 4, 1 << 30)), "open": F.when(named, True).when(ended, False)}, total={"record": named})
+    hit = r"^DA:(\d+),(\d+)"
+    counts = line.rlike(hit) & F.col("open")
+    records = state.filter("record > 0").groupBy(key, "record").agg(
+        F.first("file").alias("file"), F.count_if(counts & (F.regexp_extract("line", hit, 2).cast("decimal(38,0)") > 0)).alias("covered"), F.count_if(counts).alias("total"), F.count_if(ended).alias("ends"),
     )
-    return seen.filter(line.startswith("\t")).drop("line")
-
-
-def parse_lcov(lines: DataFrame) -> DataFrame:
-    """``(path, line, hits)`` of LCOV lines ``(position, value)`` of one file; a record without its end is dropped."""
-    value = F.col("value")
-    order = W.orderBy("position")
-    record = F.sum(value.startswith("SF:").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    rows = lines.withColumn("record", record)
-    whole = W.partitionBy("record")
-    rows = rows.withColumns({"path": F.max(F.when(value.startswith("SF:"), F.substring("value", 4, 1 << 20))).over(whole), "ended": F.max(F.when(value == "end_of_record", F.col("position"))).over(whole)})
-    da = r"^DA:(\d+),(\d+)"
-    kept = rows.filter(value.rlike(da) & (F.col("position") < F.col("ended")))
-    return kept.select("path", F.regexp_extract("value", da, 1).cast("long").alias("line"), F.regexp_extract("value", da, 2).cast("long").alias("hits"))
+    most = records.groupBy(F.col(key).alias("most_key")).agg(F.max("record").alias("most"))
+    whole = records.join(most, F.col(key).eqNullSafe(F.col("most_key"))).filter("record < most or ends > 0")
+    ratio = F.when(F.col("total") > 0, F.bround(F.col("covered") / F.col("total"), 4)).otherwise(F.lit(0.0))
+    return whole.select(key, "record", "file", "covered", "total", ratio.alias("ratio"))

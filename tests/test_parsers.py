@@ -1,5 +1,9 @@
+import random
+import re
+
 import pytest
 
+from codetide.operators import carry
 from codetide.parsers import base, python, tables
 from codetide.sources import logs
 
@@ -289,5 +293,64 @@ def test_tree_and_lcov(spark):
     assert {(r["path"], r["size"]) for r in entries.collect()} == {("scripts/run.sh", 100), ("sub", -1), ("README.md", 50)}
     assert logs.submodules(entries).count() == 1
     lines = ["TN:", "SF:a.py", "DA:1,1", "DA:2,0", "end_of_record", "SF:b.py", "DA:1,3"]
-    hits = logs.parse_lcov(spark.createDataFrame(list(enumerate(lines)), "position long, value string")).collect()
-    assert [tuple(r) for r in hits] == [("a.py", 1, 1), ("a.py", 2, 0)]
+    assert lcov(spark, lines) == [(1, "a.py", 1, 2, 0.5)]
+
+
+def lcov(spark, lines, block=3):
+    frame = spark.createDataFrame([("t", i // block, i, x) for i, x in enumerate(lines)], "path string, block long, position long, line string")
+    return sorted(tuple(r)[1:] for r in logs.parse_lcov(frame).collect())
+
+
+def plain_lcov(lines):
+    out, name, record, counts = [], None, 0, [0, 0]
+
+    def put():
+        out.append((record, name, *counts, round(counts[0] / counts[1], 4) if counts[1] else 0.0))
+
+    for line in lines:
+        if line.startswith("SF:") and line[3:]:
+            if name is not None:
+                put()
+            name, record, counts = line[3:], record + 1, [0, 0]
+        elif found := re.match(r"DA:(\d+),(\d+)", line):
+            if name is not None:
+                counts = [counts[0] + (int(found[2]) > 0), counts[1] + 1]
+        elif line.strip() == "end_of_record" and name is not None:
+            put()
+            name = None
+    return out
+
+
+def test_lcov_blocks_against_a_plain_reader(spark):
+    rng = random.Random(8)
+    for block in (1, 4, 1000):
+        lines = rng.choices(["SF:a", "SF:b/c.py", "DA:1,0", "DA:2,7", "DA:3,99999999999999999999", "end_of_record", " end_of_record\t", "TN:x", "SF:", "DA:x"], k=120)
+        assert lcov(spark, lines, block) == plain_lcov(lines)
+    assert lcov(spark, []) == []
+
+
+def test_one_text_in_many_blocks(spark, monkeypatch):
+    """Diffs and blame of one file give the same whether it is one block or hundreds."""
+    diff = "".join(f"diff --git a/f{k} b/f{k}\n--- a/f{k}\n+++ b/f{k}\n" + "".join(f"@@ -{i * 10 + 1},3 +{i * 10 + 2},4 @@\n a\n-b\n+c\n+d\n\n e\n" for i in range(20)) for k in range(3))
+    blame = "".join(f"{k:040x} 1 {k} 1\n" + (f"author A{k}\nauthor-mail <a{k}@x>\nauthor-time {k * 100}\n" if k % 3 == 1 else "") + "\tcode\n" for k in range(60))
+    diffs = spark.createDataFrame([("d", diff), ("e", ""), ("f", "\n"), (None, diff[:300])], "diff_id string, value string")
+    files = spark.createDataFrame([("p", blame), ("q", "\tno header")], "path string, value string")
+    whole = sorted(map(str, logs.parse_diff(diffs).collect())), sorted(map(str, logs.parse_blame(files).collect()))
+    rows = logs.parse_blame(files).filter("path = 'p'").orderBy("line_number").collect()
+    assert [(r["line_number"], r["author_name"], r["commit_sha"]) for r in rows[:5]] == [(0, "", "0" * 40), (1, "A1", f"{1:040x}"), (2, "A1", f"{2:040x}"), (3, "A1", f"{3:040x}"), (4, "A4", f"{4:040x}")]
+    assert logs.parse_blame(files).filter("path = 'q'").first()["commit_sha"] == ""
+    monkeypatch.setattr(carry, "BLOCK", 7)
+    assert (sorted(map(str, logs.parse_diff(diffs).collect())), sorted(map(str, logs.parse_blame(files).collect()))) == whole
+
+
+def test_a_long_file_is_read_by_many_tasks(spark, tmp_path):
+    """Splits of a file are blocks; none of the windows holds more than one."""
+    (tmp_path / "lcov.info").write_text("".join(f"SF:f{i}\nDA:1,{i % 2}\nDA:2,1\n" + "end_of_record\n" * (i % 5 > 0) for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = carry.read_lines(spark, str(tmp_path / "lcov.info"))
+        assert lines.select("block").distinct().count() > 10
+        rows = logs.parse_lcov(lines).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["record"], r["file"], r["covered"]) for r in rows) == [(i + 1, f"f{i}", 1 + i % 2) for i in range(4000)]

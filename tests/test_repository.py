@@ -67,8 +67,9 @@ def test_refs(spark, repo):
     assert rows["old/it's-done"]["merged"] and not rows["open"]["merged"] and (rows["open"]["ahead"], rows["open"]["behind"]) == (1, 0)
     tags = {r["name"]: r for r in git.read(spark, str(repo), "tags").collect()}
     assert tags["v1.1.0-rc1"]["is_annotated"] and not tags["v1.0.0"]["is_annotated"] and tags["v1.0.0"]["sha"] == tags["v1.1.0-rc1"]["sha"]
-    parents = git.read(spark, str(repo), "parents").select("sha", "parent")
-    assert git.is_ancestor(parents, rows["old/it's-done"]["sha"], tags["v1.0.0"]["sha"]) and not git.is_ancestor(parents, rows["open"]["sha"], tags["v1.0.0"]["sha"])
+    tips = spark.createDataFrame([("tag", tags["v1.0.0"]["sha"])] + [(n, r["sha"]) for n, r in rows.items()], "tip string, node string")
+    standing = {r["tip"]: r["merged"] for r in git.standing(spark, str(repo), tips, "tag").collect()}
+    assert standing == {"tag": True, "old/it's-done": True, "open": False}
     assert git.read(spark, str(repo), "worktrees").count() == 1 and git.read(spark, str(repo), "stashes").count() == 0 and git.read(spark, str(repo), "notes").count() == 0
     assert git.current_branch(str(repo)) == git.default_branch(str(repo)) == "main" and not git.has_remote(str(repo)) and git.tracking_branch(str(repo), "main") is None
     assert not git.is_squash_merged(str(repo), "open", "main") and git.changed_files(str(repo), "open") == {"app.js"}
@@ -76,11 +77,19 @@ def test_refs(spark, repo):
         git.git(str(repo), "log", "nowhere")
 
 
+def test_many_branches_are_compared_in_one_pass(spark, repo, monkeypatch):
+    few = git.branches(spark, str(repo), "main")
+    monkeypatch.setattr(git, "FEW_BRANCHES", 0)
+    many = git.branches(spark, str(repo), "main")
+    key = ["name", "sha", "author", "ahead", "behind", "merged", "last_commit"]
+    assert [tuple(r) for r in few.select(key).collect()] == [tuple(r) for r in many.select(key).collect()]
+
+
 def test_blame_tree_diff(spark, repo):
     lines = logs.parse_blame(git.read(spark, str(repo), "blame", paths="lib/core.py\napp.js")).filter("path = 'lib/core.py'").collect()
     assert {r["author_email"] for r in lines} == {"ann@x", "bob@x"} and sorted(r["line_number"] for r in lines) == list(range(1, 6))
     assert logs.parse_tree(git.read(spark, str(repo), "tree")).count() == 3
-    diff = logs.parse_diff(git.read(spark, str(repo), "diff", range="main..open")).collect()
+    diff = logs.parse_diff(git.read(spark, str(repo), "diff", range="main..open")).orderBy("position").collect()
     assert [r["line_type"] for r in diff if r["line_type"] != "context"] == ["delete", "add"]
 
 
