@@ -159,6 +159,10 @@ _COUNTS = r"""counts AS (SELECT count(*) AS commits, count(*) FILTER (WHERE rege
       count(*) FILTER (WHERE hour(authored_ts) < 5) AS night, count(*) FILTER (WHERE files = 1) AS single_file, count(*) FILTER (WHERE starts_with(lower(subject), 'merge ')) AS merges, count(*) FILTER (WHERE length(trim(subject)) < 10) AS short,
       count(*) FILTER (WHERE regexp_matches(subject, '^(\w+)(?:\([^)]*\))?!?:\s')) AS conventional FROM (SELECT *, split_part(message, chr(10), 1) AS subject FROM v_totals)),
     paths AS (SELECT path, count(*) AS n FROM v_changes GROUP BY path), binaries AS (SELECT count(*) FILTER (WHERE lower(list_extract(string_split(path, '.'), -1)) IN ('png')) AS n FROM paths),
+    binary_names AS (SELECT string_agg(path, ',' ORDER BY path) AS names FROM paths WHERE lower(list_extract(string_split(path, '.'), -1)) IN ('png')),
+    hottest AS (SELECT path, n FROM paths WHERE n > 0.3::DOUBLE * (SELECT count(*) FROM v_commits) ORDER BY n DESC, path LIMIT 5),
+    hot_names AS (SELECT string_agg(path, ',' ORDER BY n DESC, path) AS names, string_agg(path || ' (' || CAST(n AS VARCHAR) || 'x)', '; ' ORDER BY n DESC, path) AS said FROM hottest),
+    extremes AS (SELECT max(insertions + deletions) AS largest, arg_min(CAST(sha AS VARCHAR), ordinal) FILTER (regexp_matches(split_part(message, chr(10), 1), '(?i)^(?:wip|work.in.progress)\b')) AS first_wip FROM v_totals),
     hot AS (SELECT count(*) FILTER (WHERE n > 0.3::DOUBLE * (SELECT count(*) FROM v_commits)) AS n FROM paths)"""
 _CONDITIONS = {
     "wip_in_main": ("medium", "wip", "wip > 0"), "large_commits": ("low", "large", "large > 0"), "possible_rebase": ("low", "rebased", "rebased > 0"), "empty_commits": ("low", "empty", "empty > 0"),
@@ -169,14 +173,33 @@ _CONDITIONS = {
 }
 
 
+def _evidence_sql(name: str, hits: str) -> str:
+    """What a rule says of its hits."""
+    share = lambda what: f"CAST({hits} AS VARCHAR) || '/' || CAST(commits AS VARCHAR) || ' commits (' || CAST(CAST(round_even({hits} / commits::DOUBLE * 100, 0) AS BIGINT) AS VARCHAR) || '%) {what}'"
+    count = lambda what: f"CAST({hits} AS VARCHAR) || ' {what}'"
+    return {
+        "wip_in_main": count("WIP commit(s): ") + " || (SELECT left(first_wip, 8) FROM extremes) || '...'", "large_commits": count("large commit(s), largest: ") + " || CAST((SELECT largest FROM extremes) AS VARCHAR) || ' lines'",
+        "possible_rebase": count("commit(s) with >1 day author/committer date gap"), "empty_commits": count("empty commit(s)"), "unsquashed_fixups": count("unsquashed fixup commit(s)"), "revert_chains": "CAST(nested_reverts AS VARCHAR) || ' revert-of-revert commit(s)'",
+        "weekend_warrior": share("on weekends"), "night_owl": share("late at night"), "single_file_commits": share("touch one file"), "binary_files": count("binary file(s) committed"), "merge_heavy": share("are merges"),
+        "short_messages": share("have short subjects"), "inconsistent_conventional": share("use conventional format"), "hotspot_files": "(SELECT said FROM hot_names)",
+    }[name]
+
+
 def _rule_sql(k: int, name: str) -> str:
     severity, hits, when = _CONDITIONS[name]
-    return f"SELECT CAST({k} AS BIGINT) AS ordinal, '{name}' AS name, '{severity}' AS severity, {hits} AS hits, commits, CASE WHEN commits > 0 THEN {hits} / commits::DOUBLE ELSE 0 END AS ratio FROM counts WHERE {when}"
+    files = {"binary_files": "(SELECT names FROM binary_names)", "hotspot_files": "(SELECT names FROM hot_names)"}.get(name, "''")
+    described = next(r.description for r in R.RULES if r.name == name)
+    return f"SELECT CAST({k} AS BIGINT) AS ordinal, '{name}' AS name, '{severity}' AS severity, {hits} AS hits, commits, CASE WHEN commits > 0 THEN {hits} / commits::DOUBLE ELSE 0 END AS ratio, '{described}' AS description, {_evidence_sql(name, hits)} AS evidence, {files} AS affected_files FROM counts WHERE {when}"
+
+
+def _shown(found):
+    """Lists of files as text, which all engines compare alike."""
+    return found.withColumn("affected_files", F.array_join("affected_files", ","))
 
 
 @query("patterns_all", f"WITH {_COUNTS} " + " UNION ALL ".join(_rule_sql(k, r.name) for k, r in enumerate(R.RULES)))
 def patterns_all(spark, sf_dir):
-    return R.detect(_totals(spark, sf_dir), B.changes(spark, sf_dir))
+    return _shown(R.detect(_totals(spark, sf_dir), B.changes(spark, sf_dir)))
 
 
 def _one_rule(k: int, rule: R.Rule) -> None:
@@ -189,7 +212,7 @@ def _one_rule(k: int, rule: R.Rule) -> None:
     @query("pattern_" + short[rule.name], f"WITH {counts} {_rule_sql(0, rule.name)}")
     def run(spark, sf_dir):
         commits, changes = (B.event_commits, B.event_changes) if events else (B.commits, B.changes)
-        return R.detect(H.with_totals(commits(spark, sf_dir), changes(spark, sf_dir)), changes(spark, sf_dir), [rule])
+        return _shown(R.detect(H.with_totals(commits(spark, sf_dir), changes(spark, sf_dir)), changes(spark, sf_dir), [rule]))
 
 
 for _k, _rule in enumerate(R.RULES):

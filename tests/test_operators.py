@@ -115,6 +115,19 @@ def test_rules(spark):
     assert "inconsistent_conventional" not in fired(spark, [{"message": "feat: a long one"}] * 10)
     hot = fired(spark, plain, [(f"s{k}", "hot.py", 1, 0) for k in range(4)] + [("s1", "x.PNG", 0, 0)])
     assert hot["hotspot_files"]["hits"] == 1 and hot["binary_files"]["hits"] == 1
+    assert (hot["hotspot_files"]["evidence"], hot["hotspot_files"]["affected_files"]) == ("hot.py (4x)", ["hot.py"])
+    assert (hot["binary_files"]["evidence"], hot["binary_files"]["affected_files"]) == ("1 binary file(s) committed", ["x.PNG"])
+    assert hot["single_file_commits"]["evidence"] == "10/10 commits (100%) touch one file" and hot["single_file_commits"]["affected_files"] == []
+
+
+def test_rules_say_what_they_saw(spark):
+    wip = fired(spark, [{"message": "a long message"}, {"message": "WIP: x"}, {"message": "wip y", "ins": 700}])
+    assert wip["wip_in_main"]["evidence"] == "2 WIP commit(s): s1..." and wip["wip_in_main"]["description"] == "WIP commits found on protected branch"
+    assert wip["large_commits"]["evidence"].startswith("1 large commit(s), largest: 70")
+    rows = [{}] * 10
+    busy = fired(spark, rows, [(f"s{k}", f"f{j}.py", 1, 0) for j in range(7) for k in range(4 + j % 3)])
+    assert busy["hotspot_files"]["hits"] == 7 and busy["hotspot_files"]["affected_files"] == ["f2.py", "f5.py", "f1.py", "f4.py", "f0.py"]
+    assert busy["hotspot_files"]["evidence"] == "f2.py (6x); f5.py (6x); f1.py (5x); f4.py (5x); f0.py (4x)"
 
 
 def test_own_rules_can_be_added(spark):
