@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..session import checkpointing
+
 #: Lines of a block where positions are numbers of lines.
 BLOCK = 1 << 17
 
@@ -30,23 +32,52 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "block", F.monotonically_increasing_id().alias("position"), "line")
 
 
-def carry(rows: DataFrame, keys: list[str], last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, block: str = "block", position: str = "position") -> DataFrame:
-    """Add running values to every row, its own included: the last value that is not null, or the sum.
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """Add ``block`` and ``position`` to rows that have no lines to number, by the columns of their order.
+
+    Blocks are ranges of the order with about as many rows each, whatever the values: Spark
+    samples them for its range partitioning.  What it finds is kept, so that all uses agree.
+    """
+    checkpointing(rows.sparkSession)
+    return rows.repartitionByRange(*order).withColumn("block", F.spark_partition_id().cast("long")).withColumn("position", F.struct(*order)).checkpoint()
+
+
+def carry(
+    rows: DataFrame, keys: list[str], last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, most: dict[str, Column] | None = None, block: str = "block", position: str = "position"
+) -> DataFrame:
+    """Add running values to every row, its own included: the last value that is not null, the sum, or the greatest value.
 
-    Rows of a key go by ``block`` and ``position``.  ``last`` and ``total`` name the new
-    columns; sums begin at 0, last values at null.
+    Rows of a key go by ``block`` and ``position``.  ``last``, ``total`` and ``most`` name
+    the new columns; sums begin at 0, the others at null.
     """
-    last, total = last or {}, total or {}
+    last, total, most = last or {}, total or {}, most or {}
+    total = {n: c.cast("long") for n, c in total.items()}
     here = W.partitionBy(*keys, block).orderBy(position).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    effects = [F.max_by(c, F.when(c.isNotNull(), F.col(position))).alias(n) for n, c in last.items()] + [F.sum(c.cast("long")).alias(n) for n, c in total.items()]
-    states = [F.last(n, ignorenulls=True).over(before).alias(f"before_{n}") for n in last] + [F.coalesce(F.sum(n).over(before), zero).alias(f"before_{n}") for n in total]
-    folded = rows.groupBy(*keys, block).agg(*effects).select(*(F.col(k).alias(f"carry_{k}") for k in keys), F.col(block).alias("carry_block"), *states)
-    replayed = rows.withColumns({f"own_{n}": F.last(c, ignorenulls=True).over(here) for n, c in last.items()} | {f"own_{n}": F.sum(c.cast("long")).over(here) for n, c in total.items()})
+    added = (*last, *total, *most)
+    effects = [F.max_by(c, F.when(c.isNotNull(), F.col(position))).alias(n) for n, c in last.items()] + [F.sum(c).alias(n) for n, c in total.items()] + [F.max(c).alias(n) for n, c in most.items()]
+    states = [F.last(n, ignorenulls=True).over(before) for n in last] + [F.coalesce(F.sum(n).over(before), zero) for n in total] + [F.max(n).over(before) for n in most]
+    folded = rows.groupBy(*keys, block).agg(*effects).select(*(F.col(k).alias(f"carry_{k}") for k in keys), F.col(block).alias("carry_block"), *(c.alias(f"before_{n}") for c, n in zip(states, added, strict=True)))
+    own = {n: F.last(c, ignorenulls=True).over(here) for n, c in last.items()} | {n: F.sum(c).over(here) for n, c in total.items()} | {n: F.max(c).over(here) for n, c in most.items()}
     same = F.col(block) == F.col("carry_block")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"carry_{k}"))
-    joined = replayed.join(folded, same)
-    found = [F.coalesce(f"own_{n}", f"before_{n}").alias(n) for n in last] + [(F.coalesce(f"own_{n}", zero) + F.col(f"before_{n}")).alias(n) for n in total]
-    return joined.select(*(c for c in rows.columns if c not in last and c not in total), *found)
+    joined = rows.withColumns({f"own_{n}": c for n, c in own.items()}).join(folded, same)
+    found = {n: F.coalesce(f"own_{n}", f"before_{n}") for n in last} | {n: F.coalesce(f"own_{n}", zero) + F.col(f"before_{n}") for n in total} | {n: F.greatest(f"own_{n}", f"before_{n}") for n in most}
+    return joined.select(*(c for c in rows.columns if c not in added), *(c.alias(n) for n, c in found.items()))
+
+
+def uncovered(points: DataFrame, intervals: DataFrame, key: str, at: str, first: str, last: str) -> DataFrame:
+    """The rows of ``points`` that lie in no closed interval ``(key, first, last)`` of their key.
+
+    Starts of intervals and points are put in one order.  A point is covered if the
+    greatest end of the intervals that begin up to it reaches it, so one scan decides
+    all, and neither the intervals of a key nor its points meet in one task.
+    Points without key or place are in none.
+    """
+    ends = intervals.filter(F.col(key).isNotNull() & F.col(first).isNotNull()).select(F.col(key).alias("sweep_key"), F.col(first).alias("sweep_at"), F.lit(0).alias("sweep_kind"), F.col(last).alias("sweep_end"))
+    asked = points.select(F.col(key).alias("sweep_key"), F.col(at).alias("sweep_at"), F.lit(1).alias("sweep_kind"), F.struct(*points.columns).alias("sweep_row"))
+    both = in_order(asked.unionByName(ends, allowMissingColumns=True), "sweep_key", "sweep_at", "sweep_kind")
+    swept = carry(both, ["sweep_key"], most={"sweep_reach": F.col("sweep_end")})
+    return swept.filter("sweep_kind = 1 and not coalesce(sweep_reach >= sweep_at, false)").select("sweep_row.*")

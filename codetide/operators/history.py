@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import commits as C, text as X
+from .carry import carry, in_order
 
 RUNNING = (W.unboundedPreceding, 0)
 
@@ -89,38 +90,30 @@ def work_weekdays(activity: DataFrame) -> DataFrame:
     return activity.groupBy("author_email").agg(bins.alias("weekdays"))
 
 
-def _running(frame: DataFrame, value: str, keys: list[str], order: list[str], out: str, block: str) -> DataFrame:
-    """A running sum in two levels: ``block`` groups rows that are consecutive in ``order``.
-
-    Without keys a plain running window would sort everything in one task; here
-    only the block totals are.
-    """
-    totals = frame.groupBy(*keys, block).agg(F.sum(value).alias("__total"))
-    before = F.sum("__total").over(W.partitionBy(*keys).orderBy(block).rowsBetween(*RUNNING)) - F.col("__total")
-    totals = totals.select(*keys, block, before.alias("__before"))
-    inside = F.sum(value).over(W.partitionBy(*keys, block).orderBy(*order).rowsBetween(*RUNNING))
-    return frame.withColumn("__inside", inside).join(totals, [*keys, block]).withColumn(out, _long(F.col("__before") + F.col("__inside"))).drop("__before", "__inside")
+def _running(frame: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
+    """A running sum by time, then by ordinal, in blocks of about as many rows each: only their totals meet in one task."""
+    return carry(in_order(frame, "authored_ts", "ordinal"), keys, total={out: F.col(value)})
 
 
 def loc_timeline(commits: DataFrame) -> DataFrame:
     """Cumulative net lines after each commit, by time, then by ordinal."""
-    days = commits.select("sha", "authored_ts", "ordinal", (F.col("insertions") - F.col("deletions")).alias("net"), F.to_date("authored_ts").alias("day"))
-    return _running(days, "net", [], ["authored_ts", "ordinal"], "value", "day").select("sha", "authored_ts", "ordinal", "value")
+    rows = commits.select("sha", "authored_ts", "ordinal", (F.col("insertions") - F.col("deletions")).alias("net"))
+    return _running(rows, "net", [], "value").select("sha", "authored_ts", "ordinal", "value")
 
 
 def language_timeline(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """Cumulative net lines for each extension, with one point for each commit that touches it."""
     net = changes.groupBy("sha", X.extension(F.col("path")).alias("ext")).agg(F.sum(F.col("insertions") - F.col("deletions")).alias("net"))
-    points = net.join(commits.select("sha", "authored_ts", "ordinal"), "sha").withColumn("day", F.to_date("authored_ts"))
-    return _running(points, "net", ["ext"], ["authored_ts", "ordinal"], "value", "day").select("ext", "sha", "authored_ts", "value")
+    points = net.join(commits.select("sha", "authored_ts", "ordinal"), "sha")
+    return _running(points, "net", ["ext"], "value").select("ext", "sha", "authored_ts", "value")
 
 
 def team_growth(activity: DataFrame) -> DataFrame:
     """How many authors have been seen after each commit."""
     first = activity.groupBy("author_email").agg(F.min(F.struct("authored_ts", "ordinal")).alias("first")).select("first.*", F.lit(1).alias("is_first"))
     joined = activity.select("sha", "authored_ts", "ordinal").join(first.groupBy("authored_ts", "ordinal").agg(F.sum("is_first").alias("new")), ["authored_ts", "ordinal"], "left")
-    flagged = joined.select("sha", "authored_ts", "ordinal", F.coalesce("new", F.lit(0)).alias("new"), F.to_date("authored_ts").alias("day"))
-    return _running(flagged, "new", [], ["authored_ts", "ordinal"], "value", "day").select("sha", "authored_ts", "value")
+    flagged = joined.select("sha", "authored_ts", "ordinal", F.coalesce("new", F.lit(0)).alias("new"))
+    return _running(flagged, "new", [], "value").select("sha", "authored_ts", "value")
 
 
 def commit_streaks(activity: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as M, languages as L, text as X
 from ..operators import duplication as D, history as H, ordering, rules as R, structure as S
+from ..operators.carry import uncovered
 from . import bridge as B
 from .registry import query
 
@@ -347,6 +348,5 @@ def annotations(spark, sf_dir):
 )
 def range_anti(spark, sf_dir):
     methods = B.methods(spark, sf_dir)
-    regions = methods.filter("parameters = 1").select(F.col("path").alias("c_path"), F.col("line").alias("first"), (F.col("line") + F.col("lines")).alias("last"))
-    free = methods.filter("parameters > 2").select("path", "line")
-    return free.join(regions, (F.col("path") == F.col("c_path")) & F.col("line").between(F.col("first"), F.col("last")), "left_anti")
+    regions = methods.filter("parameters = 1").select("path", F.col("line").alias("first"), (F.col("line") + F.col("lines")).alias("last"))
+    return uncovered(methods.filter("parameters > 2").select("path", "line"), regions, "path", "line", "first", "last")

@@ -45,4 +45,4 @@ def test_all_queries_have_sql():
 
 def test_running_windows_never_sort_everything_in_one_task(spark):
     plan = entry.queries()["loc_timeline"](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
-    assert "windowspecdefinition(day#" in plan
+    assert "windowspecdefinition(block#" in plan
