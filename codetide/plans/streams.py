@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import watch as S
+from ..session import shared_folder
+from ..shipping import ship
+from ..streaming import totals as T, watch as S
 from . import bridge as B
 from .registry import query
 
@@ -30,3 +32,19 @@ def activity_windows(spark, sf_dir):
 )
 def activity_sessions(spark, sf_dir):
     return _local(S.activity_sessions(_events(spark, sf_dir)))
+
+
+@query(
+    "watch_totals",
+    """WITH own AS (SELECT user_id, event_type, CAST(floor(abs(coalesce(value, 0))) AS BIGINT) AS lines, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    changed AS (SELECT event_type AS language, count(*) AS changes FROM own GROUP BY event_type), last AS (SELECT event_type AS language, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines FROM own WHERE k = 1 GROUP BY event_type)
+    SELECT language, coalesce(files, 0) AS files, coalesce(lines, 0) AS lines, changes FROM changed LEFT JOIN last USING (language)""",
+)
+def watch_totals(spark, sf_dir):
+    """Events as changes of each user's file, as a stream that ends when all are read."""
+    ship(spark)
+    events = spark.readStream.schema(B.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    changes = events.select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("language"), F.floor(F.abs(F.coalesce("value", F.lit(0.0)))).cast("long").alias("lines"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    folder = shared_folder(spark, "watch")
+    T.keep_totals(changes, f"{folder}/totals", f"{folder}/checkpoint").awaitTermination()
+    return T.totals(spark, f"{folder}/totals")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +30,10 @@ def checkpointing(spark: SparkSession) -> None:
     if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codetide-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, which the driver and all executors see."""
+    checkpointing(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
