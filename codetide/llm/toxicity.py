@@ -131,12 +131,14 @@ def joined(found: Sequence[bytes]) -> bytes:
 
 
 def windows(text: str, n: int) -> list[bytes]:
-    """Runs of ``n`` words, one after the other; the last may be shorter, also at the end of each ``PART``."""
-    out = []
+    """Runs of ``n`` words, one after the other; the last may be shorter.  A text is read part by part, which changes nothing."""
+    out, rest = [], []
     for part in parts(text, PART, drop=True):
-        found = words(part)
-        out += [joined(found[i : i + n]) for i in range(0, len(found), n)]
-    return out
+        found = rest + words(part)
+        whole = len(found) - len(found) % n
+        out += [joined(found[i : i + n]) for i in range(0, whole, n)]
+        rest = found[whole:]
+    return out + [joined(rest)] if rest else out
 
 
 def compressor(content: bytes, settings: ToxicitySettings) -> zstd.ZstdCompressor:

@@ -131,3 +131,11 @@ def test_long_texts_are_cut_into_windows_part_by_part(monkeypatch):
     monkeypatch.setattr(toxicity, "PART", 500)
     cut = toxicity.windows(text, 8)
     assert b" ".join(whole).split() == b" ".join(cut).split()
+
+
+def test_parts_change_no_window(monkeypatch):
+    text = " ".join(f"word{i} and É{i % 7}," for i in range(500))
+    whole = toxicity.windows(text, 8)
+    assert len(whole) == -(-1500 // 8)
+    monkeypatch.setattr(toxicity, "PART", 100)
+    assert toxicity.windows(text, 8) == whole and toxicity.windows("", 8) == []
