@@ -280,9 +280,9 @@ def shared_words(prints: DataFrame) -> DataFrame:
     the node with the smallest id that has it.
     """
     words = prints.select("node", "size", F.posexplode("prefix").alias("at", "word"))
-    within = W.partitionBy("word")
-    met = words.select("*", F.min(F.struct("node", "size", "at")).over(within).alias("least"), F.max("node").over(within).alias("most"))
-    return met.filter("least.node <> most").drop("most")
+    # Sums before the shuffle and a join that Spark may split: no task gets all rows of a word that very many nodes have.
+    ends = words.groupBy("word").agg(F.min(F.struct("node", "size", "at")).alias("least"), F.max("node").alias("most"))
+    return words.join(ends.filter("least.node <> most").select("word", "least"), "word").select("node", "size", "at", "word", "least")
 
 
 def _may_reach(similarity: float, size: Column, at: Column, other_size: Column, other_at: Column) -> Column:
@@ -325,10 +325,9 @@ def star_pairs(shared: DataFrame, similarity: float, tries: int = 2) -> DataFram
 
 def mixed_words(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """``(word, node, size, at, root)`` of the words whose nodes are in several components of ``roots(node, root)``."""
-    within = W.partitionBy("word")
     rooted = shared.join(roots, "node", "left").select("word", "node", "size", "at", F.coalesce("root", "node").alias("root"))
-    rooted = rooted.select("*", F.min("root").over(within).alias("low"), F.max("root").over(within).alias("high"))
-    return rooted.filter("low <> high").drop("low", "high")
+    several = rooted.groupBy("word").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("word")
+    return rooted.join(several, "word").select("word", "node", "size", "at", "root")
 
 
 def bridge_pairs(mixed: DataFrame, similarity: float, turn: int = 0, tries: int = 2) -> DataFrame:
@@ -336,11 +335,9 @@ def bridge_pairs(mixed: DataFrame, similarity: float, turn: int = 0, tries: int
 
     It is the smallest node of the smallest component at first, and one picked by a hash at each later ``turn``.
     """
-    within = W.partitionBy("word")
     rank = lambda c: F.col(c) if turn == 0 else F.xxhash64(c, F.lit(turn))
-    picked = mixed.withColumn("low", F.min(F.struct(rank("root").alias("rank"), "root")).over(within)["root"])
-    least = F.min(F.when(F.col("root") == F.col("low"), F.struct(rank("node").alias("rank"), "node", "size", "at"))).over(within)
-    found = picked.withColumn("least", least).filter(F.col("root") != F.col("low"))
+    least = mixed.groupBy("word").agg(F.min(F.struct(rank("root").alias("root_rank"), "root", rank("node").alias("rank"), "node", "size", "at")).alias("least"))
+    found = mixed.join(least, "word").filter(F.col("root") != F.col("least.root"))
     own, other = F.struct("node", "size", "at"), F.struct("least.node", "least.size", "least.at")
     larger = F.col("node") > F.col("least.node")
     pairs = found.select(F.when(larger, own).otherwise(other).alias("own"), F.when(larger, other).otherwise(own).alias("least"))
