@@ -192,6 +192,13 @@ def run_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("path"), F.col("l_returnflag").alias("run"), F.col("l_orderkey").alias("line"))
 
 
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shell pattern for each part: its file in any folder, all files of a number's start, or a suffix."""
+    key = F.col("p_partkey").cast("string")
+    kinds = (F.concat(F.lit("*/file"), key, F.lit(".*")), F.concat(F.lit("pkg?/file"), key, F.lit("*.[pj]?")), F.concat(F.lit("pkg"), key, F.lit("/*.md")))
+    return table(spark, sf_dir, "part").select(F.element_at(F.array(*kinds), (F.col("p_partkey") % 3 + 1).cast("int")).alias("pattern"))
+
+
 VIEWS = {
     "v_commits": "SELECT o_orderkey AS sha, 'Author ' || CAST(o_custkey % 500 AS VARCHAR) AS author_name, 'u' || CAST(o_custkey AS VARCHAR) || '@example.org' AS author_email, o_orderdate + to_hours(CAST(o_orderkey % 24 AS BIGINT)) AS authored_ts, o_orderdate + to_hours(CAST(o_orderkey % 24 + o_orderkey % 40 AS BIGINT)) AS committed_ts, " + _pick_sql("o_orderkey", MESSAGES) + " || chr(10) || o_orderpriority AS message, o_orderkey AS ordinal FROM orders",
     "v_changes": "SELECT l_orderkey AS sha, " + _PATH_SQL.format(k="l_partkey") + " AS path, CAST(l_quantity AS BIGINT) AS insertions, CAST(round(l_discount * 100) AS BIGINT) AS deletions FROM lineitem",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formats as M, languages as L, text as X
-from ..operators import duplication as D, history as H, ordering, rules as R, structure as S
+from ..operators import duplication as D, history as H, ordering, rules as R, search as Q, structure as S
 from ..operators.carry import uncovered
 from . import bridge as B
 from .registry import query
@@ -350,3 +350,15 @@ def range_anti(spark, sf_dir):
     methods = B.methods(spark, sf_dir)
     regions = methods.filter("parameters = 1").select("path", F.col("line").alias("first"), (F.col("line") + F.col("lines")).alias("last"))
     return uncovered(methods.filter("parameters > 2").select("path", "line"), regions, "path", "line", "first", "last")
+
+
+@query("document_search", "SELECT doc_id, lang FROM documents WHERE contains(lower(lang || text), 'thent')")
+def document_search(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return Q.search(docs, Q.index(docs, "doc_id", "lang", "text"), "doc_id", "THent", "lang", "text").select("doc_id", "lang")
+
+
+@query("pattern_join", """WITH names AS (SELECT DISTINCT path AS name FROM v_changes), patterns AS (SELECT CASE p_partkey % 3 WHEN 0 THEN '*/file' || CAST(p_partkey AS VARCHAR) || '.*' WHEN 1 THEN 'pkg?/file' || CAST(p_partkey AS VARCHAR) || '*.[pj]?' ELSE 'pkg' || CAST(p_partkey AS VARCHAR) || '/*.md' END AS pattern FROM part)
+    SELECT name, pattern FROM names JOIN (SELECT DISTINCT pattern FROM patterns) ON name GLOB pattern""")
+def pattern_join(spark, sf_dir):
+    return Q.matches(B.changes(spark, sf_dir), B.patterns(spark, sf_dir), "path")
