@@ -61,7 +61,7 @@ def _below(node: ast.AST) -> Iterator[tuple[ast.AST, ast.AST]]:
         yield from ((child, node) for child in ast.iter_child_nodes(node))
         return
     for statement in (*node.body, *node.orelse, *node.finalbody):
-        yield from _below(statement)
+        yield from ((child, statement) for child in ast.iter_child_nodes(statement))
     yield from ((handler, node) for handler in node.handlers)
 
 

@@ -354,3 +354,8 @@ def test_a_long_file_is_read_by_many_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r["record"], r["file"], r["covered"]) for r in rows) == [(i + 1, f"f{i}", 1 + i % 2) for i in range(4000)]
+
+
+def test_a_try_directly_in_a_try():
+    source = "def f(x):\n    try:\n        try:\n            if x:\n                pass\n        finally:\n            pass\n    finally:\n        pass\n"
+    assert python.parse(source).functions[0].cognitive == 2
