@@ -180,7 +180,7 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def porcelain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blame of parts: a line for each of a part's line items; a header names its author only at the first line of an order."""
-    items = table(spark, sf_dir, "lineitem")
+    items = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"))
     key, number, supplier = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey").cast("string")
     said = F.when(number == 1, F.array(F.concat(F.lit("author A "), supplier), F.concat(F.lit("author-mail <a"), supplier, F.lit("@x>")), F.concat(F.lit("author-time "), (key * 1000).cast("string")))).otherwise(F.array().cast("array<string>"))
     head = F.concat(F.lpad(F.lower(F.hex(key)), 40, "0"), F.lit(" 1 "), (key * 8 + number).cast("string"), F.lit(" 1"))
@@ -218,7 +218,7 @@ VIEWS = {
     "v_graph_links": "SELECT node, parent FROM v_graph_own UNION SELECT node, of_stem FROM v_graph_met WHERE NOT is_stem AND (parent IS NULL OR priority = '1-URGENT') UNION SELECT node, of_twig FROM v_graph_met WHERE is_stem AND priority = '2-HIGH'",
     "v_graph_tips": "SELECT branch AS tip, arg_max(node, {'a': made, 'n': node}) AS node FROM v_graph_commits GROUP BY branch",
     "v_trace": "SELECT o_orderkey * 32 AS position, 'SF:src/c' || CAST(o_custkey AS VARCHAR) AS line FROM orders UNION ALL SELECT o_orderkey * 32 + CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 5 ELSE 31 END, 'end_of_record' FROM orders WHERE o_orderpriority <> '5-LOW' UNION ALL SELECT l_orderkey * 32 + l_linenumber * 2, 'DA:' || CAST(l_linenumber AS VARCHAR) || ',' || CAST(CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS VARCHAR) FROM lineitem",
-    "v_porcelain": "SELECT path, spot + k AS position, line FROM (SELECT l_partkey AS path, l_orderkey * 64 + l_linenumber * 8 AS spot, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM (SELECT *, list_concat([lpad(lower(to_hex(l_orderkey)), 40, '0') || ' 1 ' || CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) || ' 1'], list_concat(CASE WHEN l_linenumber = 1 THEN ['author A ' || CAST(l_suppkey AS VARCHAR), 'author-mail <a' || CAST(l_suppkey AS VARCHAR) || '@x>', 'author-time ' || CAST(l_orderkey * 1000 AS VARCHAR)] ELSE [] END, [chr(9) || 'code'])) AS lines FROM lineitem))",
+    "v_porcelain": "SELECT path, spot + k AS position, line FROM (SELECT l_partkey AS path, l_orderkey * 64 + l_linenumber * 8 AS spot, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM (SELECT *, list_concat([lpad(lower(to_hex(l_orderkey)), 40, '0') || ' 1 ' || CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) || ' 1'], list_concat(CASE WHEN l_linenumber = 1 THEN ['author A ' || CAST(l_suppkey AS VARCHAR), 'author-mail <a' || CAST(l_suppkey AS VARCHAR) || '@x>', 'author-time ' || CAST(l_orderkey * 1000 AS VARCHAR)] ELSE [] END, [chr(9) || 'code'])) AS lines FROM (SELECT l_partkey, l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)))",
     "v_files": "SELECT s.path, s.language, s.size_bytes, s.ordinal, coalesce(count(l.line), 0) AS total_lines, count(*) FILTER (WHERE l.line = '') AS blank_lines, count(*) FILTER (WHERE l.line LIKE 'The%' OR l.line LIKE 'To %') AS comment_lines, count(l.line) - count(*) FILTER (WHERE l.line = '') - count(*) FILTER (WHERE l.line LIKE 'The%' OR l.line LIKE 'To %') AS code_lines FROM v_sources s LEFT JOIN v_lines l ON s.path = l.path GROUP BY ALL",
     "v_code": "SELECT page_id AS path, regexp_replace(html, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM pages",
     "v_methods": "SELECT " + _PATH_SQL.format(k="l_partkey") + " AS path, 'Class' || CAST(l_suppkey % 3 AS VARCHAR) AS class_name, 'm' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS name, CAST(l_linenumber * 10 AS BIGINT) AS line, CAST(l_quantity AS BIGINT) AS lines, l_suppkey % 14 AS cyclomatic, CAST(round(l_tax * 100) * 3 AS BIGINT) AS cognitive, CAST(l_linenumber AS BIGINT) AS parameters, l_partkey % 7 AS nesting FROM lineitem",
