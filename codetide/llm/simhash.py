@@ -12,14 +12,15 @@ Two searches are here:
   ``hot`` says, their pairs are not listed: each such fingerprint publishes the
   one-bit ball of its whole fingerprint, and all that publish the same word are
   within two bits of each other, so a link to the smallest of them loses nothing.
-* :func:`keep_one_per_group` serves similarity thresholds, for which distances are
-  far larger than balls can reach.  It uses no fingerprints but prefixes of the
-  shingle sets, which is exact: see :func:`prefixes`.
+* :func:`keep_one_per_group` serves similarity thresholds.  It begins with the
+  fingerprints' matches of the first search and verifies the similarity of each.  At
+  0.8 distances go far beyond what balls can reach, so a search by prefixes of the
+  shingle sets finds the pairs that are left, which makes it exact: see :func:`prefixes`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from math import ceil
 
@@ -86,15 +87,20 @@ def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
         yield np.array([digest(flat[a:b], SEED) for a, b in spans], np.uint64)
 
 
-def bit_margins(text: str, words: int) -> np.ndarray:
+def bit_margins(hashes: Iterable[np.ndarray]) -> np.ndarray:
     """For each bit, highest first: twice the hashes that set it, less all; no shingles give zeros."""
     sums, n = np.zeros(64, np.int64), 0
-    for part in shingle_hashes(text, words):
+    for part in hashes:
         sums += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
         n += len(part)
     return 2 * sums - n
 
 
+def fingerprint(hashes: Iterable[np.ndarray]) -> int:
+    """The fingerprint of :func:`shingle_hashes`, as a long."""
+    return int(np.packbits(bit_margins(hashes) > 0).view(">i8")[0])
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp long)`` for every row: a bit is set if over half the shingles' hashes set it.
 
@@ -106,7 +112,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
         for batch in batches:
             out = np.zeros(batch.num_rows, np.int64)
             for i, text in enumerate(batch.column(1)):
-                out[i] = np.packbits(bit_margins(text.as_py() or "", words) > 0).view(">i8")[0]
+                out[i] = fingerprint(shingle_hashes(text.as_py() or "", words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -197,7 +203,11 @@ FEW_ROWS = 1 << 20
 
 def hash_set(text: str, words: int) -> np.ndarray:
     """The different hashes of a text's shingles, smallest first."""
-    parts = [np.unique(p) for p in shingle_hashes(text, words)]
+    return _different(shingle_hashes(text, words))
+
+
+def _different(hashes: Iterable[np.ndarray]) -> np.ndarray:
+    parts = [np.unique(p) for p in hashes]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -224,6 +234,9 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 #: Rounds of bridges between components before all pairs that are left are compared.
 BRIDGES = 1
+#: Nodes that make a word crowded, and rounds of :func:`crowd_pairs` over such words at most.
+CROWD = 64
+CROWD_ROUNDS = 3
 #: Words before a word that tell whether a pair has shown before.
 EARLIER = 6
 #: Longs of a set's signature: the parity of how many of its hashes fall on each of 64 times as many bits.
@@ -242,11 +255,11 @@ def _ceil(x: float) -> int:
 
 
 def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``docs(id, row, text)`` -> ``(id, row, node, size, prefix, bits)``: the first shingles of every row's set in one fixed order.
+    """``docs(id, row, text)`` -> ``(id, row, node, fp, size, prefix, bits)``: the first shingles of every row's set in one fixed order.
 
     ``node`` is a hash of the words in lower case: rows that differ only in case
     or white space share it.  (Two of n texts share it by chance with odds of
-    n * n / 2 ** 65.)  Shingles stand for their hashes.  ``size`` is how many
+    n * n / 2 ** 65.)  ``fp`` is the fingerprint.  Shingles stand for their hashes.  ``size`` is how many
     different ones there are.  Sets with at least the ``similarity`` have
     ``similarity * size`` in common, so both have one of those among their first
     ``size - similarity * size + 1``, which is the ``prefix``.  ``bits`` is the :func:`signature`.
@@ -256,21 +269,23 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = common.value
         for batch in batches:
-            nodes, sizes, firsts, bits = [], [], [], []
+            nodes, prints, sizes, firsts, bits = [], [], [], [], []
             for text in batch.column(2):
                 text = text.as_py() or ""
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(text.encode().lower().split())) - (1 << 63))
-                found = hash_set(text, words)
+                hashes = list(shingle_hashes(text, words))
+                prints.append(fingerprint(hashes))
+                found = _different(hashes)
                 sizes.append(len(found))
                 bits.append(signature(found))
                 if len(known) and len(found):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     found = found[np.lexsort((found, np.where(known[at] == found, often[at], 0)))]
                 firsts.append(found[: len(found) - _ceil(similarity * len(found)) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (firsts, bits))], names=["id", "row", "node", "size", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (nodes, prints, sizes)), *(pa.array(x, pa.list_(pa.int64())) for x in (firsts, bits))], names=["id", "row", "node", "fp", "size", "prefix", "bits"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, row string, node long, size long, prefix array<long>, bits array<long>")
+    return docs.mapInArrow(run, f"id {kind}, row string, node long, fp long, size long, prefix array<long>, bits array<long>")
 
 
 def shared_words(prints: DataFrame) -> DataFrame:
@@ -311,6 +326,18 @@ def _bits_allow(similarity: float, a: str, b: str) -> Column:
     return differ <= (F.col(f"{a}size") + F.col(f"{b}size")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
 
 
+def print_pairs(marks: DataFrame, distance: int = 2) -> DataFrame:
+    """Pairs ``(node, other)`` of ``marks(node, fp)`` that multi-index hashing finds; see :func:`near_links`.
+
+    A fingerprint stands for its smallest node, with which its other nodes are paired.
+    """
+    least = stage(marks.groupBy("fp").agg(F.min("node").alias("least")), "print-nodes")
+    same = marks.join(least, "fp").filter("node <> least").select("node", F.col("least").alias("other"))
+    u, v = (least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node")) for c in "uv")
+    near = near_links(least.select("fp"), distance).join(u, "u").join(v, "v")
+    return same.unionByName(near.select(F.greatest("u_node", "v_node").alias("node"), F.least("u_node", "v_node").alias("other")))
+
+
 def star_pairs(shared: DataFrame, similarity: float, tries: int = 2) -> DataFrame:
     """Pairs ``(node, other)`` of each node and the smallest node of a word, for the ``tries`` such nodes with most words in common.
 
@@ -344,6 +371,31 @@ def bridge_pairs(mixed: DataFrame, similarity: float, turn: int = 0, tries: int
     return star_pairs(pairs.select("own.node", "own.size", "own.at", "least"), similarity, tries)
 
 
+def crowded_words(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mixed`` whose words more than ``CROWD`` nodes have."""
+    crowded = mixed.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("word")
+    return mixed.join(crowded, "word")
+
+
+def crowd_pairs(crowded: DataFrame, marks: DataFrame, similarity: float, turn: int = 0) -> DataFrame:
+    """Pairs ``(node, other)`` of a word's nodes that have a piece of the fingerprint in common: each with one of them.
+
+    Pieces are the whole of ``marks(node, fp)``, halves, quarters and bytes, of which the wide ones
+    part large groups and the narrow ones meet far pairs.  Each ``turn`` cuts elsewhere and picks
+    another node, so that a group of texts around the threshold, most of which aren't similar to
+    each other, becomes few components before :func:`rest_pairs` compares what is left.
+    """
+    shift = 3 * turn % 64
+    fp = F.shiftleft("fp", shift).bitwiseOR(F.shiftrightunsigned("fp", 64 - shift)) if shift else F.col("fp")
+    pieces = F.array(*(F.struct(F.lit(width + i).alias("cut"), F.shiftrightunsigned(F.shiftleft(fp, 64 - width * (i + 1)), 64 - width).alias("bits")) for width in (64, 32, 16, 8) for i in range(64 // width)))
+    keyed = crowded.join(marks, "node").select("word", "node", "size", "at", "root", F.explode(pieces).alias("piece"))
+    picked = keyed.groupBy("word", "piece").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "size", "at", "root")).alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
+    found = keyed.join(picked.filter("low <> high").select("word", "piece", "least"), ["word", "piece"])
+    able = _may_reach(similarity, F.col("size"), F.col("at"), F.col("least.size"), F.col("least.at"))
+    found = found.filter((F.col("root") != F.col("least.root")) & able)
+    return found.select(F.greatest("node", "least.node").alias("node"), F.least("node", "least.node").alias("other")).distinct()
+
+
 def rest_pairs(mixed: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
     """All pairs ``(node, other)`` that may be similar and that are in different components.
 
@@ -370,9 +422,9 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
     Groups are components of texts whose ``words``-shingle sets have at least the
-    given Jaccard similarity, above 0; candidates come from :func:`star_pairs`,
-    :func:`bridge_pairs` and :func:`rest_pairs`, of which the last loses none that
-    the others leave, and each is verified on the texts themselves.  Texts that differ only in case or white space are one node.  Rows
+    given Jaccard similarity, above 0; candidates come from :func:`print_pairs`,
+    :func:`star_pairs`, :func:`crowd_pairs`, :func:`bridge_pairs` and :func:`rest_pairs`, of
+    which the last loses none that the others leave, and each is verified on the texts themselves.  Texts that differ only in case or white space are one node.  Rows
     equal in id and text count as one, of which one stays; null ids come last.  A
     null text counts as empty, and texts without words form one group.  All columns
     of ``docs`` stay as they are, whatever their names.  An empty table gives no rows.
@@ -386,6 +438,7 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     chosen = prints.select("node", "size", "prefix").dropDuplicates(["node"])
     signed = prints.dropDuplicates(["node"]).select("node", "size", *(F.col("bits")[i].alias(f"b{i}") for i in range(SIGNATURE)))
     signed = stage(signed, "signatures")
+    marks = stage(prints.groupBy("node").agg(F.min("fp").alias("fp")), "marks")
 
     @F.arrow_udf("boolean")
     def alike(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -409,9 +462,29 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
         return links
 
     shared = stage(shared_words(chosen), "shared")
-    links = links_of(signed_pairs(star_pairs(shared, similarity), signed, similarity), "star")
+    drop_stage(prints)
+    first_pairs = print_pairs(marks).unionByName(star_pairs(shared, similarity)).distinct()
+    links = links_of(signed_pairs(first_pairs, signed, similarity), "first")
     roots = components(links, "similar")
     mixed = stage(mixed_words(shared, roots), "mixed")
+    drop_stage(shared)
+    crowded = stage(crowded_words(mixed), "crowded")
+    met = 0
+    for turn in range(CROWD_ROUNDS):
+        more = links_of(signed_pairs(crowd_pairs(crowded, marks, similarity, turn), signed, similarity), "crowd")
+        if not (new := more.count()):
+            break
+        met += new
+        links = stage(links.unionByName(more), "links")
+        roots = components(links, "similar")
+        crowded, old = stage(mixed_words(crowded.drop("root"), roots), "crowded"), crowded
+        drop_stage(old)
+        if new * 200 < crowded.count():
+            break
+    if met:
+        mixed, old = stage(mixed_words(mixed.drop("root"), roots), "mixed"), mixed
+        drop_stage(old)
+    drop_stage(crowded)
     for turn in range(BRIDGES):
         more = links_of(signed_pairs(bridge_pairs(mixed, similarity, turn), signed, similarity), "bridge")
         if more.isEmpty():
@@ -425,5 +498,5 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, words: int = 5,
         roots = components(links.unionByName(more), "similar")
     labelled = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = stage(labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row_col)), "kept")
-    drop_stage(shared, mixed, signed, prints, nodes)
+    drop_stage(mixed, signed, marks, nodes)
     return docs.withColumn(row_col, row_id).join(kept.hint("merge"), row_col, "left_semi").dropDuplicates([row_col]).select(*docs.columns)

@@ -221,3 +221,48 @@ def test_every_pair_at_the_threshold(spark):
     kept = simhash.keep_one_per_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     # "one two" and "ONE  two" are one node.
     assert sorted(r["doc_id"] for r in kept) == [i for i in brute_groups(texts) if i != 2]
+
+
+def test_the_named_method_finds_copies_first(spark, monkeypatch):
+    """Texts that differ by a trifle meet by their fingerprints; without those searches' links the stage has none of its own."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(40):
+        text = [f"w{x}" for x in rng.integers(0, 10**6, 600)]
+        texts += [" ".join(text), " ".join([*text, "more"])]
+    docs = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "id long, row string, text string")
+    prints = simhash.prefixes(docs, 5, 0.8)
+    assert {r["id"]: r["fp"] for r in prints.collect()} == {r["id"]: r["fp"] for r in simhash.fingerprints(docs, 5, "id").collect()}
+    at = {r["node"]: r["id"] for r in prints.collect()}
+    marks = prints.select("node", "fp")
+    found = {tuple(sorted((at[r["node"]], at[r["other"]]))) for r in simhash.print_pairs(marks).collect()}
+    values = {r["id"]: r["fp"] % (1 << 64) for r in prints.collect()}
+    close = {(i, j) for j in values for i in values if i < j and (values[i] ^ values[j]).bit_count() <= 2}
+    assert found == close and len(close) >= 20
+    asked = []
+    kept = simhash.print_pairs
+    monkeypatch.setattr(simhash, "print_pairs", lambda marks, *rest: asked.append(marks.count()) or kept(marks, *rest))
+    assert simhash.keep_one_per_group(docs.drop("row"), id_col="id").count() == 40 and asked == [80]
+
+
+def test_a_large_group_around_the_threshold(spark, monkeypatch):
+    """Most members of one word's group are not similar: few pairs are left for the search that compares all."""
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+    texts = []
+    for _ in range(400):
+        text = list(base)
+        for at in rng.integers(0, 120, rng.integers(1, 4)):
+            text[at] = f"e{rng.integers(0, 10**6)}"
+        texts.append(" ".join(text))
+    left = []
+    rest = simhash.rest_pairs
+
+    def counted(*args):
+        left.append(rest(*args).count())
+        return rest(*args)
+
+    monkeypatch.setattr(simhash, "rest_pairs", counted)
+    kept = simhash.keep_one_per_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == brute_groups(texts)
+    assert left[0] <= 4 * len(texts)
