@@ -44,3 +44,11 @@ def test_many_patterns_are_no_theta_join(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join [gram" in plan and "Join [name" not in plan
     assert found.count() == 2000
+
+
+def test_anchors_are_as_long_as_the_pieces_allow(spark):
+    """Runs of three of a number are in a share of all names; the longest runs are in few, however many names there are."""
+    patterns = spark.createDataFrame([("*/file12345.*",), ("pkg?/file1234567*.[pj]?",), ("*ab*cde*",), ("*.c",)], "pattern string")
+    found = [r["g"] for r in patterns.select(Q.fixed_grams(F.col("pattern")).alias("g")).collect()]
+    assert [sorted({len(x) for x in g}) for g in found] == [[6], [3, 12], [3], []]
+    assert "12345." in found[0] and found[2] == ["cde"]
