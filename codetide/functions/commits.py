@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Message patterns and thresholds.
 CONVENTIONAL = r"^(\w+)(?:\([^)]*\))?!?:\s"
@@ -78,14 +78,38 @@ def merge_type(merged: Column) -> Column:
     return F.when(merged, "merge_commit").otherwise("not_merged")
 
 
+NUMSTAT = r"^(\d+|-)\t(\d+|-)\t(.+)$"
+_BRACE = r"^(.*)\{(.+) => (.+)\}(.*)$"
+
+
+def numstat_path(line: Column) -> Column:
+    """The path of a numstat line, empty if it is none: the one match that :func:`numstat_fields` needs, to be computed once."""
+    return F.regexp_extract(line, NUMSTAT, 3)
+
+
+def numstat_fields(line: Column, path: Column) -> dict[str, Column]:
+    """Counts, path, old path and the kind of change of a numstat line and its :func:`numstat_path`."""
+    count = lambda x: F.when((x == "-") | (F.length(x) > 18), F.when(x == "-", 0)).otherwise(x.try_cast("long")).cast("long")
+    ins, dels = count(F.substring_index(line, "\t", 1)), count(F.substring_index(F.substring_index(line, "\t", 2), "\t", -1))
+    renamed = path.contains(" => ") & path.rlike(_BRACE)
+    new = F.when(renamed, F.regexp_replace(path, _BRACE, "$1$3$4")).otherwise(path)
+    old = F.when(renamed, F.regexp_replace(path, _BRACE, "$1$2$4"))
+    kind = F.when(renamed, "renamed").when((ins > 0) & (dels == 0), "added").when((ins == 0) & (dels > 0), "deleted").otherwise("modified")
+    return {"path": new, "change_type": kind, "insertions": ins, "deletions": dels, "old_path": old}
+
+
+def numstat_changes(lines: Column) -> Column:
+    """The changes, as structs, of an array of lines; those that are no numstat are left out."""
+    read = F.filter(F.transform(lines, lambda x: F.struct(x.alias("line"), numstat_path(x).alias("path"))), lambda x: x["path"] != "")
+    return F.transform(read, lambda x: F.struct(*(c.alias(n) for n, c in numstat_fields(x["line"], x["path"]).items())))
+
+
 def numstat(line: Column) -> Column:
     """A struct of a numstat line: counts, path, old path and the kind of change; null if it is none."""
-    pattern = r"^(\d+|-)\t(\d+|-)\t(.+)$"
-    added, deleted, path = (F.regexp_extract(line, pattern, i) for i in (1, 2, 3))
-    ins, dels = (F.when(x == "-", 0).otherwise(F.try_to_number(x, F.lit("999999999999999999")).cast("long")).cast("long") for x in (added, deleted))
-    brace = r"^(.*)\{(.+) => (.+)\}(.*)$"
-    renamed = path.rlike(brace)
-    new = F.when(renamed, F.regexp_replace(path, brace, "$1$3$4")).otherwise(path)
-    old = F.when(renamed, F.regexp_replace(path, brace, "$1$2$4"))
-    kind = F.when(renamed, "renamed").when((ins > 0) & (dels == 0), "added").when((ins == 0) & (dels > 0), "deleted").otherwise("modified")
-    return F.when(line.rlike(pattern), F.struct(new.alias("path"), kind.alias("change_type"), ins.alias("insertions"), dels.alias("deletions"), old.alias("old_path")))
+    return F.get(numstat_changes(F.array(line)), F.lit(0))
+
+
+def numstat_rows(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The same columns for each row of ``lines``; null where it is no numstat line.  Each line is matched once."""
+    read = lines.select(F.col(line).alias("line"), numstat_path(F.col(line)).alias("path"))
+    return read.select(*(F.when(F.col("path") != "", c).alias(n) for n, c in numstat_fields(F.col("line"), F.col("path")).items()))

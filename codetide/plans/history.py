@@ -244,7 +244,7 @@ def numstat_classify(spark, sf_dir):
     ins = F.when(F.col("l_partkey") % 7 == 0, "-").otherwise(F.col("l_quantity").cast("long").cast("string"))
     name = F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("src/{old"), k, F.lit(".py => new"), k, F.lit(".py}"))).otherwise(F.concat(F.lit("src/f"), k, F.lit(".py")))
     line = F.concat_ws("\t", ins, F.round(F.col("l_discount") * 100).cast("long").cast("string"), name)
-    return B.table(spark, sf_dir, "lineitem").select(C.numstat(line).alias("c")).select("c.*")
+    return C.numstat_rows(B.table(spark, sf_dir, "lineitem").select(line.alias("line")))
 
 
 @query(

@@ -33,7 +33,7 @@ def parse_log(records: DataFrame) -> DataFrame:
     parts = F.split(F.col("value"), "\0", 10)
     others = [c for c in records.columns if c != "value"]
     rows = records.select(parts.alias("p"), *others).filter(F.size("p") >= 10).select(*(F.col("p")[i].alias(n) for i, n in enumerate(FIELDS)), *others)
-    changes = F.filter(F.transform(F.split("stats", "\n"), C.numstat), lambda c: c.isNotNull())
+    changes = C.numstat_changes(F.split("stats", "\n"))
     out = rows.select(
         "sha", "author_name", "author_email", iso_instant(F.col("authored")).alias("authored_at"), iso_local(F.col("authored")).alias("authored_ts"),
         "committer_name", "committer_email", iso_instant(F.col("committed")).alias("committed_at"), iso_local(F.col("committed")).alias("committed_ts"), "message", changes.alias("changes"), *others,

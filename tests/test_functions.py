@@ -134,3 +134,16 @@ def test_no_python_in_plans(spark):
     frame = spark.createDataFrame([("x",)], "v string").select(X.cognitive(F.col("v")), X.nesting_depth(F.col("v")), L.language_of(F.col("v")), C.numstat(F.col("v")))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_numstat_rows_match_each_line_once(spark):
+    lines = ["10\t0\ta.py", "-\t-\timage.png", "3\t4\tsrc/{old.py => new.py}", "1\t2\ta\tb", "1\t2\t", "x\t2\ta", "1\t2\ta\nb", "1\t2\ta\n", "1234567890123456789\t7\tz", "0\t5\t{a => b}/{c => d}", "5\t5\ta => b", "\t\tq", None]
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    rows = C.numstat_rows(frame)
+    expected = [
+        ("a.py", "added", 10, 0, None), ("image.png", "modified", 0, 0, None), ("src/new.py", "renamed", 3, 4, "src/old.py"), ("a\tb", "modified", 1, 2, None), (None,) * 5, (None,) * 5, (None,) * 5,
+        ("a", "modified", 1, 2, None), ("z", "modified", None, 7, None), ("{a => b}/d", "renamed", 0, 5, "{a => b}/c"), ("a => b", "modified", 5, 5, None), (None,) * 5, (None,) * 5,
+    ]
+    assert [tuple(r) for r in rows.collect()] == expected
+    assert [tuple(r["c"]) if r["c"] else (None,) * 5 for r in frame.select(C.numstat(frame.line).alias("c")).collect()] == expected
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
