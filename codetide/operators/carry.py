@@ -16,6 +16,8 @@ from ..session import checkpointing
 
 #: Lines of a block where positions are numbers of lines.
 BLOCK = 1 << 17
+#: Rows of a task of :func:`carry`, about.
+PER_TASK = 1 << 18
 
 
 def numbered(texts: DataFrame, key: str, value: str = "value") -> DataFrame:
@@ -43,29 +45,45 @@ def in_order(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def carry(
-    rows: DataFrame, keys: list[str], last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, most: dict[str, Column] | None = None, block: str = "block", position: str = "position"
+    rows: DataFrame, keys: list[str], last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, most: dict[str, Column] | None = None, since: dict[str, tuple[Column, Column]] | None = None, block: str = "block", position: str = "position"
 ) -> DataFrame:
     """Add running values to every row, its own included: the last value that is not null, the sum, or the greatest value.
 
-    Rows of a key go by ``block`` and ``position``.  ``last``, ``total`` and ``most`` name
-    the new columns; sums begin at 0, the others at null.
+    ``since`` has pairs of an amount and a mark: the sum of the amounts after the last
+    row with the mark, or of all where there is none yet.  Rows of a key go by ``block`` and
+    ``position``.  The arguments name the new columns; sums begin at 0, the others at null.
+
+    Rows are dealt out by key and block once, to tasks of about ``PER_TASK`` rows however
+    many there are; a block's last row is what it is folded to.
     """
-    last, total, most = last or {}, total or {}, most or {}
-    total = {n: c.cast("long") for n, c in total.items()}
-    here = W.partitionBy(*keys, block).orderBy(position).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    last, total, most, since = last or {}, total or {}, most or {}, since or {}
     zero = F.lit(0).cast("long")
-    added = (*last, *total, *most)
-    effects = [F.max_by(c, F.when(c.isNotNull(), F.col(position))).alias(n) for n, c in last.items()] + [F.sum(c).alias(n) for n, c in total.items()] + [F.max(c).alias(n) for n, c in most.items()]
-    states = [F.last(n, ignorenulls=True).over(before) for n in last] + [F.coalesce(F.sum(n).over(before), zero) for n in total] + [F.max(n).over(before) for n in most]
-    folded = rows.groupBy(*keys, block).agg(*effects).select(*(F.col(k).alias(f"carry_{k}") for k in keys), F.col(block).alias("carry_block"), *(c.alias(f"before_{n}") for c, n in zip(states, added, strict=True)))
-    own = {n: F.last(c, ignorenulls=True).over(here) for n, c in last.items()} | {n: F.sum(c).over(here) for n, c in total.items()} | {n: F.max(c).over(here) for n, c in most.items()}
-    same = F.col(block) == F.col("carry_block")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"carry_{k}"))
-    joined = rows.withColumns({f"own_{n}": c for n, c in own.items()}).join(folded, same)
-    found = {n: F.coalesce(f"own_{n}", f"before_{n}") for n in last} | {n: F.coalesce(f"own_{n}", zero) + F.col(f"before_{n}") for n in total} | {n: F.greatest(f"own_{n}", f"before_{n}") for n in most}
-    return joined.select(*(c for c in rows.columns if c not in added), *(c.alias(n) for n, c in found.items()))
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PER_TASK))
+    sums = {n: c for n, c in total.items()} | {n: c for n, (c, _) in since.items()}
+    added = (*last, *sums, *most)
+    given = {f"own_{n}": c for n, c in (*last.items(), *most.items())} | {f"own_{n}": c.cast("long") for n, c in sums.items()} | {f"mark_{n}": m for n, (_, m) in since.items()}
+    others = [c for c in rows.columns if c not in (*keys, block)]
+    group = F.struct(*keys, block)  # null keys are equal in it
+    dealt = rows.select(group.alias("carry_group"), *others, *(c.alias(n) for n, c in given.items())).repartition(tasks, "carry_group")
+    order = W.partitionBy("carry_group").orderBy(position)
+    here = order.rowsBetween(W.unboundedPreceding, 0)
+    running = {f"own_{n}": F.last(f"own_{n}", ignorenulls=True).over(here) for n in last} | {f"own_{n}": F.sum(f"own_{n}").over(here) for n in sums} | {f"own_{n}": F.max(f"own_{n}").over(here) for n in most}
+    own = dealt.withColumns(running | {"carry_end": F.lead(F.lit(1)).over(order).isNull()})
+    own = own.withColumns({f"mark_{n}": F.last(F.when(F.col(f"mark_{n}"), F.coalesce(f"own_{n}", zero)), ignorenulls=True).over(here) for n in since})
+    ends = own.filter("carry_end").select("carry_group", *(f"own_{n}" for n in added), *(f"mark_{n}" for n in since))
+    by_block = W.partitionBy(*(F.col("carry_group")[k] for k in keys)).orderBy(F.col("carry_group")[block])
+    before = by_block.rowsBetween(W.unboundedPreceding, -1)
+    states = {f"before_{n}": F.last(f"own_{n}", ignorenulls=True).over(before) for n in last} | {f"before_{n}": F.coalesce(F.sum(f"own_{n}").over(before), zero) for n in sums} | {f"before_{n}": F.max(f"own_{n}").over(before) for n in most}
+    folded = ends.withColumns(states | {"carry_later": F.lag(F.lit(1)).over(by_block).isNotNull()})
+    folded = folded.withColumns({f"before_mark_{n}": F.last(F.col(f"before_{n}") + F.col(f"mark_{n}"), ignorenulls=True).over(before) for n in since})
+    folded = folded.filter("carry_later").select("carry_group", *states, *(f"before_mark_{n}" for n in since))
+    joined = own.join(folded, "carry_group", "left")
+    summed = {n: F.coalesce(f"own_{n}", zero) + F.coalesce(f"before_{n}", zero) for n in sums}
+    marked = {n: F.coalesce(F.col(f"mark_{n}") + F.coalesce(f"before_{n}", zero), f"before_mark_{n}", zero) for n in since}
+    found = {n: F.coalesce(f"own_{n}", f"before_{n}") for n in last} | {n: summed[n] for n in total} | {n: F.greatest(f"own_{n}", f"before_{n}") for n in most} | {n: summed[n] - marked[n] for n in since}
+    kept = (F.col("carry_group")[c].alias(c) if c in (*keys, block) else F.col(c) for c in rows.columns if c not in added)
+    return joined.select(*kept, *(c.alias(n) for n, c in found.items()))
 
 
 def uncovered(points: DataFrame, intervals: DataFrame, key: str, at: str, first: str, last: str) -> DataFrame:

@@ -61,18 +61,18 @@ def diff_lines(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     is_hunk = line.rlike(header)
     start = lambda group: F.when(is_hunk, F.regexp_extract("line", header, group).cast("long"))
+    kind = F.when(line.startswith("+"), "add").when(line.startswith("-"), "delete").when(line.startswith(" ") | (line == ""), "context")
+    # All lines between a line of a hunk and the hunk's header are lines of it, so counts need not know where hunks end.
     state = carry(
         lines, ["diff_id"],
         last={"path": F.when(line.startswith("+++ b/"), F.substring("line", 7, 1 << 30)), "inside": F.when(is_hunk, True).when(line.startswith("diff --git "), False), "old_start": start(1), "new_start": start(3)},
         total={"hunk": is_hunk},
+        since={"old": (F.coalesce(kind != "add", F.lit(False)), is_hunk), "new": (F.coalesce(kind != "delete", F.lit(False)), is_hunk)},
     )
-    kind = F.when(line.startswith("+"), "add").when(line.startswith("-"), "delete").when(line.startswith(" ") | (line == ""), "context")
     state = state.withColumn("line_type", F.when(F.col("inside") & ~is_hunk, kind))
     known = F.col("line_type").isNotNull()
-    counted = carry(state, ["diff_id"], total={"old": known & (F.col("line_type") != "add"), "new": known & (F.col("line_type") != "delete")})
-    based = carry(counted, ["diff_id"], last={"old_base": F.when(is_hunk, F.col("old")), "new_base": F.when(is_hunk, F.col("new"))})
-    old, new = (F.col(f"{n}_start") + F.col(n) - F.col(f"{n}_base") - 1 for n in ("old", "new"))
-    return based.filter(known).select(
+    old, new = (F.col(f"{n}_start") + F.col(n) - 1 for n in ("old", "new"))
+    return state.filter(known).select(
         "diff_id", "path", "hunk", "old_start", "new_start", "position", "line_type", F.substring("line", 2, 1 << 30).alias("content"),
         F.when(F.col("line_type") != "add", old).alias("old_line"), F.when(F.col("line_type") != "delete", new).alias("new_line"),
     )
@@ -105,13 +105,15 @@ def blame_lines(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     rest = lambda n: F.substring("line", n, 1 << 30)
     seconds = F.when(line.rlike(r"^author-time \d+$"), rest(13).try_cast("long"))
-    state = carry(lines, ["path"], last={
+    # What a line says is read before lines are dealt out, so that their text need not go along.
+    says = {
         "commit_sha": F.when(line.rlike(header), F.regexp_extract("line", header, 1)), "line_number": F.when(line.rlike(header), F.regexp_extract("line", header, 2).cast("long")),
         "author_name": F.when(line.startswith("author "), rest(8)), "author_email": F.when(line.startswith("author-mail "), F.regexp_replace(rest(13), "[<>]", "")), "seconds": seconds,
-    })
+    }
+    read = lines.select("path", "block", "position", line.startswith("\t").alias("shown"), *(c.alias(n) for n, c in says.items()))
+    state = carry(read, ["path"], last={n: F.col(n) for n in says})
     said = lambda n, value: F.coalesce(n, F.lit(value)).alias(n)
-    shown = state.filter(line.startswith("\t"))
-    return shown.select("path", said("commit_sha", ""), said("line_number", 0), said("author_name", ""), said("author_email", ""), F.timestamp_seconds(F.coalesce("seconds", F.lit(0))).alias("ts"))
+    return state.filter("shown").select("path", said("commit_sha", ""), said("line_number", 0), said("author_name", ""), said("author_email", ""), F.timestamp_seconds(F.coalesce("seconds", F.lit(0))).alias("ts"))
 
 
 def parse_lcov(lines: DataFrame, key: str = "path") -> DataFrame:
@@ -121,12 +123,17 @@ def parse_lcov(lines: DataFrame, key: str = "path") -> DataFrame:
     trace counts only with its end.  Line counts outside records count for none.
     """
     line = F.col("line")
-    named, ended = line.rlike("^SF:."), line.rlike(r"^\s*end_of_record\s*$")
-    state = carry(lines, [key], last={"file": F.when(named, F.substring("line", 4, 1 << 30)), "open": F.when(named, True).when(ended, False)}, total={"record": named})
     hit = r"^DA:(\d+),(\d+)"
-    counts = line.rlike(hit) & F.col("open")
-    records = state.filter("record > 0").groupBy(key, "record").agg(
-        F.first("file").alias("file"), F.count_if(counts & (F.regexp_extract("line", hit, 2).cast("decimal(38,0)") > 0)).alias("covered"), F.count_if(counts).alias("total"), F.count_if(ended).alias("ends"),
+    # What a line says is read before lines are dealt out, so that their text need not go along.
+    read = lines.select(
+        key, "block", "position", F.when(line.rlike("^SF:."), F.substring("line", 4, 1 << 30)).alias("file"), line.rlike(r"^\s*end_of_record\s*$").alias("ended"),
+        line.rlike(hit).alias("counts"), F.when(line.rlike(hit), F.regexp_extract("line", hit, 2).cast("decimal(38,0)") > 0).alias("hit"),
+    )
+    named = F.col("file").isNotNull()
+    state = carry(read, [key], last={"file": F.col("file"), "open": F.when(named, True).when(F.col("ended"), False)}, total={"record": named})
+    # A record has one file, so it can be a key of its groups.
+    records = state.filter("record > 0").groupBy(key, "record", "file").agg(
+        F.count_if(F.expr("open and counts and hit")).alias("covered"), F.count_if(F.expr("open and counts")).alias("total"), F.count_if("ended").alias("ends"),
     )
     most = records.groupBy(F.col(key).alias("most_key")).agg(F.max("record").alias("most"))
     whole = records.join(most, F.col(key).eqNullSafe(F.col("most_key"))).filter("record < most or ends > 0")

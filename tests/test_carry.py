@@ -58,3 +58,31 @@ def test_one_path_with_very_many_intervals(spark):
     points = spark.range(200_000).select(F.lit("hot").alias("path"), F.col("id").alias("line"))
     found = K.uncovered(points, spans, "path", "line", "first", "last")
     assert found.count() == 100_000 and found.filter("line % 10 < 5").count() == 0
+
+
+def test_sums_since_a_mark_over_blocks(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", None]), i // 5, i, rng.randint(0, 3), rng.random() < 0.1) for i in range(150)]
+    frame = spark.createDataFrame(rows, "k string, block long, position long, n long, mark boolean").repartition(4)
+    got = {r["position"]: r["s"] for r in K.carry(frame, ["k"], since={"s": (F.col("n"), F.col("mark"))}).collect()}
+    state = {}
+    for k, _, i, n, mark in rows:
+        state[k] = 0 if mark else state.get(k, 0) + n
+        assert got[i] == state[k]
+
+
+def test_rows_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(K, "PER_TASK", 100)
+    frame = spark.range(2000).selectExpr("1L as k", "id div 10 as block", "id as position")
+    out = K.carry(frame, ["k"], total={"n": F.lit(1)})
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 400 and out.agg(F.max("n")).first()[0] == 2000
+
+
+def test_diffs_deal_their_lines_out_once(spark):
+    from codetide.sources.logs import parse_diff
+
+    diffs = spark.createDataFrame([(1, "diff --git a/x b/x\n+++ b/x\n@@ -5,2 +7,2 @@\n a\n-b\n+c\n")], "diff_id long, value string")
+    plan = parse_diff(diffs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") <= 2
