@@ -151,14 +151,14 @@ def graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rows = graph_commits(spark, sf_dir)
     own = rows.select("node", F.lag("node").over(W.partitionBy("branch").orderBy("at", "node")).alias("parent"), "branch", "at", "priority")
-    stem = own.select("node", "parent", F.col("branch").alias("stem"), "at", "priority", F.lit(True).alias("is_stem"))
-    twig = own.filter("branch > 0").select("node", "parent", F.floor(F.col("branch") / 4).alias("stem"), "at", "priority", F.lit(False).alias("is_stem"))
+    stems = F.array(F.struct(F.col("branch").alias("stem"), F.lit(True).alias("is_stem")), F.when(F.col("branch") > 0, F.struct(F.floor(F.col("branch") / 4).alias("stem"), F.lit(False).alias("is_stem"))))
+    met = own.select("node", "parent", "at", "priority", F.explode(F.array_compact(stems)).alias("s")).select("node", "parent", "at", "priority", "s.*")
     order = W.partitionBy("stem").orderBy("at", "node").rowsBetween(W.unboundedPreceding, -1)
-    met = stem.unionByName(twig)
     met = met.withColumn("of_stem", F.last(F.when(F.col("is_stem"), F.col("node")), ignorenulls=True).over(order)).withColumn("of_twig", F.last(F.when(~F.col("is_stem"), F.col("node")), ignorenulls=True).over(order))
-    forks = met.filter("not is_stem and (parent is null or priority = '1-URGENT')").select("node", F.col("of_stem").alias("parent"))
-    merges = met.filter("is_stem and priority = '2-HIGH'").select("node", F.col("of_twig").alias("parent"))
-    return own.select("node", "parent").unionByName(forks).unionByName(merges)
+    # All links come from one pass over the two orders: a commit's own parent, what it merges, and what it forks from.
+    merges = F.when(F.col("priority") == "2-HIGH", F.array("parent", "of_twig")).otherwise(F.array("parent"))
+    forks = F.when(F.col("parent").isNull() | (F.col("priority") == "1-URGENT"), F.array("of_stem"))
+    return met.select("node", F.explode(F.when(F.col("is_stem"), merges).otherwise(forks)).alias("parent"))
 
 
 def graph_tips(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,11 @@ _REACH = """WITH RECURSIVE reach(tip, node) AS (SELECT tip, node FROM v_graph_ti
 aim AS (SELECT min(tip) AS tip FROM v_graph_tips), aimed AS (SELECT node FROM reach JOIN aim USING (tip)), common AS (SELECT r.tip, r.node FROM reach r JOIN aimed a ON r.node = a.node)"""
 
 
-def _reached(spark, sf_dir):
-    """The graph, what each branch reaches, the tips, and the branch to compare with: the one with the least name."""
-    own = G.graph(B.graph_links(spark, sf_dir))
+def _aimed(spark, sf_dir):
+    """The graph, the tips of its branches, and the branch to compare with: the one with the least name."""
     tips = B.graph_tips(spark, sf_dir)
     aim = tips.agg(F.min("tip")).first()[0]
-    return own, G.reach(own, tips), tips, F.lit(aim)
+    return G.graph(B.graph_links(spark, sf_dir)), tips, F.lit(aim)
 
 
 @query(
@@ -26,14 +25,14 @@ def _reached(spark, sf_dir):
     FROM reach r LEFT JOIN aimed a ON r.node = a.node GROUP BY r.tip""",
 )
 def ahead_behind(spark, sf_dir):
-    _, reached, _, aim = _reached(spark, sf_dir)
-    return G.ahead_behind(reached, aim)
+    own, tips, aim = _aimed(spark, sf_dir)
+    return G.ahead_behind(G.reach(own, tips), aim)
 
 
 @query("merge_base", f"{_REACH} SELECT c.tip, c.node FROM common c WHERE NOT EXISTS (SELECT 1 FROM v_graph_links l JOIN common d ON d.node = l.node WHERE l.parent = c.node AND d.tip = c.tip)")
 def merge_base(spark, sf_dir):
-    own, reached, _, aim = _reached(spark, sf_dir)
-    return G.merge_bases(own, reached, aim)
+    own, tips, aim = _aimed(spark, sf_dir)
+    return G.merge_bases(own, G.reach_toward(own, tips, aim), aim)
 
 
 @query(
@@ -42,5 +41,5 @@ def merge_base(spark, sf_dir):
     SELECT t.tip, t.tip IN (SELECT tip FROM common) AND c.tree IN (SELECT tree FROM trees) AS squashed FROM v_graph_tips t JOIN v_graph_commits c USING (node)""",
 )
 def squash_semi(spark, sf_dir):
-    own, reached, tips, aim = _reached(spark, sf_dir)
-    return G.squash_merged(own, reached, tips, B.graph_commits(spark, sf_dir), aim)
+    own, tips, aim = _aimed(spark, sf_dir)
+    return G.squash_merged(own, G.reach(own, tips), tips, B.graph_commits(spark, sf_dir), aim)

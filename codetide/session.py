@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "codetide", **settings: str) -> SparkSession:
@@ -37,3 +37,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     checkpointing(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table below the checkpoint folder and read back: computed once, and its lineage is cut."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
