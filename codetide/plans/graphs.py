@@ -42,4 +42,6 @@ def merge_base(spark, sf_dir):
 )
 def squash_semi(spark, sf_dir):
     own, tips, aim = _aimed(spark, sf_dir)
-    return G.squash_merged(own, G.reach(own, tips), tips, B.graph_commits(spark, sf_dir), aim)
+    aimed = G.reach(own, tips.filter(F.col("tip") == aim))
+    sharing = G.related(own, G.leading(own, aimed), tips)
+    return G.squash_merged(own, aimed, tips, B.graph_commits(spark, sf_dir), aim, sharing=sharing)
